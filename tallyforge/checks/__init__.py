@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tallyforge.checks import ledger  # noqa: F401
+from tallyforge.checks import imports, ledger  # noqa: F401
 from tallyforge.checks.registry import ORACLES, QUERIES  # noqa: F401
