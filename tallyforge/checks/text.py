@@ -137,23 +137,23 @@ def merchant_sql(column: str) -> str:
 
 @check("txt04_categories", "descriptions", f"SELECT id, {category_sql('description')} AS category FROM descriptions")
 def _(i):
-    return i.descriptions.select("id", categories.category_of(F.col("description")).alias("category"))
+    return i.descriptions.select("id", categories.category_of("description").alias("category"))
 
 
 @check("txt04_document_categories", sql=f"SELECT doc_id, {category_sql('text')} AS category FROM documents")
 def _(i):
-    return i.documents.select("doc_id", categories.category_of(F.col("text")).alias("category"))
+    return i.documents.select("doc_id", categories.category_of("text").alias("category"))
 
 
 @check("txt05_merchants", "descriptions",
        f"SELECT id, {merchant_sql('description')} AS merchant FROM descriptions")
 def _(i):
-    return i.descriptions.select("id", merchants.merchant_of(F.col("description")).alias("merchant"))
+    return i.descriptions.select("id", merchants.merchant_of("description").alias("merchant"))
 
 
 @check("txt05_known_merchants", sql=f"SELECT doc_id, {known_merchant_sql('text')} AS merchant FROM documents")
 def _(i):
-    return i.documents.select("doc_id", merchants.known_merchant(F.col("text")).alias("merchant"))
+    return i.documents.select("doc_id", F.expr(merchants.known_merchant("text")).alias("merchant"))
 
 
 def kinds_sql(column: str, kinds: dict) -> str:
@@ -221,26 +221,26 @@ def _word_count(words) -> str:
 
 @check("txt08_investment_types", "headings", f"SELECT id, {_INVESTMENT} AS account_type FROM headings")
 def _(i):
-    kind = detect.investment_type(F.lower("text"), F.col("source_file"))
+    kind = F.expr(detect.investment_type("lower(text)", "source_file"))
     return i.headings.select("id", kind.alias("account_type"))
 
 
 @check("txt09_tax_forms", "headings", f"SELECT id, {_TAX} AS document_type FROM headings")
 def _(i):
-    return i.headings.select("id", detect.tax_form(F.lower("text"), F.col("source_file")).alias("document_type"))
+    return i.headings.select("id", F.expr(detect.tax_form("lower(text)", "source_file")).alias("document_type"))
 
 
 @check("flt10_paystub_guard", "headings", f"""
 SELECT id, ({_word_count(detect.PAYSTUB_WORDS)}) >= 3 AS is_paystub FROM headings""")
 def _(i):
-    return i.headings.select("id", detect.is_paystub(F.lower("text")).alias("is_paystub"))
+    return i.headings.select("id", F.expr(detect.is_paystub("lower(text)")).alias("is_paystub"))
 
 
 @check("flt11_investment_guard", "headings", f"""
 SELECT id, {_INVESTMENT} IS NOT NULL OR ({_word_count(detect.INVESTMENT_WORDS)}) >= 3 AS is_investment
 FROM headings""")
 def _(i):
-    guard = detect.is_investment(F.lower("text"), F.col("source_file"))
+    guard = F.expr(detect.is_investment("lower(text)", "source_file"))
     return i.headings.select("id", guard.alias("is_investment"))
 
 
@@ -392,7 +392,7 @@ def _one_form(name: str, kind: str, number: int, fields: str) -> None:
     @check(name, "form_base", sql)
     def _(i):
         texts = tax_texts(i)
-        wanted = texts.filter(detect.tax_form(F.lower("text"), F.col("source_file")) == kind)
+        wanted = texts.filter(F.expr(detect.tax_form("lower(text)", "source_file")) == kind)
         read = tax_forms.form_fields(wanted, kind).drop("source_file", "document_type")
         return read.withColumn("tax_year", F.col("tax_year").cast("double"))
 
@@ -436,7 +436,7 @@ def portfolio_texts(i):
 @check("txt21_portfolio_values", "portfolio_base", """
 SELECT concat('inv', id, '.txt') AS source_file, cast(value AS double) AS portfolio_value FROM portfolio_base""")
 def _(i):
-    return portfolio_texts(i).select("source_file", investments.portfolio_value(F.col("text")).alias("portfolio_value"))
+    return portfolio_texts(i).select("source_file", F.expr(investments.portfolio_value("text")).alias("portfolio_value"))
 
 
 @check("txt22_holdings", "portfolio_base", """
@@ -592,9 +592,10 @@ FROM (SELECT *, substr(cast(cast(o_orderdate AS date) AS varchar(10)), 1, 4) AS
 
 
 @check("scl02_dates", "date_texts", """
-SELECT id, written, strftime(coalesce(try_strptime(written, '%Y-%m-%d'), try_strptime(written, '%m/%d/%Y'),
- try_strptime(written, '%m-%d-%Y'), try_strptime(written, '%d/%m/%Y'), try_strptime(written, '%Y/%m/%d'),
- CASE WHEN id % 8 = 5 THEN try_strptime(written, '%m/%d/%y') END), '%Y-%m-%d') AS parsed FROM date_texts""")
+SELECT id, written, strftime(coalesce(CASE WHEN id % 8 = 5 THEN try_strptime(written, '%m/%d/%y') END,
+ try_strptime(written, '%Y-%m-%d'), try_strptime(written, '%m/%d/%Y'),
+ try_strptime(written, '%m-%d-%Y'), try_strptime(written, '%d/%m/%Y'), try_strptime(written, '%Y/%m/%d')),
+ '%Y-%m-%d') AS parsed FROM date_texts""")
 def _(i):
     return i.date_texts.select("id", "written", dates.parse_date(F.col("written")).alias("parsed"))
 
@@ -626,7 +627,7 @@ def _(i):
 SELECT doc_id, regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+',
  ' ', 'g') AS text FROM documents""")
 def _(i):
-    return i.documents.select("doc_id", text.collapse_spaces(F.col("text")).alias("text"))
+    return i.documents.select("doc_id", F.expr(text.collapse_spaces("text")).alias("text"))
 
 
 @check("scl05_month_keys", "transactions", """

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import bind, fold_lower, quote
+
 Rules = tuple[tuple[str, tuple[str, ...]], ...]
 
 # Keywords per category; a keyword may occur anywhere in the description, the first category wins.
@@ -172,11 +172,12 @@ def effective(rules: Rules) -> Rules:
     return tuple((name, own) for name, own in kept if own)
 
 
-def category_of(description: Column, rules: Rules = CATEGORY_RULES) -> Column:
-    """Name of the first category one of whose keywords occurs in the description; NULL where none does."""
-    lowered = F.lower(description)
-    result = F.lit(None).cast("string")
-    for name, keywords in reversed(effective(rules)):
-        hit = lowered.rlike("|".join(re.escape(keyword).replace("/", r"\/") for keyword in keywords))
-        result = F.when(hit, F.lit(name)).otherwise(result)
-    return F.when(description != "", result)
+def category_of(description: str, rules: Rules = CATEGORY_RULES) -> Column:
+    """Name of the first category one of whose keywords occurs in the description; NULL where none does.
+    `description` is a column name or SQL text."""
+    branches = " ".join(
+        f"WHEN {' OR '.join(f'contains(u, {quote(keyword)})' for keyword in keywords)} THEN {quote(name)}"
+        for name, keywords in effective(rules)
+    )
+    first = bind(fold_lower(description), "u", f"CASE {branches} END")
+    return F.expr(f"CASE WHEN {description} <> '' THEN {first} END")

@@ -1,14 +1,12 @@
 """What a document is: its bank, account type, form kind and import route.
 
-The functions take the text lowered once by the caller, and the file name; the name is asked first.
+The functions take SQL operands: the text, the text lowered once by the caller, and the file name, which is asked
+first. They return SQL text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tallyforge.functions.text import UNICODE, captured, first_kind, keyword_count
+from tallyforge.functions.text import UNICODE, bind, captured, coalesce, first_kind, keyword_count, quote
 
 # Patterns per bank, account type and form, in order of precedence, over lower-case text.
 BANKS = {
@@ -76,38 +74,37 @@ LEAST_WORDS = 3
 Kinds = dict[str, tuple[str, ...]]
 
 
-def bank_name(text: Column, lowered: Column, file: Column, banks: Kinds = BANKS) -> Column:
+def bank_name(text: str, lowered: str, file: str, banks: Kinds = BANKS) -> str:
     """A known bank in the file name or text, else the capitalised words before 'bank', 'card', 'statement' or
     'account' in the text."""
-    guesses = []
-    for pattern in BANK_HEADERS:
-        guess = captured(text, UNICODE + pattern)
-        guesses.append(F.when((F.char_length(guess) > 2) & ~guess.isin(*NO_BANK), guess))
-    return F.coalesce(first_kind(F.lower(file), banks), first_kind(lowered, banks), *guesses)
+    never = ", ".join(map(quote, NO_BANK))
+    guesses = [
+        bind(captured(text, UNICODE + pattern), "g", f"CASE WHEN char_length(g) > 2 AND g NOT IN ({never}) THEN g END")
+        for pattern in BANK_HEADERS
+    ]
+    return coalesce(first_kind(f"lower({file})", banks), first_kind(lowered, banks), *guesses)
 
 
-def account_type(lowered: Column, file: Column, kinds: Kinds = ACCOUNT_TYPES) -> Column:
-    name = F.lower(file)
-    by_file = F.lit(None).cast("string")
-    for kind, words in reversed(ACCOUNT_FILE_WORDS):
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | name.contains(word)
-        by_file = F.when(hit, kind).otherwise(by_file)
-    return F.coalesce(by_file, first_kind(lowered, kinds))
+def account_type(lowered: str, file: str, kinds: Kinds = ACCOUNT_TYPES) -> str:
+    by_file = " ".join(
+        f"WHEN {' OR '.join(f'contains(lower({file}), {quote(word)})' for word in words)} THEN {quote(kind)}"
+        for kind, words in ACCOUNT_FILE_WORDS
+    )
+    return coalesce(f"CASE {by_file} END", first_kind(lowered, kinds))
 
 
-def investment_type(lowered: Column, file: Column) -> Column:
-    return F.coalesce(first_kind(F.lower(file), INVESTMENT_TYPES), first_kind(lowered, INVESTMENT_TYPES))
+def investment_type(lowered: str, file: str) -> str:
+    return coalesce(first_kind(f"lower({file})", INVESTMENT_TYPES), first_kind(lowered, INVESTMENT_TYPES))
 
 
-def tax_form(lowered: Column, file: Column) -> Column:
-    return F.coalesce(first_kind(F.lower(file), TAX_FORMS), first_kind(lowered, TAX_FORMS))
+def tax_form(lowered: str, file: str) -> str:
+    return coalesce(first_kind(f"lower({file})", TAX_FORMS), first_kind(lowered, TAX_FORMS))
 
 
-def is_paystub(lowered: Column) -> Column:
-    return keyword_count(lowered, PAYSTUB_WORDS) >= LEAST_WORDS
+def is_paystub(lowered: str) -> str:
+    return f"{keyword_count(lowered, PAYSTUB_WORDS)} >= {LEAST_WORDS}"
 
 
-def is_investment(lowered: Column, file: Column) -> Column:
-    return investment_type(lowered, file).isNotNull() | (keyword_count(lowered, INVESTMENT_WORDS) >= LEAST_WORDS)
+def is_investment(lowered: str, file: str) -> str:
+    enough = f"{keyword_count(lowered, INVESTMENT_WORDS)} >= {LEAST_WORDS}"
+    return f"({investment_type(lowered, file)} IS NOT NULL OR {enough})"

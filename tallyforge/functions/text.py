@@ -1,14 +1,13 @@
-"""Regex helpers shared by redaction, detection and extraction."""
+"""SQL expression text shared by redaction, detection and extraction.
+
+The rule lists here run to hundreds of patterns, so the helpers write one SQL expression instead of building it node
+by node: an operand is SQL text (a column name or any expression), and so is the result; `F.expr` makes it a column.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tallyforge.functions.numbers import parse_money
-
 # Case-insensitive with Unicode letters, digits and spaces, whatever the Java version's own default for \b is.
 ANY_CASE = "(?iU)"
 UNICODE = "(?U)"
@@ -16,6 +15,42 @@ UNICODE = "(?U)"
 NUMBER = r"([\d,]+\.?\d*)"
 DATE = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"
 AFTER_LABEL = r"[:\s]+"
+_SPACES = r"[\s\x1c-\x1f]+"
+# Letters that count as a plain one when case is ignored: long s, dotless and dotted i, kelvin sign.
+_SMALL = "abcdefghijklmnopqrstuvwxyzſıİK"
+_LARGE = "ABCDEFGHIJKLMNOPQRSTUVWXYZSIIK"
+
+
+def quote(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bind(value: str, name: str, body: str) -> str:
+    """`body` with `name` standing for a value computed once per row, however often the body uses it. The body is
+    evaluated branch by branch and stays out of generated code, which a few hundred rules would overflow."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def fold_upper(text: str) -> str:
+    """Capitals throughout, so that a case-insensitive search for plain letters becomes a byte search."""
+    return f"translate({text}, '{_SMALL}', '{_LARGE}')"
+
+
+def fold_lower(text: str) -> str:
+    return f"translate(lower({text}), 'ſı', 'si')"
+
+
+def coalesce(*parts: str) -> str:
+    return parts[0] if len(parts) == 1 else f"coalesce({', '.join(parts)})"
+
+
+def matches(text: str, pattern: str) -> str:
+    return f"{text} RLIKE {quote(pattern)}"
+
+
+def replace(text: str, pattern: str, to: str) -> str:
+    return f"regexp_replace({text}, {quote(pattern)}, {quote(to)})"
 
 
 def labels(text: str) -> list[str]:
@@ -28,22 +63,31 @@ def labelled(label: str, value: str) -> str:
     return ANY_CASE + r"\s+".join(label.split(" ")) + AFTER_LABEL + value
 
 
-def captured(text: Column, pattern: str, group: int = 1) -> Column:
+def captured(text: str, pattern: str, group: int = 1) -> str:
     """The group's text, or NULL where the pattern does not match."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return f"nullif(regexp_extract({text}, {quote(pattern)}, {group}), '')"
+
 
+def money(text: str, kind: str = "decimal(18,2)") -> str:
+    return f"try_cast(regexp_replace({text}, '[$,]', '') AS {kind})"
 
-def first_capture(text: Column, names: str, value: str) -> Column:
+
+def number_at(text: str, pattern: str, group: int = 1, kind: str = "decimal(18,2)") -> str:
+    """The group read as a number; NULL where nothing matches or it does not read as one."""
+    return money(f"regexp_extract({text}, {quote(pattern)}, {group})", kind)
+
+
+def first_capture(text: str, names: str, value: str) -> str:
     """The first label that matches decides."""
-    return F.coalesce(*[captured(text, labelled(label, value)) for label in labels(names)])
+    return coalesce(*[captured(text, labelled(label, value)) for label in labels(names)])
 
 
-def first_number(text: Column, names: str, kind: str = "decimal(18,2)", sign: str = r"\$?") -> Column:
+def first_number(text: str, names: str, kind: str = "decimal(18,2)", sign: str = r"\$?") -> str:
     """The first label whose value also reads as a number."""
-    return F.coalesce(*[parse_money(captured(text, labelled(n, sign + NUMBER)), kind) for n in labels(names)])
+    return coalesce(*[number_at(text, labelled(label, sign + NUMBER), 1, kind) for label in labels(names)])
 
 
-def first_date(text: Column, names: str) -> Column:
+def first_date(text: str, names: str) -> str:
     return first_capture(text, names, f"({DATE})")
 
 
@@ -51,35 +95,30 @@ def any_of(patterns: Iterable[str], flags: str = UNICODE) -> str:
     return flags + "|".join(f"(?:{pattern})" for pattern in patterns)
 
 
-def first_kind(text: Column, kinds: dict[str, tuple[str, ...]], flags: str = UNICODE) -> Column:
+def first_kind(text: str, kinds: dict[str, tuple[str, ...]], flags: str = UNICODE) -> str:
     """Name of the first kind one of whose patterns occurs in the text."""
-    result = F.lit(None).cast("string")
-    for name, patterns in reversed(kinds.items()):
-        result = F.when(text.rlike(any_of(patterns, flags)), name).otherwise(result)
-    return result
+    branches = (f"WHEN {matches(text, any_of(patterns, flags))} THEN {quote(name)}" for name, patterns in kinds.items())
+    return f"CASE {' '.join(branches)} END"
 
 
-def keyword_count(lowered: Column, keywords: tuple[str, ...]) -> Column:
+def keyword_count(lowered: str, keywords: tuple[str, ...]) -> str:
     """How many of the keywords occur at least once."""
-    total = F.lit(0)
-    for keyword in keywords:
-        total = total + lowered.contains(keyword).cast("int")
-    return total
+    return "(" + " + ".join(f"int(contains({lowered}, {quote(keyword)}))" for keyword in keywords) + ")"
 
 
-def collapse_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, UNICODE + r"[\s\x1c-\x1f]+", " ")
+def collapse_spaces(text: str) -> str:
+    return replace(text, UNICODE + _SPACES, " ")
 
 
-def strip_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, UNICODE + r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+def strip_spaces(text: str) -> str:
+    return replace(text, rf"{UNICODE}^{_SPACES}|{_SPACES}\z", "")
 
 
-def title_case(text: Column) -> Column:
-    """Capital after every non-letter, small letters elsewhere ("o'reilly" -> "O'Reilly")."""
-    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), 1)
+def words(text: str) -> str:
+    return f"filter(split({text}, {quote(UNICODE + _SPACES)}), w -> w <> '')"
 
-    def capital(run: Column) -> Column:
-        return F.concat(F.upper(F.left(run, F.lit(1))), F.lower(run.substr(F.lit(2), F.char_length(run))))
 
-    return F.array_join(F.transform(runs, capital), "")
+def title_case(text: str) -> str:
+    """Capital after every non-letter, small letters elsewhere ("o'reilly" -> "O'Reilly")."""
+    runs = f"regexp_extract_all({text}, {quote(r'(\p{L}+|\P{L}+)')}, 1)"
+    return f"array_join(transform({runs}, r -> concat(upper(left(r, 1)), lower(substring(r, 2)))), '')"

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import detect
 from tallyforge.functions.dates import parse_date
-from tallyforge.functions.numbers import parse_money
-from tallyforge.functions.text import ANY_CASE, DATE, NUMBER, captured, first_date, first_number, strip_spaces
+from tallyforge.functions.text import (
+    ANY_CASE,
+    DATE,
+    NUMBER,
+    bind,
+    captured,
+    coalesce,
+    first_date,
+    first_number,
+    matches,
+    money,
+    number_at,
+    quote,
+    strip_spaces,
+)
 from tallyforge.operators.statements import dated_lines
 
 # Labels, section names and line patterns, in the order tried.
@@ -31,89 +44,80 @@ CASH = {
     "contribution": ("contribution", r"ira\s+contribution", "contributed"),
     "withdrawal": ("withdrawal", "withdrew", "distribution"),
 }
+_TRADE_WORDS = "(?i)buy|sell|dividend|contribut|withdr|distribution"
 _DATED_LINE = rf"(?dmU)^(?=.*{DATE})"
 
 
-def portfolio_value(text: Column) -> Column:
+def portfolio_value(text: str) -> str:
     return first_number(text, PORTFOLIO_VALUE)
 
 
-def _section(text: Column) -> Column:
+def _section(text: str) -> str:
     """From the first known heading up to a blank line or a line that starts with three letters; without a heading,
     the whole text."""
-    found = [captured(text, rf"(?isU)({name}.*?)(?=\n\n|\n[A-Z]{{3,}}|\n?\z)") for name in SECTIONS]
-    return F.coalesce(*found, text)
+    end = r"(?=\n\n|\n[A-Z]{3,}|\n?\z)"
+    return coalesce(*[captured(text, rf"(?isU)({name}.*?){end}") for name in SECTIONS], text)
 
 
-def _holdings(section: Column) -> Column:
+def _holdings(section: str) -> str:
     """All pattern hits as an array of structs; each hit is found once and then taken apart."""
     arrays = []
     for pattern, ticker, name, quantity, value in HOLDINGS:
         full = ANY_CASE + pattern
 
-        def parts(hit: Column, full=full, ticker=ticker, name=name, quantity=quantity, value=value) -> Column:
-            symbol = strip_spaces(F.regexp_extract(hit, full, ticker))
-            return F.struct(
-                F.when(F.char_length(symbol) <= 5, symbol).alias("ticker"),
-                strip_spaces(F.regexp_extract(hit, full, name)).alias("security_name"),
-                F.regexp_extract(hit, full, quantity).try_cast("decimal(18,4)").alias("quantity"),
-                parse_money(F.regexp_extract(hit, full, value)).alias("market_value"),
-            )
+        def part(group: int, full: str = full) -> str:
+            return f"regexp_extract(h, {quote(full)}, {group})"
 
-        arrays.append(F.transform(F.regexp_extract_all(section, F.lit(full), 0), parts))
-    readable = F.concat(*arrays)
-    return F.filter(readable, lambda h: h["quantity"].isNotNull() & h["market_value"].isNotNull())
+        symbol = bind(strip_spaces(part(ticker)), "t", "CASE WHEN char_length(t) <= 5 THEN t END")
+        taken = (
+            f"named_struct('ticker', {symbol}, 'security_name', {strip_spaces(part(name))}, "
+            f"'quantity', try_cast({part(quantity)} AS decimal(18,4)), 'market_value', {money(part(value))})"
+        )
+        arrays.append(f"transform(regexp_extract_all({section}, {quote(full)}, 0), h -> {taken})")
+    return f"filter(concat({', '.join(arrays)}), h -> h.quantity IS NOT NULL AND h.market_value IS NOT NULL)"
 
 
 def holdings_from_text(documents: DataFrame) -> DataFrame:
     """One row per holding found in each document's holdings section."""
-    found = documents.select("source_file", _holdings(_section(F.col("text"))).alias("_found"))
+    found = documents.withColumn("_section", F.expr(_section("text"))).select(
+        "source_file", F.expr(_holdings("_section")).alias("_found")
+    )
     return found.select("source_file", F.posexplode("_found").alias("holding_no", "_h")).select(
         "source_file", "holding_no", "_h.*"
     )
 
 
-def _row(kind: str, amount: Column, ticker=None, quantity=None, price=None) -> Column:
-    nothing = F.lit(None)
-    return F.struct(
-        F.lit(kind).alias("transaction_type"),
-        (nothing if ticker is None else F.upper(ticker)).cast("string").alias("security_ticker"),
-        (nothing if quantity is None else quantity).cast("decimal(18,4)").alias("quantity"),
-        (nothing if price is None else price).cast("decimal(18,2)").alias("price"),
-        amount.cast("decimal(28,4)").alias("amount"),
+def _row(kind: str, amount: str, ticker: str = "NULL", quantity: str = "NULL", price: str = "NULL") -> str:
+    return (
+        f"named_struct('transaction_type', '{kind}', 'security_ticker', cast({ticker} AS string), "
+        f"'quantity', cast({quantity} AS decimal(18,4)), 'price', cast({price} AS decimal(18,2)), "
+        f"'amount', cast({amount} AS decimal(28,4)))"
     )
 
 
-def _trades(line: Column) -> Column:
+def _trades(line: str) -> str:
     """At most one row per kind; trades need quantity, ticker and price, and zero amounts do not count."""
     rows = []
     for kind, pattern in TRADES.items():
         full = ANY_CASE + pattern
-        quantity = captured(line, full, 1).try_cast("decimal(18,4)")
-        price = parse_money(captured(line, full, 3))
-        row = _row(kind, quantity * price, captured(line, full, 2), quantity, price)
-        rows.append(F.when(price.isNotNull() & (quantity != 0), row))
+        quantity, price = number_at(line, full, 1, "decimal(18,4)"), number_at(line, full, 3)
+        row = _row(kind, f"{quantity} * {price}", f"upper({captured(line, full, 2)})", quantity, price)
+        rows.append(f"CASE WHEN {quantity} <> 0 AND {price} IS NOT NULL THEN {row} END")
     full = ANY_CASE + DIVIDEND
-    paid = parse_money(captured(line, full, 2))
-    rows.append(F.when(paid != 0, _row("dividend", paid, captured(line, full, 1))))
+    paid = number_at(line, full, 2)
+    rows.append(f"CASE WHEN {paid} <> 0 THEN {_row('dividend', paid, f'upper({captured(line, full, 1)})')} END")
     for kind, words in CASH.items():
-        amounts = [F.nullif(parse_money(captured(line, rf"{ANY_CASE}{word}\s+{_MONEY}")), F.lit(0).cast("decimal(18,2)"))
-                   for word in words]
-        amount = F.coalesce(*amounts)
-        rows.append(F.when(amount.isNotNull(), _row(kind, amount)))
-    return F.array_compact(F.array(*rows))
-
-
-def _statement_date(text: Column) -> Column:
-    return first_date(text, STATEMENT_DATE)
+        amounts = [f"nullif({number_at(line, rf'{ANY_CASE}{word}\s+{_MONEY}')}, 0)" for word in words]
+        rows.append(bind(coalesce(*amounts), "a", f"CASE WHEN a IS NOT NULL THEN {_row(kind, 'a')} END"))
+    return f"array_compact(array({', '.join(rows)}))"
 
 
 def trades_from_text(documents: DataFrame) -> DataFrame:
     """Trades and cash movements line by line; the date is carried down, starting from the statement date."""
-    dated = documents.select("source_file", "text", _statement_date(F.col("text")).alias("_start"))
+    dated = documents.select("source_file", "text", F.expr(first_date("text", STATEMENT_DATE)).alias("_start"))
     lines = dated_lines(dated, F.col("_start"), _DATED_LINE)
-    worth = lines.filter(F.col("line").rlike(r"(?i)buy|sell|dividend|contribut|withdr|distribution"))
-    found = worth.select("source_file", "line_no", "line_date", F.posexplode(_trades(F.col("line"))).alias("_n", "_t"))
+    worth = lines.filter(F.col("line").rlike(_TRADE_WORDS))
+    found = worth.select("source_file", "line_no", "line_date", F.expr(f"posexplode({_trades('line')}) AS (_n, _t)"))
     return found.select(
         "source_file", "line_no",
         F.col("line_date").alias("transaction_date_text"),
@@ -122,31 +126,30 @@ def trades_from_text(documents: DataFrame) -> DataFrame:
     )
 
 
-def has_trades(text: Column) -> Column:
+def has_trades(text: str) -> str:
     """Whether any line of the text gives a trade."""
-    return F.exists(F.split(text, "\n", -1), lambda line: F.size(_trades(line)) > 0)
+    found = f"CASE WHEN {matches('l', _TRADE_WORDS)} THEN size({_trades('l')}) > 0 ELSE false END"
+    return f"exists(split({text}, '\\n', -1), l -> {found})"
+
+
+def has_account(text: str) -> str:
+    value = f"coalesce({portfolio_value(text)} <> 0, false)"
+    return f"({value} OR size({_holdings(_section(text))}) > 0 OR {has_trades(text)})"
 
 
 def accounts_from_text(documents: DataFrame) -> DataFrame:
     """One record per investment statement that shows a value, a holding or a trade."""
     lowered = documents.withColumn("_lower", F.lower("text"))
-    likely = lowered.filter(detect.is_investment(F.col("_lower"), F.col("source_file")))
-    text = F.col("text")
-    read = likely.select(
+    likely = lowered.filter(F.expr(detect.is_investment("_lower", "source_file")))
+    read = likely.withColumn("_section", F.expr(_section("text"))).select(
         "source_file",
-        F.coalesce(
-            detect.investment_type(F.col("_lower"), F.col("source_file")), F.lit("investment_account")
-        ).alias("account_type"),
-        detect.bank_name(text, F.col("_lower"), F.col("source_file")).alias("bank_name"),
-        _statement_date(text).alias("statement_date_text"),
-        portfolio_value(text).alias("portfolio_value"),
-        F.size(_holdings(_section(text))).alias("holding_count"),
-        has_trades(text).alias("has_trades"),
+        F.expr(f"coalesce({detect.investment_type('_lower', 'source_file')}, 'investment_account')")
+        .alias("account_type"),
+        F.expr(detect.bank_name("text", "_lower", "source_file")).alias("bank_name"),
+        F.expr(first_date("text", STATEMENT_DATE)).alias("statement_date_text"),
+        F.expr(portfolio_value("text")).alias("portfolio_value"),
+        F.size(F.expr(_holdings("_section"))).alias("holding_count"),
+        F.expr(has_trades("text")).alias("has_trades"),
     )
     useful = (F.col("portfolio_value") != 0) | (F.col("holding_count") > 0) | F.col("has_trades")
     return read.filter(useful).withColumn("statement_date", parse_date(F.col("statement_date_text")))
-
-
-def has_account(text: Column) -> Column:
-    found = (portfolio_value(text) != 0) | (F.size(_holdings(_section(text))) > 0) | has_trades(text)
-    return F.coalesce(found, F.lit(False))

@@ -7,8 +7,19 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import detect
 from tallyforge.functions.dates import parse_date
-from tallyforge.functions.text import DATE, captured, collapse_spaces, first_date, first_number, labelled, labels
-from tallyforge.functions.text import strip_spaces
+from tallyforge.functions.text import (
+    DATE,
+    bind,
+    captured,
+    coalesce,
+    collapse_spaces,
+    first_capture,
+    first_number,
+    labelled,
+    quote,
+    replace,
+    strip_spaces,
+)
 
 # What starts a new paystub, in the order tried.
 SEPARATORS = (
@@ -51,20 +62,20 @@ EMPLOYER = "employer | company"
 _CUT = "\u0001\u0002"
 
 
-def sections(text: Column) -> Column:
+def sections(text: str) -> str:
     """The text cut at the hits of the first separator that occurs more than once; otherwise the whole text."""
-    result = F.array(text)
-    for separator in reversed(SEPARATORS):
+    branches = []
+    for separator in SEPARATORS:
         pattern = "(?imU)" + separator
-        pieces = F.split(F.regexp_replace(text, pattern, _CUT + "$0"), _CUT, -1)
-        cut = F.filter(pieces, lambda piece, index: (index > 0) | (piece != ""))
-        result = F.when(F.regexp_count(text, F.lit(pattern)) > 1, cut).otherwise(result)
-    return result
+        pieces = f"split({replace(text, pattern, _CUT + '$0')}, '{_CUT}', -1)"
+        cut = f"filter({pieces}, (piece, i) -> i > 0 OR piece <> '')"
+        branches.append(f"WHEN regexp_count({text}, {quote(pattern)}) > 1 THEN {cut}")
+    return f"CASE {' '.join(branches)} ELSE array({text}) END"
 
 
 def split_paystubs(documents: DataFrame) -> DataFrame:
     """One row per section; a document with several names them `file#1`, `file#2`, ..."""
-    cut = documents.withColumn("_sections", sections(F.col("text")))
+    cut = documents.withColumn("_sections", F.expr(sections("text")))
     several = F.size("_sections") > 1
     return cut.select("source_file", several.alias("_several"), F.posexplode("_sections").alias("_i", "text")).select(
         F.when(F.col("_several"), F.concat("source_file", F.lit("#"), (F.col("_i") + 1).cast("string")))
@@ -73,17 +84,17 @@ def split_paystubs(documents: DataFrame) -> DataFrame:
     )
 
 
-def _pay_date(text: Column) -> Column:
-    return F.coalesce(
+def _pay_date(text: str) -> str:
+    return coalesce(
         captured(text, labelled("pay date", f"({DATE})")),
         captured(text, labelled("pay date", r"(\d{1,2}\s+\w+\s+\d{4})")),
         captured(text, labelled("date", f"({DATE})")),
     )
 
 
-def _period(text: Column, group: int) -> Column:
+def _period(text: str, group: int) -> str:
     span = rf"({DATE})\s*[-–]\s*({DATE})"
-    return F.coalesce(*[captured(text, labelled(label, span), group) for label in ("pay period", "period")])
+    return coalesce(*[captured(text, labelled(label, span), group) for label in ("pay period", "period")])
 
 
 def _written_date(text: Column) -> Column:
@@ -98,20 +109,22 @@ def _written_date(text: Column) -> Column:
 
 def paystub_fields(paystubs: DataFrame) -> DataFrame:
     """Reads every field of each (source_file, text); texts with no pay date, gross or net pay give no row."""
-    text = F.col("_text")
     letters = r"([A-Z][A-Za-z\s&,\.]+)"
-    employer = F.coalesce(*[strip_spaces(captured(text, labelled(label, letters))) for label in labels(EMPLOYER)])
-    read = paystubs.withColumn("_text", collapse_spaces(F.col("text"))).select(
+
+    def numbers(fields: dict[str, str], kind: str = "decimal(18,2)", sign: str = r"\$?") -> list[Column]:
+        return [F.expr(first_number("_text", names, kind, sign)).alias(field) for field, names in fields.items()]
+
+    read = paystubs.withColumn("_text", F.expr(collapse_spaces("text"))).select(
         "source_file",
-        _pay_date(text).alias("pay_date_text"),
-        _period(text, 1).alias("_start"),
-        _period(text, 2).alias("_end"),
-        employer.alias("employer_name"),
-        *[first_number(text, names).alias(field) for field, names in MONEY_FIELDS.items()],
-        *[first_number(text, names, "decimal(18,4)").alias(field) for field, names in RATE_FIELDS.items()],
-        *[first_number(text, names, "decimal(18,4)", "").alias(field) for field, names in HOUR_FIELDS.items()],
-        *[first_number(text, names).alias(field) for field, names in DEDUCTIONS.items()],
-        first_number(text, TOTAL_DEDUCTIONS).alias("_total"),
+        F.expr(_pay_date("_text")).alias("pay_date_text"),
+        F.expr(_period("_text", 1)).alias("_start"),
+        F.expr(_period("_text", 2)).alias("_end"),
+        F.expr(strip_spaces(first_capture("_text", EMPLOYER, letters))).alias("employer_name"),
+        *numbers(MONEY_FIELDS),
+        *numbers(RATE_FIELDS, "decimal(18,4)"),
+        *numbers(HOUR_FIELDS, "decimal(18,4)", ""),
+        *numbers(DEDUCTIONS),
+        *numbers({"_total": TOTAL_DEDUCTIONS}),
     )
     pairs = [item for field in DEDUCTIONS for item in (F.lit(field), F.col(field))]
     known = read.withColumn("deductions", F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull()))
@@ -135,17 +148,16 @@ def paystub_fields(paystubs: DataFrame) -> DataFrame:
 
 def paystubs_from_text(documents: DataFrame) -> DataFrame:
     """Paystubs of all documents that look like one."""
-    return paystub_fields(split_paystubs(documents.filter(detect.is_paystub(F.lower("text")))))
+    lowered = documents.withColumn("_lower", F.lower("text"))
+    likely = lowered.filter(F.expr(detect.is_paystub("_lower"))).drop("_lower")
+    return paystub_fields(split_paystubs(likely))
 
 
-def has_paystub(text: Column) -> Column:
+def has_paystub(text: str) -> str:
     """Whether any section of the text would give a paystub."""
-    def useful(section: Column) -> Column:
-        plain = collapse_spaces(section)
-        gross, net = (first_number(plain, MONEY_FIELDS[field]) for field in ("gross_pay", "net_pay"))
-        return F.coalesce(_pay_date(plain).isNotNull() | (gross != 0) | (net != 0), F.lit(False))
-
-    return F.exists(sections(text), useful)
+    gross, net = (first_number("c", MONEY_FIELDS[field]) for field in ("gross_pay", "net_pay"))
+    useful = f"coalesce({_pay_date('c')} IS NOT NULL OR {gross} <> 0 OR {net} <> 0, false)"
+    return f"exists({sections(text)}, s -> {bind(collapse_spaces('s'), 'c', useful)})"
 
 
 def deductions_from_json(text: Column) -> Column:

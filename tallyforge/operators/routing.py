@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import detect
+from tallyforge.functions.text import matches
 from tallyforge.operators.investments import has_account
 from tallyforge.operators.paystubs import has_paystub
 
@@ -16,16 +17,11 @@ def route_documents(documents: DataFrame) -> DataFrame:
     """Adds `route`, first match wins: row files, then tax form, paystub, investment statement, and otherwise a
     statement read for its balance and transactions. A paystub or an investment statement only counts when it gives
     a record. The CASE asks the costly questions only where the cheap ones said no."""
-    text, lowered, file = F.col("text"), F.col("_lower"), F.col("source_file")
-    return (
-        documents.withColumn("_lower", F.lower("text"))
-        .withColumn(
-            "route",
-            F.when(F.lower(file).rlike(r"\.(csv|xlsx|xls)$"), "rows")
-            .when(detect.tax_form(lowered, file).isNotNull(), "tax")
-            .when(F.when(detect.is_paystub(lowered), has_paystub(text)).otherwise(False), "paystub")
-            .when(F.when(detect.is_investment(lowered, file), has_account(text)).otherwise(False), "investment")
-            .otherwise("statement"),
-        )
-        .drop("_lower")
-    )
+    route = f"""CASE
+        WHEN {matches("lower(source_file)", r"\.(csv|xlsx|xls)$")} THEN 'rows'
+        WHEN {detect.tax_form("_lower", "source_file")} IS NOT NULL THEN 'tax'
+        WHEN CASE WHEN {detect.is_paystub("_lower")} THEN {has_paystub("text")} ELSE false END THEN 'paystub'
+        WHEN CASE WHEN {detect.is_investment("_lower", "source_file")} THEN {has_account("text")} ELSE false END
+            THEN 'investment'
+        ELSE 'statement' END"""
+    return documents.withColumn("_lower", F.lower("text")).withColumn("route", F.expr(route)).drop("_lower")

@@ -8,8 +8,20 @@ from pyspark.sql import functions as F
 from tallyforge.functions import categories, detect, merchants
 from tallyforge.functions.dates import parse_date
 from tallyforge.functions.numbers import parse_money
-from tallyforge.functions.text import DATE, NUMBER, UNICODE, captured, collapse_spaces, first_date, first_number
-from tallyforge.functions.text import strip_spaces
+from tallyforge.functions.text import (
+    DATE,
+    NUMBER,
+    UNICODE,
+    captured,
+    coalesce,
+    collapse_spaces,
+    first_date,
+    first_number,
+    matches,
+    money,
+    quote,
+    strip_spaces,
+)
 
 # A line counts when it is not blank, does not open with a bracket and holds no redaction label.
 _KEPT = r"(?![^\S\n]*\[)(?!.*REDACTED)"
@@ -41,9 +53,9 @@ def dated_lines(documents: DataFrame, start: Column, pattern: str) -> DataFrame:
     carry-forward needs neither a shuffle nor a window, and a document of any length stays inside its row.
     """
     pieces = documents.select("*", F.posexplode(F.split("text", pattern, -1)).alias("_piece_no", "_piece"))
-    opening = F.substring_index("_piece", "\n", 1)
-    own = captured(opening, f"{UNICODE}({DATE})")
-    usable = F.col("_piece").rlike(pattern.replace("(?dmU)^", r"(?dU)\A"))
+    opening = "substring_index(_piece, '\\n', 1)"
+    own = F.expr(captured(opening, f"{UNICODE}({DATE})"))
+    usable = F.expr(matches("_piece", pattern.replace("(?dmU)^", r"(?dU)\A")))
     dated = pieces.withColumn("line_date", F.when(usable, own).otherwise(start))
     lines = dated.select("*", F.posexplode(F.split("_piece", "\n", -1)).alias("_line_no", "line"))
     return lines.withColumn("line_no", F.struct("_piece_no", "_line_no")).drop(
@@ -73,10 +85,12 @@ def transactions_from_text(documents: DataFrame, strict: bool = False) -> DataFr
     kinds = documents.withColumn("_lower", F.lower("text")).select(
         "source_file",
         "text",
-        detect.account_type(F.col("_lower"), F.col("source_file")).alias("account_type"),
-        detect.bank_name(F.col("text"), F.col("_lower"), F.col("source_file")).alias("bank_name"),
+        F.expr(detect.account_type("_lower", "source_file")).alias("account_type"),
+        F.expr(detect.bank_name("text", "_lower", "source_file")).alias("bank_name"),
+    )
+    lines = dated_lines(kinds, F.lit(None).cast("string"), _DATED_LINE).withColumn(
+        "line", F.expr(strip_spaces("line"))
     )
-    lines = dated_lines(kinds, F.lit(None).cast("string"), _DATED_LINE).withColumn("line", strip_spaces(F.col("line")))
     kept = lines.filter(
         (F.col("line") != "") & ~F.col("line").startswith("[") & ~F.col("line").contains("REDACTED")
         & F.col("line").rlike(r"[\p{Nd},]")
@@ -84,16 +98,14 @@ def transactions_from_text(documents: DataFrame, strict: bool = False) -> DataFr
     if strict:
         amounts = _signed_amounts(F.col("line"))
     else:
-        amounts = F.transform(
-            F.regexp_extract_all("line", F.lit(UNICODE + r"[\$]?" + NUMBER), 1),
-            lambda n: parse_money(n, "decimal(38,6)"),
-        )
+        found = f"regexp_extract_all(line, {quote(UNICODE + r'[$]?' + NUMBER)}, 1)"
+        amounts = F.expr(f"transform({found}, n -> {money('n', 'decimal(38,6)')})")
     text = F.left("line", F.lit(200))
     named = kept.select(
         "source_file", "line_no", "line_date", "account_type", "bank_name",
         text.alias("description"), amounts.alias("_amounts"),
-    ).withColumn("merchant_name", merchants.merchant_of(F.col("description"))).withColumn(
-        "category", categories.category_of(F.col("description"))
+    ).withColumn("merchant_name", merchants.merchant_of("description")).withColumn(
+        "category", categories.category_of("description")
     )
     rows = named.select("*", F.posexplode("_amounts").alias("match_no", "_amount"))
     return rows.filter(F.abs("_amount") > F.lit("0.01").cast("decimal(4,2)")).select(
@@ -125,15 +137,15 @@ def transactions_from_rows(rows: DataFrame) -> DataFrame:
         *[F.col(c) for c in rows.columns if c in ("row_id", "source_file")],
         raw_date.alias("transaction_date_text"),
         parse_date(raw_date).alias("transaction_date"),
-        parse_money(strip_spaces(_first_filled(rows, AMOUNT_COLUMNS)), "decimal(38,2)").alias("amount"),
+        parse_money(F.trim(_first_filled(rows, AMOUNT_COLUMNS)), "decimal(38,2)").alias("amount"),
         F.left(_first_filled(rows, TEXT_COLUMNS), F.lit(500)).alias("description"),
         account_kind.alias("account_type"),
-        detect.bank_name(F.lit(""), F.lit(""), F.col("source_file")).alias("bank_name"),
+        F.expr(detect.bank_name("''", "''", "source_file")).alias("bank_name"),
     )
     return picked.filter(F.col("transaction_date_text").isNotNull() | (F.col("amount") != 0)).select(
         "*",
-        merchants.merchant_of(F.col("description")).alias("merchant_name"),
-        categories.category_of(F.col("description")).alias("category"),
+        merchants.merchant_of("description").alias("merchant_name"),
+        categories.category_of("description").alias("category"),
         debit_or_credit(F.col("amount")).alias("transaction_type"),
     )
 
@@ -142,28 +154,32 @@ def with_account(documents: DataFrame) -> DataFrame:
     """Adds the detected `account_type` and `bank_name` to documents."""
     return (
         documents.withColumn("_lower", F.lower("text"))
-        .withColumn("account_type", detect.account_type(F.col("_lower"), F.col("source_file")))
-        .withColumn("bank_name", detect.bank_name(F.col("text"), F.col("_lower"), F.col("source_file")))
+        .withColumn("account_type", F.expr(detect.account_type("_lower", "source_file")))
+        .withColumn("bank_name", F.expr(detect.bank_name("text", "_lower", "source_file")))
         .drop("_lower")
     )
 
 
 def balances_from_text(documents: DataFrame) -> DataFrame:
     """One balance per statement (with `account_type` and `bank_name`); texts without a balance give no row."""
-    text, card = F.col("_text"), F.col("account_type") == "credit_card"
-    statement_date = F.coalesce(
-        first_date(text, "statement date | as of"),
-        captured(text, rf"(?iU)statement\s+period[:\s]+.*?({DATE})"),
+    card = F.col("account_type") == "credit_card"
+    statement_date = coalesce(
+        first_date("_text", "statement date | as of"),
+        captured("_text", rf"(?iU)statement\s+period[:\s]+.*?({DATE})"),
     )
-    fields = documents.withColumn("_text", collapse_spaces(F.col("text"))).select(
+
+    def number(names: str) -> Column:
+        return F.expr(first_number("_text", names))
+
+    fields = documents.withColumn("_text", F.expr(collapse_spaces("text"))).select(
         "source_file", "account_type", "bank_name",
-        statement_date.alias("statement_date_text"),
-        F.when(card, first_number(text, CARD_BALANCE)).otherwise(first_number(text, ACCOUNT_BALANCE)).alias("_found"),
-        F.when(card, first_number(text, AVAILABLE_CREDIT)).alias("available_credit"),
-        F.when(card, first_number(text, CREDIT_LIMIT)).alias("credit_limit"),
-        first_number(text, MINIMUM_PAYMENT).alias("minimum_payment"),
-        first_date(text, DUE_DATE).alias("payment_due_date_text"),
-        first_number(text, APR, "decimal(18,4)", "").alias("apr"),
+        F.expr(statement_date).alias("statement_date_text"),
+        F.when(card, number(CARD_BALANCE)).otherwise(number(ACCOUNT_BALANCE)).alias("_found"),
+        F.when(card, number(AVAILABLE_CREDIT)).alias("available_credit"),
+        F.when(card, number(CREDIT_LIMIT)).alias("credit_limit"),
+        number(MINIMUM_PAYMENT).alias("minimum_payment"),
+        F.expr(first_date("_text", DUE_DATE)).alias("payment_due_date_text"),
+        F.expr(first_number("_text", APR, "decimal(18,4)", "")).alias("apr"),
     )
     implied = F.col("credit_limit") - F.col("available_credit")
     return (

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import detect
-from tallyforge.functions.numbers import parse_money
-from tallyforge.functions.text import NUMBER, first_capture, strip_spaces
+from tallyforge.functions.text import NUMBER, first_capture, money, quote, strip_spaces
 
 _NAME = r"([A-Z][A-Za-z0-9\s&,\.]+)"
 # Labels (box numbers included) per form and field; the first that matches decides.
@@ -46,46 +45,44 @@ TAX_YEAR = "calendar year | year"
 FIELDS = tuple(dict.fromkeys(field for fields in FORM_FIELDS.values() for field in fields))
 
 
-def _read(text: Column, field: str, names: str) -> Column:
+def _read(field: str, names: str) -> str:
     if field.endswith("_name"):
-        return strip_spaces(first_capture(text, names, _NAME))
-    return parse_money(first_capture(text, names, r"\$?" + NUMBER))
+        return strip_spaces(first_capture("text", names, _NAME))
+    return money(first_capture("text", names, r"\$?" + NUMBER))
+
+
+_YEAR = f"try_cast({first_capture('text', TAX_YEAR, r'([0-9]{4})')} AS int)"
 
 
 def form_fields(forms: DataFrame, kind: str) -> DataFrame:
     """Reads the fields of one form kind from (source_file, text)."""
-    text = F.col("text")
     return forms.select(
         "source_file",
         F.lit(kind).alias("document_type"),
-        *[_read(text, field, names).alias(field) for field, names in FORM_FIELDS[kind].items()],
-        first_capture(text, TAX_YEAR, r"(\d{4})").try_cast("int").alias("tax_year"),
+        *[F.expr(_read(field, names)).alias(field) for field, names in FORM_FIELDS[kind].items()],
+        F.expr(_YEAR).alias("tax_year"),
     )
 
 
 def tax_documents_from_text(documents: DataFrame, as_of: dt.date) -> DataFrame:
     """Every recognised form with its own fields filled. The tax year comes from the text, else from the first four
     digits of the file name, else from `as_of`."""
-    text, kind = F.col("text"), F.col("document_type")
     typed = (
         documents.withColumn("_lower", F.lower("text"))
-        .withColumn("document_type", detect.tax_form(F.col("_lower"), F.col("source_file")))
-        .filter(kind.isNotNull())
+        .withColumn("document_type", F.expr(detect.tax_form("_lower", "source_file")))
+        .filter(F.col("document_type").isNotNull())
     )
 
     def field_of(field: str) -> Column:
         # A CASE reads only the branch of the row's own form.
-        value = F.lit(None)
-        for form, fields in FORM_FIELDS.items():
-            if field in fields:
-                value = F.when(kind == form, _read(text, field, fields[field])).otherwise(value)
-        return value.alias(field)
+        branches = [
+            f"WHEN {quote(form)} THEN {_read(field, fields[field])}"
+            for form, fields in FORM_FIELDS.items() if field in fields
+        ]
+        return F.expr(f"CASE document_type {' '.join(branches)} END").alias(field)
 
-    in_text = F.nullif(first_capture(text, TAX_YEAR, r"(\d{4})").try_cast("int"), F.lit(0))
-    in_name = F.nullif(F.regexp_extract("source_file", r"(\d{4})", 1).try_cast("int"), F.lit(0))
+    in_name = "try_cast(regexp_extract(source_file, '([0-9]{4})', 1) AS int)"
+    year = f"coalesce(nullif({_YEAR}, 0), nullif({in_name}, 0), {as_of.year})"
     return typed.select(
-        "source_file",
-        "document_type",
-        F.coalesce(in_text, in_name, F.lit(as_of.year)).alias("tax_year"),
-        *[field_of(field) for field in FIELDS],
+        "source_file", "document_type", F.expr(year).alias("tax_year"), *[field_of(field) for field in FIELDS]
     )

@@ -39,8 +39,8 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
     want = sorted(tuple(_plain(row[p]) for p in places) for row in result.fetchall())
     if got == want:
         return len(got) > 0, f"{len(got)} rows"
-    extra = [r for r in got if r not in set(want)][:3]
-    lost = [r for r in want if r not in set(got)][:3]
+    extra = sorted(set(got) - set(want))[:3]
+    lost = sorted(set(want) - set(got))[:3]
     return False, f"{len(got)} vs {len(want)} rows of {columns}\n  spark only {extra}\n  sql only   {lost}"
 
 
