@@ -436,7 +436,7 @@ def portfolio_texts(i):
 @check("txt21_portfolio_values", "portfolio_base", """
 SELECT concat('inv', id, '.txt') AS source_file, cast(value AS double) AS portfolio_value FROM portfolio_base""")
 def _(i):
-    return portfolio_texts(i).select("source_file", F.expr(investments.portfolio_value("text")).alias("portfolio_value"))
+    return portfolio_texts(i).select("source_file", F.expr(investments.portfolio_value("lower(text)")).alias("portfolio_value"))
 
 
 @check("txt22_holdings", "portfolio_base", """
@@ -499,8 +499,8 @@ def line_documents(i):
    SELECT *, unnest([month(day + 1), day(day + 1), year(day + 1)]) AS v FROM line_base))
 SELECT concat('st', id, '.txt') AS source_file, description, cast(cast(d AS date) AS varchar) AS transaction_date,
  cast(amount AS double) AS amount, CASE WHEN contains(description, 'SHELL') THEN 'Shell'
-   WHEN contains(description, 'NETFLIX') THEN 'Netflix' WHEN contains(description, 'Opening') THEN 'Opening 5'
-   ELSE '- - Interest' END AS merchant_name,
+   WHEN contains(description, 'NETFLIX') THEN 'Netflix' WHEN contains(description, 'Interest')
+   THEN strftime(cast(d AS date), '%m-%d-') || ' Interest Earned' END AS merchant_name,
  CASE WHEN contains(description, 'SHELL') THEN 'Gas' WHEN contains(description, 'NETFLIX') THEN 'Subscriptions'
    WHEN contains(description, 'Interest') THEN 'Banking' END AS category, 'credit' AS transaction_type FROM parts""")
 def _(i):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import bind, fold_lower, quote
+from tallyforge.functions.text import contains_word, quote, search
 
 Rules = tuple[tuple[str, tuple[str, ...]], ...]
 
@@ -176,8 +176,8 @@ def category_of(description: str, rules: Rules = CATEGORY_RULES) -> Column:
     """Name of the first category one of whose keywords occurs in the description; NULL where none does.
     `description` is a column name or SQL text."""
     branches = " ".join(
-        f"WHEN {' OR '.join(f'contains(u, {quote(keyword)})' for keyword in keywords)} THEN {quote(name)}"
+        f"WHEN {' OR '.join(map(contains_word, keywords))} THEN {quote(name)}"
         for name, keywords in effective(rules)
     )
-    first = bind(fold_lower(description), "u", f"CASE {branches} END")
+    first = search(description, f"CASE {branches} END")
     return F.expr(f"CASE WHEN {description} <> '' THEN {first} END")

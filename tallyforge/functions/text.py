@@ -6,6 +6,7 @@ by node: an operand is SQL text (a column name or any expression), and so is the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 # Case-insensitive with Unicode letters, digits and spaces, whatever the Java version's own default for \b is.
@@ -37,8 +38,19 @@ def fold_upper(text: str) -> str:
     return f"translate({text}, '{_SMALL}', '{_LARGE}')"
 
 
-def fold_lower(text: str) -> str:
-    return f"translate(lower({text}), 'ſı', 'si')"
+def fold_case(text: str) -> str:
+    """Small letters throughout, for patterns written in small letters."""
+    return f"translate(lower(translate({text}, 'İ', 'i')), 'ſı', 'si')"
+
+
+def search(text: str, body: str) -> str:
+    """`body` over the text in capitals, folded once, for `contains_word` conditions."""
+    return bind(fold_upper(text), "u", body)
+
+
+def contains_word(word: str) -> str:
+    """Condition inside `search`: the text contains the word, in whatever case."""
+    return f"contains(u, {quote(word.upper())})"
 
 
 def coalesce(*parts: str) -> str:
@@ -58,9 +70,15 @@ def labels(text: str) -> list[str]:
     return [label.strip() for label in text.split("|")]
 
 
-def labelled(label: str, value: str) -> str:
+def labelled(label: str, value: str, flags: str = UNICODE) -> str:
     """Pattern for a label, spaces of any kind between its words, then the value as group 1."""
-    return ANY_CASE + r"\s+".join(label.split(" ")) + AFTER_LABEL + value
+    return flags + r"\s+".join(label.split(" ")) + AFTER_LABEL + value
+
+
+def where_seen(label: str, text: str, read: str) -> str:
+    """`read` only where the label's longest plain word occurs at all, which a byte search tells."""
+    plain = re.findall(r"[a-z0-9']+", re.sub(r"\([^)]*\)\?|.\?|\\.", " ", label))
+    return f"CASE WHEN contains({text}, {quote(max(plain, key=len))}) THEN {read} END" if plain else read
 
 
 def captured(text: str, pattern: str, group: int = 1) -> str:
@@ -77,18 +95,30 @@ def number_at(text: str, pattern: str, group: int = 1, kind: str = "decimal(18,2
     return money(f"regexp_extract({text}, {quote(pattern)}, {group})", kind)
 
 
-def first_capture(text: str, names: str, value: str) -> str:
-    """The first label that matches decides."""
-    return coalesce(*[captured(text, labelled(label, value)) for label in labels(names)])
+def first_capture(lowered: str, names: str, value: str) -> str:
+    """The first label that matches decides. Labels are looked for in case-folded text."""
+    return coalesce(
+        *[where_seen(label, lowered, captured(lowered, labelled(label, value))) for label in labels(names)]
+    )
+
+
+def first_name(text: str, names: str, value: str) -> str:
+    """Like `first_capture`, over text in its own case."""
+    return coalesce(*[captured(text, labelled(label, value, ANY_CASE)) for label in labels(names)])
 
 
-def first_number(text: str, names: str, kind: str = "decimal(18,2)", sign: str = r"\$?") -> str:
-    """The first label whose value also reads as a number."""
-    return coalesce(*[number_at(text, labelled(label, sign + NUMBER), 1, kind) for label in labels(names)])
+def first_number(lowered: str, names: str, kind: str = "decimal(18,2)", sign: str = r"\$?") -> str:
+    """The first label whose value also reads as a number. Labels are looked for in case-folded text."""
+    return coalesce(
+        *[
+            where_seen(label, lowered, number_at(lowered, labelled(label, sign + NUMBER), 1, kind))
+            for label in labels(names)
+        ]
+    )
 
 
-def first_date(text: str, names: str) -> str:
-    return first_capture(text, names, f"({DATE})")
+def first_date(lowered: str, names: str) -> str:
+    return first_capture(lowered, names, f"({DATE})")
 
 
 def any_of(patterns: Iterable[str], flags: str = UNICODE) -> str:

@@ -11,16 +11,18 @@ from tallyforge.functions.text import (
     ANY_CASE,
     DATE,
     NUMBER,
+    UNICODE,
     bind,
     captured,
     coalesce,
     first_date,
     first_number,
-    matches,
+    fold_case,
     money,
     number_at,
     quote,
     strip_spaces,
+    where_seen,
 )
 from tallyforge.operators.statements import dated_lines
 
@@ -35,21 +37,24 @@ HOLDINGS = (
     (rf"([A-Z][A-Za-z\s&,\.]+)\s+-\s+(\d+\.?\d*)\s+shares?\s+-\s+{_MONEY}", 1, 1, 2, 3),
     (rf"([A-Z][A-Za-z\s&,\.]+)\s+\(([A-Z]{{1,5}})\)\s+(\d+\.?\d*)\s+{_MONEY}", 2, 1, 3, 4),
 )
+# What a text must hold for the pattern to match at all.
+_SIGN_OF = dict(zip((h[0] for h in HOLDINGS), ("true", "contains(lower({}), 'share')", "contains({}, '(')")))
 TRADES = {
-    "buy": rf"buy\s+(\d+\.?\d*)\s+([A-Z]{{1,5}})\s+@\s+{_MONEY}",
-    "sell": rf"sell\s+(\d+\.?\d*)\s+([A-Z]{{1,5}})\s+@\s+{_MONEY}",
+    "buy": rf"buy\s+(\d+\.?\d*)\s+([a-z]{{1,5}})\s+@\s+{_MONEY}",
+    "sell": rf"sell\s+(\d+\.?\d*)\s+([a-z]{{1,5}})\s+@\s+{_MONEY}",
 }
-DIVIDEND = rf"dividend\s+([A-Z]{{1,5}})\s+{_MONEY}"
+DIVIDEND = rf"dividend\s+([a-z]{{1,5}})\s+{_MONEY}"
 CASH = {
     "contribution": ("contribution", r"ira\s+contribution", "contributed"),
     "withdrawal": ("withdrawal", "withdrew", "distribution"),
 }
-_TRADE_WORDS = "(?i)buy|sell|dividend|contribut|withdr|distribution"
+# Words without which a line cannot give a trade.
+_TRADE_WORDS = ("buy", "sell", "dividend", "contribut", "withdr", "distribution")
 _DATED_LINE = rf"(?dmU)^(?=.*{DATE})"
 
 
-def portfolio_value(text: str) -> str:
-    return first_number(text, PORTFOLIO_VALUE)
+def portfolio_value(lowered: str) -> str:
+    return first_number(lowered, PORTFOLIO_VALUE)
 
 
 def _section(text: str) -> str:
@@ -73,7 +78,8 @@ def _holdings(section: str) -> str:
             f"named_struct('ticker', {symbol}, 'security_name', {strip_spaces(part(name))}, "
             f"'quantity', try_cast({part(quantity)} AS decimal(18,4)), 'market_value', {money(part(value))})"
         )
-        arrays.append(f"transform(regexp_extract_all({section}, {quote(full)}, 0), h -> {taken})")
+        hits = f"CASE WHEN {_SIGN_OF[pattern].format(section)} THEN regexp_extract_all({section}, {quote(full)}, 0) END"
+        arrays.append(f"transform(coalesce({hits}, cast(array() AS array<string>)), h -> {taken})")
     return f"filter(concat({', '.join(arrays)}), h -> h.quantity IS NOT NULL AND h.market_value IS NOT NULL)"
 
 
@@ -96,27 +102,38 @@ def _row(kind: str, amount: str, ticker: str = "NULL", quantity: str = "NULL", p
 
 
 def _trades(line: str) -> str:
-    """At most one row per kind; trades need quantity, ticker and price, and zero amounts do not count."""
+    """At most one row per kind from a line in small letters; trades need quantity, ticker and price, and zero
+    amounts do not count. A kind's patterns only run where its word occurs."""
     rows = []
     for kind, pattern in TRADES.items():
-        full = ANY_CASE + pattern
-        quantity, price = number_at(line, full, 1, "decimal(18,4)"), number_at(line, full, 3)
-        row = _row(kind, f"{quantity} * {price}", f"upper({captured(line, full, 2)})", quantity, price)
-        rows.append(f"CASE WHEN {quantity} <> 0 AND {price} IS NOT NULL THEN {row} END")
-    full = ANY_CASE + DIVIDEND
-    paid = number_at(line, full, 2)
-    rows.append(f"CASE WHEN {paid} <> 0 THEN {_row('dividend', paid, f'upper({captured(line, full, 1)})')} END")
+        full = UNICODE + pattern
+        row = _row(kind, "q * p", f"upper({captured(line, full, 2)})", "q", "p")
+        priced = bind(number_at(line, full, 3), "p", f"CASE WHEN p IS NOT NULL THEN {row} END")
+        counted = bind(number_at(line, full, 1, "decimal(18,4)"), "q", f"CASE WHEN q <> 0 THEN {priced} END")
+        rows.append(f"CASE WHEN contains({line}, '{kind}') THEN {counted} END")
+    full = UNICODE + DIVIDEND
+    row = _row("dividend", "a", f"upper({captured(line, full, 1)})")
+    paid = bind(number_at(line, full, 2), "a", f"CASE WHEN a <> 0 THEN {row} END")
+    rows.append(f"CASE WHEN contains({line}, 'dividend') THEN {paid} END")
     for kind, words in CASH.items():
-        amounts = [f"nullif({number_at(line, rf'{ANY_CASE}{word}\s+{_MONEY}')}, 0)" for word in words]
+        amounts = [
+            where_seen(word, line, f"nullif({number_at(line, rf'{UNICODE}{word}\s+{_MONEY}')}, 0)") for word in words
+        ]
         rows.append(bind(coalesce(*amounts), "a", f"CASE WHEN a IS NOT NULL THEN {_row(kind, 'a')} END"))
     return f"array_compact(array({', '.join(rows)}))"
 
 
+def _may_trade(line: str) -> str:
+    return "(" + " OR ".join(f"contains({line}, '{word}')" for word in _TRADE_WORDS) + ")"
+
+
 def trades_from_text(documents: DataFrame) -> DataFrame:
     """Trades and cash movements line by line; the date is carried down, starting from the statement date."""
-    dated = documents.select("source_file", "text", F.expr(first_date("text", STATEMENT_DATE)).alias("_start"))
+    dated = documents.withColumn("_low", F.expr(fold_case("text"))).select(
+        "source_file", F.col("_low").alias("text"), F.expr(first_date("_low", STATEMENT_DATE)).alias("_start")
+    )
     lines = dated_lines(dated, F.col("_start"), _DATED_LINE)
-    worth = lines.filter(F.col("line").rlike(_TRADE_WORDS))
+    worth = lines.filter(F.expr(_may_trade("line")))
     found = worth.select("source_file", "line_no", "line_date", F.expr(f"posexplode({_trades('line')}) AS (_n, _t)"))
     return found.select(
         "source_file", "line_no",
@@ -126,30 +143,30 @@ def trades_from_text(documents: DataFrame) -> DataFrame:
     )
 
 
-def has_trades(text: str) -> str:
-    """Whether any line of the text gives a trade."""
-    found = f"CASE WHEN {matches('l', _TRADE_WORDS)} THEN size({_trades('l')}) > 0 ELSE false END"
-    return f"exists(split({text}, '\\n', -1), l -> {found})"
+def has_trades(lowered: str) -> str:
+    """Whether any line of the case-folded text gives a trade."""
+    found = f"CASE WHEN {_may_trade('l')} THEN size({_trades('l')}) > 0 ELSE false END"
+    return f"exists(split({lowered}, '\\n', -1), l -> {found})"
 
 
-def has_account(text: str) -> str:
-    value = f"coalesce({portfolio_value(text)} <> 0, false)"
-    return f"({value} OR size({_holdings(_section(text))}) > 0 OR {has_trades(text)})"
+def has_account(text: str, lowered: str) -> str:
+    value = f"coalesce({portfolio_value(lowered)} <> 0, false)"
+    return f"({value} OR size({_holdings(_section(text))}) > 0 OR {has_trades(lowered)})"
 
 
 def accounts_from_text(documents: DataFrame) -> DataFrame:
     """One record per investment statement that shows a value, a holding or a trade."""
-    lowered = documents.withColumn("_lower", F.lower("text"))
+    lowered = documents.withColumn("_lower", F.expr(fold_case("text")))
     likely = lowered.filter(F.expr(detect.is_investment("_lower", "source_file")))
+    kind = f"coalesce({detect.investment_type('_lower', 'source_file')}, 'investment_account')"
     read = likely.withColumn("_section", F.expr(_section("text"))).select(
         "source_file",
-        F.expr(f"coalesce({detect.investment_type('_lower', 'source_file')}, 'investment_account')")
-        .alias("account_type"),
+        F.expr(kind).alias("account_type"),
         F.expr(detect.bank_name("text", "_lower", "source_file")).alias("bank_name"),
-        F.expr(first_date("text", STATEMENT_DATE)).alias("statement_date_text"),
-        F.expr(portfolio_value("text")).alias("portfolio_value"),
+        F.expr(first_date("_lower", STATEMENT_DATE)).alias("statement_date_text"),
+        F.expr(portfolio_value("_lower")).alias("portfolio_value"),
         F.size(F.expr(_holdings("_section"))).alias("holding_count"),
-        F.expr(has_trades("text")).alias("has_trades"),
+        F.expr(has_trades("_lower")).alias("has_trades"),
     )
     useful = (F.col("portfolio_value") != 0) | (F.col("holding_count") > 0) | F.col("has_trades")
     return read.filter(useful).withColumn("statement_date", parse_date(F.col("statement_date_text")))

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from tallyforge.functions import detect
 from tallyforge.functions.dates import parse_date
 from tallyforge.functions.text import (
+    ANY_CASE,
     DATE,
     bind,
     captured,
     coalesce,
     collapse_spaces,
-    first_capture,
+    first_name,
     first_number,
+    fold_case,
     labelled,
     quote,
     replace,
@@ -86,9 +88,9 @@ def split_paystubs(documents: DataFrame) -> DataFrame:
 
 def _pay_date(text: str) -> str:
     return coalesce(
-        captured(text, labelled("pay date", f"({DATE})")),
-        captured(text, labelled("pay date", r"(\d{1,2}\s+\w+\s+\d{4})")),
-        captured(text, labelled("date", f"({DATE})")),
+        captured(text, labelled("pay date", f"({DATE})", ANY_CASE)),
+        captured(text, labelled("pay date", r"(\d{1,2}\s+\w+\s+\d{4})", ANY_CASE)),
+        captured(text, labelled("date", f"({DATE})", ANY_CASE)),
     )
 
 
@@ -112,14 +114,15 @@ def paystub_fields(paystubs: DataFrame) -> DataFrame:
     letters = r"([A-Z][A-Za-z\s&,\.]+)"
 
     def numbers(fields: dict[str, str], kind: str = "decimal(18,2)", sign: str = r"\$?") -> list[Column]:
-        return [F.expr(first_number("_text", names, kind, sign)).alias(field) for field, names in fields.items()]
+        return [F.expr(first_number("_low", names, kind, sign)).alias(field) for field, names in fields.items()]
 
-    read = paystubs.withColumn("_text", F.expr(collapse_spaces("text"))).select(
+    plain = paystubs.withColumn("_text", F.expr(collapse_spaces("text")))
+    read = plain.withColumn("_low", F.expr(fold_case("_text"))).select(
         "source_file",
         F.expr(_pay_date("_text")).alias("pay_date_text"),
-        F.expr(_period("_text", 1)).alias("_start"),
-        F.expr(_period("_text", 2)).alias("_end"),
-        F.expr(strip_spaces(first_capture("_text", EMPLOYER, letters))).alias("employer_name"),
+        F.expr(_period("_low", 1)).alias("_start"),
+        F.expr(_period("_low", 2)).alias("_end"),
+        F.expr(strip_spaces(first_name("_text", EMPLOYER, letters))).alias("employer_name"),
         *numbers(MONEY_FIELDS),
         *numbers(RATE_FIELDS, "decimal(18,4)"),
         *numbers(HOUR_FIELDS, "decimal(18,4)", ""),
@@ -157,7 +160,7 @@ def has_paystub(text: str) -> str:
     """Whether any section of the text would give a paystub."""
     gross, net = (first_number("c", MONEY_FIELDS[field]) for field in ("gross_pay", "net_pay"))
     useful = f"coalesce({_pay_date('c')} IS NOT NULL OR {gross} <> 0 OR {net} <> 0, false)"
-    return f"exists({sections(text)}, s -> {bind(collapse_spaces('s'), 'c', useful)})"
+    return f"exists({sections(text)}, s -> {bind(fold_case(collapse_spaces('s')), 'c', useful)})"
 
 
 def deductions_from_json(text: Column) -> Column:

@@ -46,26 +46,42 @@ def lookup_join(
     return sliced.join(repeated, [*keys, "_slice"], how).drop("_slice")
 
 
-def running_total(
-    rows: DataFrame, group: list[str], chunk: list[Column], order: list[Column], value: Column, name: str
+def running_totals(
+    rows: DataFrame,
+    group: list[str],
+    chunk: list[Column],
+    order: list[Column],
+    totals: dict[str, Column],
+    least: dict[str, Column] | None = None,
+    most: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Running total of `value` up to and including each row, in two levels.
+    """Running totals up to and including each row, and smallest and largest values of the whole group, in two levels.
 
-    `chunk` orders a group coarsely and `order` finishes the ordering inside a chunk. The wide window runs over one
-    row per (group, chunk); the row-level window only ever sees one chunk, so a large group is spread over tasks.
+    `chunk` orders a group coarsely and `order` finishes the ordering inside a chunk. The windows over a whole group
+    see one row per (group, chunk); the row-level window only ever sees one chunk, so a large group is spread over
+    tasks.
     """
+    least, most = least or {}, most or {}
     marks = [f"_chunk{i}" for i in range(len(chunk))]
-    marked = rows.select("*", *[c.alias(m) for c, m in zip(chunk, marks)], value.alias("_value"))
+    values = {f"_value_{name}": value for name, value in (totals | least | most).items()}
+    marked = rows.withColumns({m: c for m, c in zip(marks, chunk)} | values)
     before = Window.partitionBy(*group).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        marked.groupBy(*group, *marks)
-        .agg(F.sum("_value").alias("_sum"))
-        .select(*group, *marks, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    whole = Window.partitionBy(*group)
+    per_chunk = marked.groupBy(*group, *marks).agg(
+        *[F.sum(f"_value_{name}").alias(f"_sum_{name}") for name in totals],
+        *[F.min(f"_value_{name}").alias(f"_least_{name}") for name in least],
+        *[F.max(f"_value_{name}").alias(f"_most_{name}") for name in most],
+    )
+    spans = per_chunk.select(
+        *group,
+        *marks,
+        *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in totals],
+        *[F.min(f"_least_{name}").over(whole).alias(name) for name in least],
+        *[F.max(f"_most_{name}").over(whole).alias(name) for name in most],
     )
     inside = Window.partitionBy(*group, *marks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        marked.withColumn("_inside", F.sum("_value").over(inside))
-        .join(offsets, [*group, *marks])
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_value", "_offset", "_inside", *marks)
+    summed = marked.withColumns({f"_inside_{name}": F.sum(f"_value_{name}").over(inside) for name in totals})
+    joined = summed.join(spans, [*group, *marks]).withColumns(
+        {name: F.col(f"_before_{name}") + F.col(f"_inside_{name}") for name in totals}
     )
+    return joined.select(*rows.columns, *totals, *least, *most)

@@ -12,11 +12,13 @@ from tallyforge.functions.text import (
     DATE,
     NUMBER,
     UNICODE,
+    bind,
     captured,
     coalesce,
     collapse_spaces,
     first_date,
     first_number,
+    fold_case,
     matches,
     money,
     quote,
@@ -69,7 +71,7 @@ def _signed_amounts(line: Column) -> Column:
     found = F.regexp_extract_all(bare, F.lit(UNICODE + r"([-(]?\s?\$?\d[\d,]*\.?\d*\)?)"), 1)
 
     def value(token: Column) -> Column:
-        size = parse_money(F.regexp_replace(token, r"[-()\s]", ""), "decimal(38,2)")
+        size = parse_money(F.regexp_replace(token, r"[-()\s]", ""), "decimal(38,6)")
         negative = token.startswith("-") | (token.startswith("(") & token.endswith(")"))
         return F.when(negative, -size).otherwise(size)
 
@@ -80,7 +82,7 @@ def transactions_from_text(documents: DataFrame, strict: bool = False) -> DataFr
     """Every number on every kept line as a transaction, with the carried date and the line's merchant and category.
 
     By default each run of digits is an amount, date parts included, and no sign is read. `strict` leaves dates out
-    and reads a minus or parentheses. Amounts are DECIMAL(38,2); numbers of one cent or less are dropped.
+    and reads a minus or parentheses. Amounts keep six decimals, as DECIMAL(38,6); numbers of one cent or less are dropped.
     """
     kinds = documents.withColumn("_lower", F.lower("text")).select(
         "source_file",
@@ -112,7 +114,7 @@ def transactions_from_text(documents: DataFrame, strict: bool = False) -> DataFr
         "source_file", "line_no", "match_no",
         F.col("line_date").alias("transaction_date_text"),
         parse_date(F.col("line_date")).alias("transaction_date"),
-        F.col("_amount").cast("decimal(38,2)").alias("amount"),
+        F.col("_amount").alias("amount"),
         "description", "merchant_name", "category", "account_type", "bank_name",
         debit_or_credit(F.col("_amount")).alias("transaction_type"),
     )
@@ -137,7 +139,7 @@ def transactions_from_rows(rows: DataFrame) -> DataFrame:
         *[F.col(c) for c in rows.columns if c in ("row_id", "source_file")],
         raw_date.alias("transaction_date_text"),
         parse_date(raw_date).alias("transaction_date"),
-        parse_money(F.trim(_first_filled(rows, AMOUNT_COLUMNS)), "decimal(38,2)").alias("amount"),
+        parse_money(F.trim(_first_filled(rows, AMOUNT_COLUMNS)), "decimal(38,6)").alias("amount"),
         F.left(_first_filled(rows, TEXT_COLUMNS), F.lit(500)).alias("description"),
         account_kind.alias("account_type"),
         F.expr(detect.bank_name("''", "''", "source_file")).alias("bank_name"),
@@ -164,22 +166,22 @@ def balances_from_text(documents: DataFrame) -> DataFrame:
     """One balance per statement (with `account_type` and `bank_name`); texts without a balance give no row."""
     card = F.col("account_type") == "credit_card"
     statement_date = coalesce(
-        first_date("_text", "statement date | as of"),
-        captured("_text", rf"(?iU)statement\s+period[:\s]+.*?({DATE})"),
+        first_date("_low", "statement date | as of"),
+        captured("_low", rf"(?U)statement\s+period[:\s]+.*?({DATE})"),
     )
 
     def number(names: str) -> Column:
-        return F.expr(first_number("_text", names))
+        return F.expr(bind("_low", "t", first_number("t", names)))
 
-    fields = documents.withColumn("_text", F.expr(collapse_spaces("text"))).select(
+    fields = documents.withColumn("_low", F.expr(fold_case(collapse_spaces("text")))).select(
         "source_file", "account_type", "bank_name",
         F.expr(statement_date).alias("statement_date_text"),
         F.when(card, number(CARD_BALANCE)).otherwise(number(ACCOUNT_BALANCE)).alias("_found"),
         F.when(card, number(AVAILABLE_CREDIT)).alias("available_credit"),
         F.when(card, number(CREDIT_LIMIT)).alias("credit_limit"),
         number(MINIMUM_PAYMENT).alias("minimum_payment"),
-        F.expr(first_date("_text", DUE_DATE)).alias("payment_due_date_text"),
-        F.expr(first_number("_text", APR, "decimal(18,4)", "")).alias("apr"),
+        F.expr(first_date("_low", DUE_DATE)).alias("payment_due_date_text"),
+        F.expr(first_number("_low", APR, "decimal(18,4)", "")).alias("apr"),
     )
     implied = F.col("credit_limit") - F.col("available_credit")
     return (

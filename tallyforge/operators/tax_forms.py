@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import detect
-from tallyforge.functions.text import NUMBER, first_capture, money, quote, strip_spaces
+from tallyforge.functions.text import NUMBER, first_capture, first_name, fold_case, money, quote, strip_spaces
 
 _NAME = r"([A-Z][A-Za-z0-9\s&,\.]+)"
 # Labels (box numbers included) per form and field; the first that matches decides.
@@ -47,16 +47,16 @@ FIELDS = tuple(dict.fromkeys(field for fields in FORM_FIELDS.values() for field
 
 def _read(field: str, names: str) -> str:
     if field.endswith("_name"):
-        return strip_spaces(first_capture("text", names, _NAME))
-    return money(first_capture("text", names, r"\$?" + NUMBER))
+        return strip_spaces(first_name("text", names, _NAME))
+    return money(first_capture("_lower", names, r"\$?" + NUMBER))
 
 
-_YEAR = f"try_cast({first_capture('text', TAX_YEAR, r'([0-9]{4})')} AS int)"
+_YEAR = f"try_cast({first_capture('_lower', TAX_YEAR, r'([0-9]{4})')} AS int)"
 
 
 def form_fields(forms: DataFrame, kind: str) -> DataFrame:
     """Reads the fields of one form kind from (source_file, text)."""
-    return forms.select(
+    return forms.withColumn("_lower", F.expr(fold_case("text"))).select(
         "source_file",
         F.lit(kind).alias("document_type"),
         *[F.expr(_read(field, names)).alias(field) for field, names in FORM_FIELDS[kind].items()],
@@ -68,7 +68,7 @@ def tax_documents_from_text(documents: DataFrame, as_of: dt.date) -> DataFrame:
     """Every recognised form with its own fields filled. The tax year comes from the text, else from the first four
     digits of the file name, else from `as_of`."""
     typed = (
-        documents.withColumn("_lower", F.lower("text"))
+        documents.withColumn("_lower", F.expr(fold_case("text")))
         .withColumn("document_type", F.expr(detect.tax_form("_lower", "source_file")))
         .filter(F.col("document_type").isNotNull())
     )
