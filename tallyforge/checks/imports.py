@@ -15,13 +15,6 @@ Y1997 = (dt.date(1997, 1, 1), dt.date(1997, 12, 31))
 
 # A later export that overlaps the stored ledger: full rows from 1999 on, and a terse copy of older ones without
 # merchant, in capitals and cut short.
-samples.VIEWS["plain_rows"] = """
-SELECT o_orderkey AS id, cast(o_orderdate AS date) AS transaction_date,
-       cast(floor(o_totalprice / 100) AS decimal(18,2)) AS amount,
-       concat('Customer ', cast(o_custkey AS varchar(20)), ' ', o_orderpriority) AS description,
-       CASE WHEN o_custkey % 50 <> 0 THEN concat('C', cast(o_custkey AS varchar(20))) END AS merchant_name
-FROM {orders}
-"""
 samples.VIEWS["incoming"] = """
 SELECT id * 2 AS arrival, transaction_date, amount, description, merchant_name FROM {plain_rows}
 WHERE transaction_date >= cast('1999-01-01' AS date)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,10 +36,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-def shared_folder(spark: SparkSession, fallback: str) -> str:
-    """The folder every executor can reach: the cluster's checkpoint folder, or `fallback` where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or fallback
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return os.path.join(folder, "tallyforge")
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that every executor can reach, under the cluster's own checkpoint folder. Only a session on one
+    machine may go without that setting; it gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        base = tempfile.mkdtemp(prefix="tallyforge-")
+    return f"{base.rstrip('/')}/tallyforge-{name}-{uuid.uuid4().hex}"

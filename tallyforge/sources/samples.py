@@ -198,6 +198,15 @@ FROM (SELECT o_orderkey, o_orderstatus,
       FROM {orders}) AS r
 """
 
+# The ledger from one table alone.
+VIEWS["plain_rows"] = """
+SELECT o_orderkey AS id, cast(o_orderdate AS date) AS transaction_date,
+       cast(floor(o_totalprice / 100) AS decimal(18,2)) AS amount,
+       concat('Customer ', cast(o_custkey AS varchar(20)), ' ', o_orderpriority) AS description,
+       CASE WHEN o_custkey % 50 <> 0 THEN concat('C', cast(o_custkey AS varchar(20))) END AS merchant_name
+FROM {orders}
+"""
+
 # Bank-style descriptions: merchant words, a reference number and a name.
 VIEWS["descriptions"] = """
 SELECT o_orderkey AS id,
