@@ -137,7 +137,7 @@ def merchant_sql(column: str) -> str:
 
 @check("txt04_categories", "descriptions", f"SELECT id, {category_sql('description')} AS category FROM descriptions")
 def _(i):
-    return i.descriptions.select("id", categories.category_of("description").alias("category"))
+    return spread(i.descriptions).select("id", categories.category_of("description").alias("category"))
 
 
 @check("txt04_document_categories", sql=f"SELECT doc_id, {category_sql('text')} AS category FROM documents")
@@ -148,7 +148,7 @@ def _(i):
 @check("txt05_merchants", "descriptions",
        f"SELECT id, {merchant_sql('description')} AS merchant FROM descriptions")
 def _(i):
-    return i.descriptions.select("id", merchants.merchant_of("description").alias("merchant"))
+    return spread(i.descriptions).select("id", merchants.merchant_of("description").alias("merchant"))
 
 
 @check("txt05_known_merchants", sql=f"SELECT doc_id, {known_merchant_sql('text')} AS merchant FROM documents")
@@ -244,6 +244,12 @@ def _(i):
     return i.headings.select("id", guard.alias("is_investment"))
 
 
+def spread(rows):
+    """The sample tables are one small file each; rendering and reading texts is all work, so the narrow base rows
+    are dealt out over the session's cores first."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _us(date):
     return F.date_format(date, "MM/dd/yyyy")
 
@@ -253,7 +259,7 @@ def _usd(amount):
 
 
 def card_statements(i):
-    b = i.account_balances
+    b = spread(i.account_balances)
     return b.select(
         F.concat(F.lit("s"), F.col("id").cast("string"), F.lit(".txt")).alias("source_file"), "account_type",
         "bank_name",
@@ -283,7 +289,7 @@ def _(i):
 
 
 def paystub_documents(i):
-    p = i.paystubs
+    p = spread(i.paystubs)
 
     def stub(extra: int):
         return F.concat(
@@ -347,7 +353,7 @@ def tax_texts(i):
         lines = [F.concat(F.lit(f"{label}: $"), _usd(value), F.lit("\n")) for label, value in fields]
         page = F.concat(F.lit(title), F.coalesce(year, F.lit("")), *lines, F.lit(last), F.col("name"))
         body = F.when(F.col("id") % 4 == number, page).otherwise(body)
-    return i.form_base.select(
+    return spread(i.form_base).select(
         F.concat(F.lit("f"), F.col("tax_year"), F.lit("_"), F.col("id"), F.lit(".txt")).alias("source_file"),
         body.alias("text"),
     )
@@ -419,7 +425,7 @@ FROM {orders}
 
 
 def portfolio_texts(i):
-    return i.portfolio_base.select(
+    return spread(i.portfolio_base).select(
         F.concat(F.lit("inv"), F.col("id"), F.lit(".txt")).alias("source_file"),
         F.concat(
             F.lit("Securities Account\nPortfolio Value: $"), _usd("value"), F.lit("\nStatement Date: "), _us("day"),
@@ -479,7 +485,7 @@ FROM {orders}
 
 
 def line_documents(i):
-    return i.line_base.select(
+    return spread(i.line_base).select(
         F.concat(F.lit("st"), F.col("id"), F.lit(".txt")).alias("source_file"),
         F.concat(
             F.lit("Opening 5\n[seen "), _us("day"), F.lit("]\n  "), _us("day"), F.lit(" SHELL OIL "), _usd("amount"),
@@ -550,7 +556,7 @@ SELECT row_id, source_file, d AS transaction_date_text, d AS transaction_date, c
  CASE WHEN a < 0 THEN 'debit' WHEN a >= 0 THEN 'credit' END AS transaction_type
 FROM picked WHERE d IS NOT NULL OR a <> 0""")
 def _(i):
-    return statements.transactions_from_rows(i.raw_rows)
+    return statements.transactions_from_rows(spread(i.raw_rows))
 
 
 @check("txt12_debit_credit", "transactions", """

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import contains_word, quote, search
+from tallyforge.functions.keywords import lookup, prefixes, with_words
+from tallyforge.functions.text import quote
 
 Rules = tuple[tuple[str, tuple[str, ...]], ...]
 
@@ -175,9 +176,13 @@ def effective(rules: Rules) -> Rules:
 def category_of(description: str, rules: Rules = CATEGORY_RULES) -> Column:
     """Name of the first category one of whose keywords occurs in the description; NULL where none does.
     `description` is a column name or SQL text."""
-    branches = " ".join(
-        f"WHEN {' OR '.join(map(contains_word, keywords))} THEN {quote(name)}"
-        for name, keywords in effective(rules)
+    place = {
+        keyword.upper(): n for n, (_, keywords) in reversed(list(enumerate(effective(rules), 1))) for keyword in keywords
+    }
+    best = {word: str(min(place[p] for p in prefixes(word, set(place)))) for word in place}
+    names = f"array({', '.join(quote(name) for name, _ in effective(rules))})"
+    first = with_words(
+        description, place,
+        lambda _, found: f"try_element_at({names}, array_min(transform({found}, w -> {lookup('w', best)})))",
     )
-    first = search(description, f"CASE {branches} END")
     return F.expr(f"CASE WHEN {description} <> '' THEN {first} END")

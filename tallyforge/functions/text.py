@@ -43,16 +43,6 @@ def fold_case(text: str) -> str:
     return f"translate(lower(translate({text}, 'İ', 'i')), 'ſı', 'si')"
 
 
-def search(text: str, body: str) -> str:
-    """`body` over the text in capitals, folded once, for `contains_word` conditions."""
-    return bind(fold_upper(text), "u", body)
-
-
-def contains_word(word: str) -> str:
-    """Condition inside `search`: the text contains the word, in whatever case."""
-    return f"contains(u, {quote(word.upper())})"
-
-
 def coalesce(*parts: str) -> str:
     return parts[0] if len(parts) == 1 else f"coalesce({', '.join(parts)})"
 
