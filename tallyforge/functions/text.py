@@ -33,14 +33,19 @@ def bind(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def _is_ascii(text: str) -> str:
+    return f"octet_length({text}) = char_length({text})"
+
+
 def fold_upper(text: str) -> str:
     """Capitals throughout, so that a case-insensitive search for plain letters becomes a byte search."""
-    return f"translate({text}, '{_SMALL}', '{_LARGE}')"
+    return f"CASE WHEN {_is_ascii(text)} THEN upper({text}) ELSE translate({text}, '{_SMALL}', '{_LARGE}') END"
 
 
 def fold_case(text: str) -> str:
     """Small letters throughout, for patterns written in small letters."""
-    return f"translate(lower(translate({text}, 'İ', 'i')), 'ſı', 'si')"
+    wide = f"translate(lower(translate({text}, 'İ', 'i')), 'ſı', 'si')"
+    return f"CASE WHEN {_is_ascii(text)} THEN lower({text}) ELSE {wide} END"
 
 
 def coalesce(*parts: str) -> str:
@@ -81,8 +86,10 @@ def money(text: str, kind: str = "decimal(18,2)") -> str:
 
 
 def number_at(text: str, pattern: str, group: int = 1, kind: str = "decimal(18,2)") -> str:
-    """The group read as a number; NULL where nothing matches or it does not read as one."""
-    return money(f"regexp_extract({text}, {quote(pattern)}, {group})", kind)
+    """The group read as a number; NULL where nothing matches or it does not read as one. The match is asked first:
+    a failed cast of nothing costs far more than a second search."""
+    read = money(f"regexp_extract({text}, {quote(pattern)}, {group})", kind)
+    return f"CASE WHEN {matches(text, pattern)} THEN {read} END"
 
 
 def first_capture(lowered: str, names: str, value: str) -> str:

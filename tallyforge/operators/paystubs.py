@@ -160,7 +160,7 @@ def has_paystub(text: str) -> str:
     """Whether any section of the text would give a paystub."""
     gross, net = (first_number("c", MONEY_FIELDS[field]) for field in ("gross_pay", "net_pay"))
     useful = f"coalesce({_pay_date('c')} IS NOT NULL OR {gross} <> 0 OR {net} <> 0, false)"
-    return f"exists({sections(text)}, s -> {bind(fold_case(collapse_spaces('s')), 'c', useful)})"
+    return f"exists({sections(text)}, s -> {bind(collapse_spaces('s'), 'p', bind(fold_case('p'), 'c', useful))})"
 
 
 def deductions_from_json(text: Column) -> Column:

@@ -173,7 +173,8 @@ def balances_from_text(documents: DataFrame) -> DataFrame:
     def number(names: str) -> Column:
         return F.expr(bind("_low", "t", first_number("t", names)))
 
-    fields = documents.withColumn("_low", F.expr(fold_case(collapse_spaces("text")))).select(
+    plain = documents.withColumn("_text", F.expr(collapse_spaces("text")))
+    fields = plain.withColumn("_low", F.expr(fold_case("_text"))).select(
         "source_file", "account_type", "bank_name",
         F.expr(statement_date).alias("statement_date_text"),
         F.when(card, number(CARD_BALANCE)).otherwise(number(ACCOUNT_BALANCE)).alias("_found"),
