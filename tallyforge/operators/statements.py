@@ -78,7 +78,12 @@ def _signed_amounts(line: Column) -> Column:
     return F.transform(found, value)
 
 
-def transactions_from_text(documents: DataFrame, strict: bool = False) -> DataFrame:
+def transactions_from_text(
+    documents: DataFrame,
+    strict: bool = False,
+    merchant_rules: merchants.Rules = merchants.MERCHANT_RULES,
+    category_rules: categories.Rules = categories.CATEGORY_RULES,
+) -> DataFrame:
     """Every number on every kept line as a transaction, with the carried date and the line's merchant and category.
 
     By default each run of digits is an amount, date parts included, and no sign is read. `strict` leaves dates out
@@ -106,8 +111,8 @@ def transactions_from_text(documents: DataFrame, strict: bool = False) -> DataFr
     named = kept.select(
         "source_file", "line_no", "line_date", "account_type", "bank_name",
         text.alias("description"), amounts.alias("_amounts"),
-    ).withColumn("merchant_name", merchants.merchant_of("description")).withColumn(
-        "category", categories.category_of("description")
+    ).withColumn("merchant_name", merchants.merchant_of("description", merchant_rules)).withColumn(
+        "category", categories.category_of("description", category_rules)
     )
     rows = named.select("*", F.posexplode("_amounts").alias("match_no", "_amount"))
     return rows.filter(F.abs("_amount") > F.lit("0.01").cast("decimal(4,2)")).select(
@@ -125,7 +130,11 @@ def _first_filled(rows: DataFrame, names: tuple[str, ...]) -> Column:
     return F.coalesce(*present) if present else F.lit(None).cast("string")
 
 
-def transactions_from_rows(rows: DataFrame) -> DataFrame:
+def transactions_from_rows(
+    rows: DataFrame,
+    merchant_rules: merchants.Rules = merchants.MERCHANT_RULES,
+    category_rules: categories.Rules = categories.CATEGORY_RULES,
+) -> DataFrame:
     """Transactions from an all-text row table of any known layout. The first filled candidate column decides, even
     where its amount does not parse; rows with neither a date nor a non-zero amount are dropped."""
     account = F.lower(_first_filled(rows, ACCOUNT_COLUMNS))
@@ -146,18 +155,20 @@ def transactions_from_rows(rows: DataFrame) -> DataFrame:
     )
     return picked.filter(F.col("transaction_date_text").isNotNull() | (F.col("amount") != 0)).select(
         "*",
-        merchants.merchant_of("description").alias("merchant_name"),
-        categories.category_of("description").alias("category"),
+        merchants.merchant_of("description", merchant_rules).alias("merchant_name"),
+        categories.category_of("description", category_rules).alias("category"),
         debit_or_credit(F.col("amount")).alias("transaction_type"),
     )
 
 
-def with_account(documents: DataFrame) -> DataFrame:
-    """Adds the detected `account_type` and `bank_name` to documents."""
+def with_account(
+    documents: DataFrame, banks: detect.Kinds = detect.BANKS, kinds: detect.Kinds = detect.ACCOUNT_TYPES
+) -> DataFrame:
+    """Adds the detected `account_type` and `bank_name` to documents; both pattern lists may be the user's own."""
     return (
         documents.withColumn("_lower", F.lower("text"))
-        .withColumn("account_type", F.expr(detect.account_type("_lower", "source_file")))
-        .withColumn("bank_name", F.expr(detect.bank_name("text", "_lower", "source_file")))
+        .withColumn("account_type", F.expr(detect.account_type("_lower", "source_file", kinds)))
+        .withColumn("bank_name", F.expr(detect.bank_name("text", "_lower", "source_file", banks)))
         .drop("_lower")
     )
 

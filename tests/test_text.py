@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.functions import categories, dates, merchants, redaction, text
+from tallyforge.functions import categories, dates, detect, merchants, redaction, text
 from tallyforge.operators import investments, paystubs, routing, statements, tax_forms
 
 
@@ -205,3 +205,13 @@ def test_routes(spark):
     got = {r.source_file[0]: r.route for r in routing.route_documents(pages).collect()}
     assert got == {"a": "rows", "b": "tax", "c": "paystub", "d": "statement", "e": "investment", "f": "statement",
                    "g": "statement"}
+
+
+def test_own_banks_and_rules(spark):
+    pages = documents(spark, ("a.txt", "1/2/2024 zzbank pays zed 7"))
+    banks = {"Zed Bank": (r"\bzzbank\b",), **detect.BANKS}
+    assert statements.with_account(pages, banks=banks).collect()[0].bank_name == "Zed Bank"
+    rules = merchants.with_merchant(merchants.MERCHANT_RULES, "ZED", "Zed")
+    groups = categories.with_category((), "Pay", ["pays"])
+    rows = statements.transactions_from_text(pages, merchant_rules=rules, category_rules=groups).collect()
+    assert {(r.merchant_name, r.category) for r in rows} == {("Zed", "Pay")}
