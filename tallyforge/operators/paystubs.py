@@ -114,7 +114,7 @@ def paystub_fields(paystubs: DataFrame) -> DataFrame:
     letters = r"([A-Z][A-Za-z\s&,\.]+)"
 
     def numbers(fields: dict[str, str], kind: str = "decimal(18,2)", sign: str = r"\$?") -> list[Column]:
-        return [F.expr(first_number("_low", names, kind, sign)).alias(field) for field, names in fields.items()]
+        return [F.expr(bind("_low", "t", first_number("t", names, kind, sign))).alias(field) for field, names in fields.items()]
 
     plain = paystubs.withColumn("_text", F.expr(collapse_spaces("text")))
     read = plain.withColumn("_low", F.expr(fold_case("_text"))).select(

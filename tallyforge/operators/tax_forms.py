@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import detect
-from tallyforge.functions.text import NUMBER, first_capture, first_name, fold_case, money, quote, strip_spaces
+from tallyforge.functions.text import NUMBER, bind, first_capture, first_name, fold_case, money, quote, strip_spaces
 
 _NAME = r"([A-Z][A-Za-z0-9\s&,\.]+)"
 # Labels (box numbers included) per form and field; the first that matches decides.
@@ -79,7 +79,7 @@ def tax_documents_from_text(documents: DataFrame, as_of: dt.date) -> DataFrame:
             f"WHEN {quote(form)} THEN {_read(field, fields[field])}"
             for form, fields in FORM_FIELDS.items() if field in fields
         ]
-        return F.expr(f"CASE document_type {' '.join(branches)} END").alias(field)
+        return F.expr(bind("document_type", "k", f"CASE k {' '.join(branches)} END")).alias(field)
 
     in_name = "try_cast(regexp_extract(source_file, '([0-9]{4})', 1) AS int)"
     year = f"coalesce(nullif({_YEAR}, 0), nullif({in_name}, 0), {as_of.year})"
