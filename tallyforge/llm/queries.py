@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, exact_dedup, quality, url_filter
+from tallyforge.llm import bpe, exact_dedup, license_scan, quality, url_filter
 from tallyforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,52 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _template_rows() -> str:
+    return ", ".join(
+        f"({w.template}, '{w.label}', {w.length}, {w.place}, '{' '.join(w.words)}')" for w in license_scan.template_windows()
+    )
+
+
+@query(f"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+base AS (
+  SELECT doc_id, len(w) AS n_words,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS mit,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS apache,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS gpl
+  FROM split),
+positions(template, label, length, place, gram) AS (VALUES {_template_rows()}),
+grams AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM split WHERE len(w) >= 3),
+votes AS (
+  SELECT DISTINCT doc_id, template, label, length, i - 1 - place AS diagonal, place
+  FROM grams JOIN positions ON gram = w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]),
+diagonals AS (SELECT DISTINCT doc_id, template, diagonal FROM votes),
+marked AS (
+  SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= 2 AS joins FROM diagonals),
+numbered AS (
+  SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM marked),
+covers AS (
+  SELECT doc_id, label, count(DISTINCT place + k) / length AS cover
+  FROM votes JOIN numbered USING (doc_id, template, diagonal), (VALUES (0), (1), (2)) AS offsets(k)
+  GROUP BY doc_id, template, label, length, span),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(cover) AS cover FROM covers WHERE cover >= 0.75 GROUP BY doc_id),
+labelled AS (
+  SELECT *, list_concat(CASE WHEN len(apache) > 0 THEN ['apache'] ELSE [] END, CASE WHEN len(gpl) > 0 THEN ['gpl'] ELSE [] END,
+    CASE WHEN len(mit) > 0 THEN ['mit'] ELSE [] END) AS own, list_concat(mit, apache, gpl) AS places
+  FROM base)
+SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+  array_to_string(own, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(own, coalesce(labels, [])))), ',') AS labels,
+  CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END::DOUBLE AS score
+FROM labelled LEFT JOIN found USING (doc_id)
+""")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence places, labels and score."""
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count and digests of its ids and of the decoded text."""
