@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, exact_dedup, license_scan, quality, url_filter
+from tallyforge.llm import bpe, exact_dedup, language_id, license_scan, quality, url_filter
 from tallyforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +75,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language, learned from two thirds of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.remainder(F.col("doc_id"), 3) == 1
+    model = language_id.fit(docs.filter(~held_out))
+    found = language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 @query("""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
