@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, exact_dedup, language_id, license_scan, quality, url_filter
+from tallyforge.llm import bpe, exact_dedup, language_id, license_scan, lm_scoring, quality, url_filter
 from tallyforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,15 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+@query()
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's unigram and model scores, learned from four fifths of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language_id.remainder(F.col("doc_id"), 5) == 1
+    found = lm_scoring.lm_scores(docs, docs.filter(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
   sha256(coalesce(text, '')) AS text_sha256
