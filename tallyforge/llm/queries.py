@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, exact_dedup, language_id, license_scan, lm_scoring, quality, url_filter
+from tallyforge.llm import bpe, exact_dedup, language_id, license_scan, lm_scoring, mixing, quality, url_filter
 from tallyforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,62 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def _weight_cases(level: str) -> str:
+    named = mixing.WEIGHTS[level]
+    return f"CASE {level} {' '.join(f"WHEN '{v}' THEN {w}" for v, w in named.items())} ELSE 1 END" if named else "1"
+
+
+def _shared(name: str, level: str, path: str, parent: str, nodes: str) -> str:
+    """SQL of one level: its nodes with the budget that is filled into them."""
+    return f"""
+{name}_nodes AS ({nodes}),
+{name}_left AS (
+  SELECT *, given - coalesce(sum(capacity) OVER (PARTITION BY {parent} ORDER BY capacity / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (PARTITION BY {parent} ORDER BY capacity / weight, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM {name}_nodes),
+{name}_open AS (
+  SELECT *, capacity * open <= rest * weight AS is_full,
+    min(CASE WHEN capacity * open > rest * weight THEN {{'r': capacity / weight, 'l': {level}, 'rest': rest, 'open': open}} END) OVER (PARTITION BY {parent}) AS mark
+  FROM {name}_left),
+{name} AS (SELECT {path}, CASE WHEN is_full THEN capacity ELSE (mark.rest * weight) // mark.open END AS given FROM {name}_open)"""
+
+
+@query(f"""
+WITH rows AS (
+  SELECT doc_id, CASE WHEN n < 10 THEN 'web' WHEN n < 15 THEN 'books' ELSE 'reference' END AS domain, coalesce(lang, 'none') AS lang,
+    source, tokens
+  FROM (SELECT doc_id, lang, coalesce(source, 'none') AS source, coalesce(try_cast(regexp_extract(source, '^src([0-9]{{1,4}})$', 1) AS INT), 0) AS n,
+      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents)),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS supply, sum(tokens)::BIGINT * {mixing.MAX_EPOCHS} AS capacity FROM rows GROUP BY ALL),
+total AS (SELECT sum(tokens)::BIGINT * {mixing.BUDGET_PER_MILLE} // 1000 AS n FROM rows),
+{_shared("by_domain", "domain", "domain", "root", f"SELECT 0 AS root, domain, sum(capacity)::BIGINT AS capacity, {_weight_cases('domain')} AS weight, (SELECT least(any_value(n), (SELECT sum(capacity) FROM leaves)) FROM total)::BIGINT AS given FROM leaves GROUP BY domain")},
+{_shared("by_lang", "lang", "domain, lang", "domain", f"SELECT domain, lang, sum(capacity)::BIGINT AS capacity, {_weight_cases('lang')} AS weight, any_value(given)::BIGINT AS given FROM leaves JOIN by_domain USING (domain) GROUP BY domain, lang")},
+{_shared("by_source", "source", "domain, lang, source", "domain, lang", "SELECT domain, lang, source, capacity, 1 AS weight, given::BIGINT AS given FROM leaves JOIN by_lang USING (domain, lang)")},
+placed AS (
+  SELECT rows.*, given::BIGINT AS budget, (given // supply)::BIGINT AS whole, (given - given // supply * supply)::BIGINT AS wanted,
+    ('0x' || substr(md5('{mixing.SEED}:' || (given // supply)::BIGINT || ':' || doc_id), 1, 15))::BIGINT AS place
+  FROM rows JOIN by_source USING (domain, lang, source) JOIN leaves USING (domain, lang, source) WHERE supply > 0),
+taken AS (
+  SELECT *, whole + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) <= wanted THEN 1 ELSE 0 END AS copies
+  FROM placed)
+SELECT doc_id, domain, lang, source, tokens AS n_tokens, budget AS leaf_budget, unnest(range(0, copies::BIGINT))::BIGINT AS epoch
+FROM taken WHERE copies > 0
+""")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix, once for every epoch that takes them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    levels = {"domain": mixing.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.mix(docs, levels).select(
+        "doc_id",
+        levels["domain"].alias("domain"),
+        F.coalesce("lang", F.lit(mixing.NONE)).alias("lang"),
+        F.coalesce("source", F.lit(mixing.NONE)).alias("source"),
+        "n_tokens",
+        "leaf_budget",
+        F.col("epoch").cast("long").alias("epoch"),
+    )
+
+
 @query("""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
