@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, exact_dedup, jaccard_join, language_id, license_scan, lm_scoring, mixing, quality, url_filter
+from tallyforge.llm import bpe, exact_dedup, jaccard_join, language_id, license_scan, lm_scoring, mixing, passages, quality, url_filter
 from tallyforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+@query()
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that a document shares with another one, exactly or nearly."""
+    return passages.duplicate_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near duplicates and its number of links."""
