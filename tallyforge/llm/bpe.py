@@ -26,11 +26,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.common import own
+
 MEMO = 200_000
 _END = "</w>"
 #: Stands for a word end in spellings; no byte symbol is it.
@@ -234,7 +237,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", with_ids: b
                 ids, decoded, count = encoder.encode(value.as_py() or "")
                 counts.append(count)
                 if with_ids:
-                    numbers.append([int(x) for x in ids.split()])
+                    numbers.append(np.fromstring(ids, np.int32, sep=" "))
                 ids_digests.append(digest(ids))
                 decoded_digests.append(digest(decoded))
             yield pa.RecordBatch.from_arrays(
@@ -248,5 +251,5 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", with_ids: b
                 names=[*kept, *made],
             )
 
-    body = F.col(f"`{text}`").cast("string").alias("_text")
+    body = F.col(f"`{text}`").cast("string").alias(own("text"))
     return docs.select(*[f"`{c}`" for c in kept], body).mapInArrow(encoded, schema)

@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.llm.common import own
+
 SAMPLE_DOCS = 64
 EXCERPT = 2048
 MAX_LANGUAGES = 256
@@ -133,7 +135,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
 
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(
-        *[F.col(f"`{f.name}`") for f in kept], letters(body).alias("_bytes"), body.rlike("\\p{L}").alias("_has_letter")
+        *[F.col(f"`{f.name}`") for f in kept], letters(body).alias(own("letters")), body.rlike("\\p{L}").alias(own("has"))
     )
     sure = (F.col("score") >= min_margin) & (F.col("lang_pred") != UNKNOWN)
     return rows.mapInArrow(predicted, schema).withColumn("accepted", sure)

@@ -164,13 +164,15 @@ def mix(
     leaves = stored(leaves.select(*names, "budget", "whole", "wanted"), "mix-leaves")
     placed = slim.join(leaves, names).withColumn("at", order_key(seed, F.col("whole"), F.col("id")))
     cuts = prefix_ends(placed.select(*names, "at", "n", "wanted"), names)
-    plan = stored(leaves.join(cuts, names, "left").withColumnsRenamed(held), "mix-plan")
+    budget, epochs, cut, copies = own("budget"), own("whole"), own("cut"), own("copies")
+    renamed = held | {"budget": budget, "whole": epochs, "cut": cut}
+    plan = stored(leaves.join(cuts, names, "left").drop("wanted").withColumnsRenamed(renamed), "mix-plan")
     rows = docs.select(*[f"`{c}`" for c in kept], *said, count_words(F.col(f"`{text}`")).alias("n_tokens"))
-    extra = (order_key(seed, F.col("whole"), F.col(f"`{doc_id}`")) <= F.col("cut")).cast("int")
-    taken = rows.join(plan, list(held.values())).withColumn("_copies", F.col("whole").cast("int") + F.coalesce(extra, F.lit(0)))
-    return taken.filter("_copies > 0").select(
+    extra = (order_key(seed, F.col(epochs), F.col(f"`{doc_id}`")) <= F.col(cut)).cast("int")
+    taken = rows.join(plan, list(held.values())).withColumn(copies, F.col(epochs).cast("int") + F.coalesce(extra, F.lit(0)))
+    return taken.filter(F.col(copies) > 0).select(
         *[f"`{c}`" for c in kept],
         "n_tokens",
-        F.col("budget").alias("leaf_budget"),
-        F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("epoch"),
+        F.col(budget).alias("leaf_budget"),
+        F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias("epoch"),
     )

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import LOWER, UPPER, lowered
+from tallyforge.llm.common import LOWER, UPPER, lowered, own
 
 MAX_ENTRIES = 100_000
 REJECT_AT = 1.0
@@ -111,17 +111,17 @@ def url_filter(
     """Adds host, path, rule, verdict (allow or block) and what the vocabulary found."""
     if len(vocabulary) > MAX_ENTRIES or len(rules) > MAX_ENTRIES:
         raise ValueError(f"at most {MAX_ENTRIES} terms and rules")
-    made = ("host", "path", "rule", "verdict", "n_strict", "n_soft", "n_hits", "terms", "score", "_hits")
+    made, hits = ("host", "path", "rule", "verdict", "n_strict", "n_soft", "n_hits", "terms", "score"), own("hits")
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in made]
     link = F.col(f"`{url}`")
     parts = pages.select(
-        *kept, host_of(link).alias("host"), path_of(link).alias("path"), vocabulary_hits(link, vocabulary, reject_at).alias("_hits")
+        *kept, host_of(link).alias("host"), path_of(link).alias("path"), vocabulary_hits(link, vocabulary, reject_at).alias(hits)
     )
     host, path = F.col("host"), F.col("path")
-    by_terms = F.when(F.col("_hits.score") >= reject_at, "block").otherwise("allow")
+    by_terms = F.when(F.col(f"{hits}.score") >= reject_at, "block").otherwise("allow")
     return parts.select(
         "*",
         rule_of(host, path, rules, "rule").alias("rule"),
         F.coalesce(rule_of(host, path, rules, "verdict"), by_terms).alias("verdict"),
-        "_hits.*",
-    ).drop("_hits")
+        f"{hits}.*",
+    ).drop(hits)
