@@ -65,7 +65,8 @@ def _(i):
 
 
 samples.VIEWS["audit_rows"] = """
-SELECT event_id AS id, cast(ts AS date) AS transaction_date, cast(value AS decimal(18,2)) AS amount,
+SELECT event_id AS id, cast(ts AS date) AS transaction_date,
+       CASE WHEN event_id % 23 <> 0 THEN cast(value AS decimal(18,2)) END AS amount,
        CASE WHEN user_id % 7 <> 0 THEN event_type END AS description,
        CASE WHEN user_id % 3 <> 0 THEN concat('user', cast(user_id % 50 AS varchar(20))) END AS merchant_name
 FROM {events}
@@ -75,9 +76,9 @@ FROM {events}
 @check("join04_duplicate_audit", "audit_rows", """
 , marked AS (SELECT id,
    min(id) OVER (PARTITION BY transaction_date, amount, description) AS a,
-   count(*) OVER (PARTITION BY transaction_date, amount, description) AS na,
+   count(amount) OVER (PARTITION BY transaction_date, amount, description) AS na,
    min(id) OVER (PARTITION BY transaction_date, amount, merchant_name) AS b,
-   count(*) OVER (PARTITION BY transaction_date, amount, merchant_name) AS nb FROM audit_rows)
+   count(amount) OVER (PARTITION BY transaction_date, amount, merchant_name) AS nb FROM audit_rows)
 SELECT id, cast(CASE WHEN na > 1 THEN a END AS double) AS first_same_description,
  cast(CASE WHEN nb > 1 THEN b END AS double) AS first_same_merchant,
  (na > 1 AND a < id) OR (nb > 1 AND b < id) AS is_duplicate FROM marked""")

@@ -15,19 +15,27 @@ EVENTS_AS_OF = dt.date(2024, 1, 31)
 BUDGET = 300.0
 
 
-def _debts(i, portfolio: str):
-    return snapshots.current_debts(i.account_balances).withColumn("portfolio", F.expr(portfolio))
+# Some portfolios have no name, and some debts no bank.
+TENS = "CASE WHEN user_id % 10 <> 7 THEN user_id % 10 END"
+SOME_BANKS = "CASE WHEN user_id % 3 <> 2 OR id % 2 = 0 THEN bank_name END"
 
 
-def _plan_sql(portfolio: str, strategy: str, budget: float = BUDGET) -> str:
-    order = {"snowball": "balance, bank_name, id", "avalanche": "apr DESC, balance, bank_name, id"}[strategy]
+def _debts(i, portfolio: str, bank: str = "bank_name"):
+    owed = snapshots.current_debts(i.account_balances)
+    return owed.withColumn("portfolio", F.expr(portfolio)).withColumn("bank_name", F.expr(bank))
+
+
+def _plan_sql(portfolio: str, strategy: str, budget: float = BUDGET, bank: str = "bank_name") -> str:
+    order = {
+        "snowball": "balance, bank_name NULLS FIRST, id", "avalanche": "apr DESC, balance, bank_name NULLS FIRST, id"
+    }[strategy]
     return f"""
-, d_{strategy} AS (SELECT *, {portfolio} AS portfolio FROM debts),
+, d_{strategy} AS (SELECT * EXCLUDE (bank_name), {portfolio} AS portfolio, {bank} AS bank_name FROM debts),
 o_{strategy} AS (SELECT *, row_number() OVER w AS rank,
    coalesce(sum(CASE WHEN balance > 0.01 THEN minimum_payment END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING
      AND 1 PRECEDING), 0) AS freed,
-   count(DISTINCT CASE WHEN balance > 0.01 THEN bank_name END) OVER (PARTITION BY portfolio) AS banks
-   FROM d_{strategy} WINDOW w AS (PARTITION BY portfolio ORDER BY {order})),
+   count(DISTINCT CASE WHEN balance > 0.01 THEN coalesce('=' || bank_name, '~') END) OVER (PARTITION BY portfolio)
+   AS banks FROM d_{strategy} WINDOW w AS (PARTITION BY portfolio ORDER BY {order})),
 p_{strategy} AS (SELECT *, balance::DOUBLE AS b, apr::DOUBLE / 100 / 12 AS r,
    CASE WHEN banks <= 1 THEN ({budget} + freed)::DOUBLE ELSE minimum_payment::DOUBLE END AS p FROM o_{strategy}
    WHERE balance > 0),
@@ -47,8 +55,8 @@ _PLAN_COLUMNS = """SELECT portfolio::BIGINT AS portfolio, rank, id, bank_name, b
  CASE WHEN stuck = 0 THEN cast(DATE '2024-01-31' + (30 * until)::INT AS varchar) END AS payoff_date FROM plan_"""
 
 
-def _plan(i, portfolio: str, strategy: str):
-    plan = debts.payoff_plan(_debts(i, portfolio), ["portfolio"], BUDGET, strategy, EVENTS_AS_OF)
+def _plan(i, portfolio: str, strategy: str, bank: str = "bank_name"):
+    plan = debts.payoff_plan(_debts(i, portfolio, bank), ["portfolio"], BUDGET, strategy, EVENTS_AS_OF)
     return plan.select(
         "portfolio", "rank", "id", "bank_name", "balance", "payment", "payable",
         F.col("months").cast("double").alias("months"), F.round("interest", 4).alias("interest"), "payoff_date",
@@ -56,9 +64,15 @@ def _plan(i, portfolio: str, strategy: str):
 
 
 @check("plan01_avalanche", "account_balances",
-       _DEBTS + _plan_sql("user_id % 10", "avalanche") + _PLAN_COLUMNS + "avalanche")
+       _DEBTS + _plan_sql(TENS, "avalanche") + _PLAN_COLUMNS + "avalanche")
+def _(i):
+    return _plan(i, TENS, "avalanche")
+
+
+@check("plan01_unnamed_banks", "account_balances",
+       _DEBTS + _plan_sql("user_id % 40", "snowball", bank=SOME_BANKS) + _PLAN_COLUMNS + "snowball")
 def _(i):
-    return _plan(i, "user_id % 10", "avalanche")
+    return _plan(i, "user_id % 40", "snowball", SOME_BANKS)
 
 
 @check("plan01_single_bank_snowball", "account_balances",
@@ -68,10 +82,10 @@ def _(i):
 
 
 @check("top03_debt_order", "account_balances", _DEBTS + """
-SELECT id, row_number() OVER (PARTITION BY user_id % 10 ORDER BY balance, bank_name, id) AS snowball,
- row_number() OVER (PARTITION BY user_id % 10 ORDER BY apr DESC, balance, bank_name, id) AS avalanche FROM debts""")
+SELECT id, row_number() OVER (PARTITION BY """ + TENS + """ ORDER BY balance, bank_name, id) AS snowball,
+ row_number() OVER (PARTITION BY """ + TENS + """ ORDER BY apr DESC, balance, bank_name, id) AS avalanche FROM debts""")
 def _(i):
-    owed = _debts(i, "user_id % 10")
+    owed = _debts(i, TENS)
     both = debts.rank_debts(owed, ["portfolio"], "snowball").withColumnRenamed("rank", "snowball")
     return debts.rank_debts(both, ["portfolio"], "avalanche").select(
         "id", "snowball", F.col("rank").alias("avalanche")
@@ -107,18 +121,18 @@ _TOTALS = """, t_{0} AS (SELECT portfolio::BIGINT AS portfolio, count(*) AS debt
   FROM plan_{0} GROUP BY 1)"""
 
 
-@check("plan02_compare_strategies", "account_balances", _DEBTS + _plan_sql("user_id % 10", "snowball")
-       + _plan_sql("user_id % 10", "avalanche") + _TOTALS.format("snowball") + _TOTALS.format("avalanche") + """
-SELECT portfolio, s.months::DOUBLE AS snowball_months, round(s.interest, 2)::DOUBLE AS snowball_interest,
+@check("plan02_compare_strategies", "account_balances", _DEBTS + _plan_sql(TENS, "snowball")
+       + _plan_sql(TENS, "avalanche") + _TOTALS.format("snowball") + _TOTALS.format("avalanche") + """
+SELECT s.portfolio, s.months::DOUBLE AS snowball_months, round(s.interest, 2)::DOUBLE AS snowball_interest,
  a.months::DOUBLE AS avalanche_months, round(a.interest, 2)::DOUBLE AS avalanche_interest,
  CASE WHEN a.months < s.months AND round(a.interest, 2) < round(s.interest, 2)
    THEN 'Avalanche strategy saves more time and money'
   WHEN s.months < a.months THEN 'Snowball strategy pays off faster (psychological benefit)'
   WHEN round(a.interest, 2) < round(s.interest, 2) THEN 'Avalanche strategy saves more money in interest'
   ELSE 'Both strategies are similar - choose based on preference' END AS recommendation
-FROM t_snowball s JOIN t_avalanche a USING (portfolio)""")
+FROM t_snowball s JOIN t_avalanche a ON s.portfolio IS NOT DISTINCT FROM a.portfolio""")
 def _(i):
-    rows = debts.compare_strategies(_debts(i, "user_id % 10"), ["portfolio"], BUDGET, EVENTS_AS_OF)
+    rows = debts.compare_strategies(_debts(i, TENS), ["portfolio"], BUDGET, EVENTS_AS_OF)
     return rows.withColumn("snowball_months", F.col("snowball_months").cast("double")).withColumn(
         "avalanche_months", F.col("avalanche_months").cast("double")
     )

@@ -115,19 +115,20 @@ def import_counts(incoming: DataFrame, kept: DataFrame) -> DataFrame:
 
 def duplicate_flags(transactions: DataFrame) -> DataFrame:
     """Each row with the earliest id that shares its date and amount and also its description, or its merchant
-    (missing equals missing), and whether that makes it a duplicate. One row out per row in, no pairs."""
+    (missing equals missing), and whether that makes it a duplicate. One row out per row in, no pairs; a row without an
+    amount repeats none."""
     def safe(name: str) -> Column:
         return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("~"))
 
-    rows = transactions.filter(F.col("amount").isNotNull()).select(
+    rows = transactions.select(
         "id", "amount", safe("transaction_date").alias("_day"), safe("description").alias("_text"),
         safe("merchant_name").alias("_merchant"),
     )
 
     def with_first(frame: DataFrame, key: str, name: str) -> DataFrame:
         keys = ["_day", "amount", key]
-        groups = rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.min("id").alias(name)).filter("rows > 1")
-        return lookup_join(frame, groups.drop("rows"), keys, "left", sizes=groups.select(*keys, "rows"))
+        every = rows.filter("amount IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("rows"), F.min("id").alias(name))
+        return lookup_join(frame, every.filter("rows > 1").drop("rows"), keys, "left", sizes=every.select(*keys, "rows"))
 
     marked = with_first(with_first(rows, "_text", "first_same_description"), "_merchant", "first_same_merchant")
     earliest = F.least("first_same_description", "first_same_merchant")

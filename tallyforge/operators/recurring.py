@@ -60,8 +60,10 @@ def recurring_profile(transactions: DataFrame) -> DataFrame:
 def flag_recurring(transactions: DataFrame) -> DataFrame:
     """The ledger with `is_recurring` set on every row of a recurring merchant."""
     own = [name for name in transactions.columns if name != "is_recurring"]
-    marked = recurring_profile(transactions).filter("is_recurring").select("merchant_name", F.lit(True).alias("_flag"))
-    joined = lookup_join(transactions.select(*own), marked, ["merchant_name"], "left")
+    profile = recurring_profile(transactions)
+    marked = profile.filter("is_recurring").select("merchant_name", F.lit(True).alias("_flag"))
+    sizes = profile.select("merchant_name", F.col("row_count").alias("rows"))
+    joined = lookup_join(transactions.select(*own), marked, ["merchant_name"], "left", sizes=sizes)
     return joined.select(*own, F.coalesce("_flag", F.lit(False)).alias("is_recurring"))
 
 

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is hot when it holds at least one part in HOT_PARTS of all rows, so there can be at most HOT_PARTS of them:
-# the broadcast list of hot keys is bounded whatever the data size.
-HOT_PARTS = 200
-SLICES = 64
+def partitions(frame: DataFrame) -> int:
+    """The session's number of shuffle partitions: what one partition's share is measured by."""
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def hot_keys(sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of `sizes` (one row per key, its row count in `rows`) that hold >= 1/HOT_PARTS of all rows."""
+    """Keys of `sizes` (one row per key, its row count in `rows`) that hold more than one partition's share of all
+    rows, with the number of shares they hold in `_slices`. There are fewer of them than partitions."""
+    parts = partitions(sizes)
     total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar()
-    frequent = (F.col("rows") * HOT_PARTS >= total) & (F.col("rows") > SLICES)
-    return sizes.filter(frequent).select(*keys, F.lit(True).alias("_hot"))
+    shares = F.ceil(F.col("rows") * parts / F.greatest(total, F.lit(1))).cast("int")
+    return sizes.filter(F.col("rows") * parts > total).select(*keys, shares.alias("_slices"))
 
 
 def lookup_join(
@@ -23,27 +24,29 @@ def lookup_join(
 ) -> DataFrame:
     """Joins many rows per key to `lookup`, which has one row per key.
 
-    `sizes` is the row count per key of `rows`, where the caller already has it. Rows of a hot key, and rows without
-    a key, are cut into SLICES by a hash of the row, and only the hot lookup rows are repeated per slice: one shuffle
-    join that stays even whatever share one key holds. The slice depends on the row alone, so a retried task gives
-    the same slice.
+    `sizes` is the row count per key of `rows`, where the caller already has it. A key that holds more than one
+    partition's share is cut into as many slices as it holds shares, by a hash of the row, and only its lookup row is
+    repeated per slice: one shuffle join that stays even whatever share one key holds and whatever the data size. The
+    slice depends on the row alone, so a retried task gives the same slice. Rows without a key bypass the join.
     """
     if sizes is None:
         sizes = rows.groupBy(*keys).agg(F.count("*").alias("rows"))
-    hot = F.broadcast(hot_keys(sizes, keys))
-    own = rows.columns
-    spread = F.col("_hot")
+    present = F.lit(True)
     for key in keys:
-        spread = spread | F.col(key).isNull()
-    sliced = rows.join(hot, keys, "left").select(
-        *own, F.when(spread, F.pmod(F.xxhash64(*own), F.lit(SLICES)).cast("int")).otherwise(F.lit(0)).alias("_slice")
-    )
+        present = present & F.col(key).isNotNull()
+    hot = F.broadcast(hot_keys(sizes.filter(present), keys))
+    own = rows.columns
+    slice_of = F.pmod(F.xxhash64(*own), F.coalesce("_slices", F.lit(1))).cast("int")
+    sliced = rows.filter(present).join(hot, keys, "left").select(*own, slice_of.alias("_slice"))
     repeated = (
         lookup.join(hot, keys, "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), SLICES - 1).otherwise(0))))
-        .drop("_hot")
+        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
+        .drop("_slices")
     )
-    return sliced.join(repeated, [*keys, "_slice"], how).drop("_slice")
+    joined = sliced.join(repeated, [*keys, "_slice"], how).drop("_slice")
+    if how == "inner":
+        return joined
+    return joined.unionByName(rows.filter(~present), allowMissingColumns=True)
 
 
 def running_totals(
@@ -81,7 +84,12 @@ def running_totals(
     )
     inside = Window.partitionBy(*group, *marks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = marked.withColumns({f"_inside_{name}": F.sum(f"_value_{name}").over(inside) for name in totals})
-    joined = summed.join(spans, [*group, *marks]).withColumns(
+    # Groups and chunks without a value are groups and chunks like any other.
+    other = {name: f"_span_{name}" for name in [*group, *marks]}
+    same = F.lit(True)
+    for name, renamed in other.items():
+        same = same & F.col(name).eqNullSafe(F.col(renamed))
+    joined = summed.join(spans.withColumnsRenamed(other), same).withColumns(
         {name: F.col(f"_before_{name}") + F.col(f"_inside_{name}") for name in totals}
     )
     return joined.select(*rows.columns, *totals, *least, *most)

@@ -48,12 +48,14 @@ def payoff_plan(debts: DataFrame, by: list[str], budget: float, strategy: str, a
     open_debt = F.col("balance") > F.lit(str(PAID_OFF)).cast("decimal(18,2)")
     minimum = F.coalesce("minimum_payment", F.lit(0)).cast("decimal(18,2)")
     freeing = F.when(open_debt, minimum).otherwise(0)
-    bank = F.when(open_debt, F.col("bank_name"))
+    # A debt without a bank counts as a bank of its own.
+    own_bank = F.coalesce(F.concat(F.lit("="), "bank_name"), F.lit("~"))
+    bank = F.when(open_debt, own_bank)
     freed = running_totals(
         debts.filter((F.col("balance") > 0) & F.lit(budget > 0)), by, chunk, order,
         {"rank": F.lit(1).cast("bigint"), "_freed": freeing}, {"_first_bank": bank}, {"_last_bank": bank},
     )
-    alone = (F.col("_first_bank") == F.col("bank_name")) & (F.col("_last_bank") == F.col("bank_name"))
+    alone = (F.col("_first_bank") == own_bank) & (F.col("_last_bank") == own_bank)
     budget_here = F.lit(str(budget)).cast("decimal(18,2)") + F.col("_freed") - freeing
     priced = freed.select(
         *by, "id", "bank_name", "balance", "apr", "rank",
@@ -144,7 +146,12 @@ def compare_strategies(debts: DataFrame, by: list[str], budget: float, as_of: dt
         .when(cheaper, "Avalanche strategy saves more money in interest")
         .otherwise("Both strategies are similar - choose based on preference")
     )
-    return side("snowball").join(side("avalanche"), by).withColumn("recommendation", advice)
+    other = {name: f"_other_{name}" for name in by}
+    same = F.lit(True)
+    for name, renamed in other.items():
+        same = same & F.col(name).eqNullSafe(F.col(renamed))
+    both = side("snowball").join(side("avalanche").withColumnsRenamed(other), same).drop(*other.values())
+    return both.withColumn("recommendation", advice)
 
 
 def debt_payoff(balances: DataFrame, by: list[str], budget: float, strategy: str, as_of: dt.date) -> DataFrame:
