@@ -55,13 +55,13 @@ national tire, big o tire, les schwab, town fair tire, tire kingdom, mr tire, ti
 carwash, auto wash, mister car wash, zipper car wash, auto repair, mechanic, auto service, car service,
 vehicle service, auto body, body shop, collision, auto body shop, emissions test, smog check, emissions, smog, dmv,
 department of motor vehicles, vehicle registration, registration, license plate, tags, aaa, triple a,
-roadside assistance, towing, tow, brake, brakes, transmission, engine, battery, alternator, tune up, inspection,
-state inspection, dealer service, dealership, car maintenance, vehicle maintenance, auto maintenance
-"""
-# Makes that count as vehicle maintenance when followed by "service".
-SERVICED_MAKES = """
-ford, chevrolet, chevy, toyota, honda, nissan, bmw, mercedes, audi, volkswagen, vw, mazda, subaru, hyundai, kia, jeep,
-dodge, chrysler, ram, gmc, cadillac, buick, lincoln, acura, infiniti, lexus, volvo, jaguar, land rover, porsche, mini
+roadside assistance, towing, tow, brake, brakes, transmission, engine, battery, alternator, oil change, tune up,
+inspection, state inspection, dealer service, dealership, ford service, chevrolet service, chevy service,
+toyota service, honda service, nissan service, bmw service, mercedes service, audi service, volkswagen service,
+vw service, mazda service, subaru service, hyundai service, kia service, jeep service, dodge service,
+chrysler service, ram service, gmc service, cadillac service, buick service, lincoln service, acura service,
+infiniti service, lexus service, volvo service, jaguar service, land rover service, porsche service, mini service,
+car maintenance, vehicle maintenance, auto maintenance
 """
 OFFICE_SUPPLIES = "office depot, officemax, staples, office supply, stationery, office store"
 SPORTS = "dick's sporting, academy sports, bass pro, cabela, rei, sporting goods, outdoor, camping, hunting"
@@ -126,7 +126,7 @@ CATEGORY_RULES: Rules = (
     ("Shopping", _words(SHOPPING)),
     ("Pets", _words(PETS)),
     ("Auto Parts", _words(AUTO_PARTS)),
-    ("Vehicle Maintenance", _words(VEHICLE_MAINTENANCE) + tuple(f"{m} service" for m in _words(SERVICED_MAKES))),
+    ("Vehicle Maintenance", _words(VEHICLE_MAINTENANCE)),
     ("Office Supplies", _words(OFFICE_SUPPLIES)),
     ("Sports & Outdoors", _words(SPORTS)),
     ("Books & Media", _words(BOOKS)),

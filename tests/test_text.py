@@ -215,3 +215,37 @@ def test_own_banks_and_rules(spark):
     groups = categories.with_category((), "Pay", ["pays"])
     rows = statements.transactions_from_text(pages, merchant_rules=rules, category_rules=groups).collect()
     assert {(r.merchant_name, r.category) for r in rows} == {("Zed", "Pay")}
+
+
+def test_known_merchants_can_be_renamed_and_any_pattern_added(spark):
+    rules = merchants.with_merchant(merchants.MERCHANT_RULES, "HY-VEE", "Mine")
+    assert len(rules) == len(merchants.MERCHANT_RULES)
+    rules = merchants.with_merchant(rules, r"((QXA|QXB)EFG|QXHI)J", "Nested")
+    texts = ["hy-vee 12", "a qxhij", "QXBEFGJ", "qxaefg"]
+    assert run(spark, texts, merchants.merchant_of("text", rules)) == ["Mine", "Nested", "Nested", "Qxaefg"]
+
+
+# Literal expectations that do not come from the package's tables.
+CATEGORY_EXAMPLES = [
+    ("Safeway #12", "Groceries"), ("the Olive Garden", "Restaurants"), ("SHELL OIL", "Gas"), ("Comcast cable", "Utilities"),
+    ("spotify ab", "Subscriptions"), ("etsy order", "Shopping"), ("PETSMART", "Pets"), ("autozone 77", "Auto Parts"),
+    ("jiffy lube", "Vehicle Maintenance"), ("land rover service", "Vehicle Maintenance"), ("mini service", "Vehicle Maintenance"),
+    ("staples inc", "Office Supplies"), ("rei co-op", "Sports & Outdoors"), ("library fine", "Books & Media"),
+    ("hobby lobby", "Crafts & Hobbies"), ("SEPHORA", "Beauty & Personal Care"), ("cinemark", "Entertainment"),
+    ("costco gas", "Groceries"), ("uber eats", "Restaurants"), ("kroger fuel", "Groceries"), ("hulu", "Subscriptions"),
+]
+MERCHANT_EXAMPLES = [
+    ("amzn mktp us", "Amazon"), ("SQ *CAFE", "Square"), ("MCDONALDS 1", "McDonald's"), ("WENDYS", "Wendy's"), ("wendy's", "Wendy's"),
+    ("HOME DEPOT", "Home Depot"), ("STOP & SHOP", "Stop & Shop"), ("stop&shop", "Stop & Shop"), ("WINN-DIXIE", "Winn-Dixie"),
+    ("KUM & GO", "Kum & Go"), ("barnes & noble", "Barnes & Noble"), ("7-ELEVEN", "7-Eleven"), ("BP 12", "BP"), ("QT 9", "QuikTrip"),
+    ("H&M store", "H&M"), ("24 HOUR FITNESS", "24 Hour Fitness"), ("YMCA", "YMCA"), ("BOOKING.COM", "Booking.com"),
+    ("UBER EATS", "Uber Eats"), ("uber trip", "Uber"), ("WHOLE FOODS MARKET", "Whole Foods"), ("PILOT", "Pilot/Flying J"),
+]
+
+
+def test_rule_tables_against_literals(spark):
+    got = run(spark, [a for a, _ in CATEGORY_EXAMPLES], categories.category_of("text"))
+    assert got == [b for _, b in CATEGORY_EXAMPLES]
+    got = run(spark, [a for a, _ in MERCHANT_EXAMPLES], merchants.merchant_of("text"))
+    assert got == [b for _, b in MERCHANT_EXAMPLES]
+    assert len(merchants.MERCHANT_RULES) == 281 and len(categories.CATEGORY_RULES) == 29
