@@ -97,10 +97,10 @@ def _(i):
     )
 
 
-def category_sql(column: str) -> str:
+def category_sql(column: str, rules: categories.Rules = categories.CATEGORY_RULES) -> str:
     branches = " ".join(
         f"WHEN regexp_matches(lower({column}), {q('|'.join(map(_literal, words)))}) THEN {q(name)}"
-        for name, words in categories.CATEGORY_RULES
+        for name, words in rules
     )
     return f"CASE {branches} END"
 
@@ -109,10 +109,9 @@ def _literal(words: str) -> str:
     return "".join(c if c.isalnum() or c in " '&" else "\\" + c for c in words)
 
 
-def known_merchant_sql(column: str) -> str:
+def known_merchant_sql(column: str, rules: merchants.Rules = merchants.MERCHANT_RULES) -> str:
     branches = " ".join(
-        f"WHEN regexp_matches({column}, {q('(?i)' + pattern)}) THEN {q(name)}"
-        for pattern, name in merchants.MERCHANT_RULES
+        f"WHEN regexp_matches({column}, {q('(?i)' + pattern)}) THEN {q(name)}" for pattern, name in rules
     )
     return f"CASE {branches} END"
 
@@ -156,6 +155,36 @@ def _(i):
     return i.documents.select("doc_id", F.expr(merchants.known_merchant("text")).alias("merchant"))
 
 
+# A user's own rules: a category replaced and one added; a known merchant renamed and one with nested groups added.
+_OWN_CATEGORIES = categories.with_category(
+    categories.with_category(categories.CATEGORY_RULES, "Restaurants", ["starbucks", "tuition"]), "Trips", ["uber"]
+)
+_OWN_MERCHANTS = merchants.with_merchant(
+    merchants.with_merchant(merchants.MERCHANT_RULES, "HY-VEE", "Corner Shop"), "((QZA|QZB)EFG|QZHI)J", "Nested"
+)
+samples.VIEWS["own_descriptions"] = """
+SELECT id, concat(CASE id % 5 WHEN 0 THEN 'hy-vee ' WHEN 1 THEN 'xqzhij ' WHEN 2 THEN 'QZBEFGJ' ELSE '' END, description)
+       AS description
+FROM {descriptions}
+"""
+
+
+@check("ext01_own_categories", "descriptions",
+       f"SELECT id, {category_sql('description', _OWN_CATEGORIES)} AS category FROM descriptions")
+def _(i):
+    return spread(i.descriptions).select("id", categories.category_of("description", _OWN_CATEGORIES).alias("category"))
+
+
+@check("ext02_own_merchants", "own_descriptions", f"""
+SELECT id, {known_merchant_sql('description', _OWN_MERCHANTS)} AS merchant,
+ CASE id % 5 WHEN 0 THEN 'Corner Shop' ELSE {known_merchant_sql('description', _OWN_MERCHANTS)} END AS renamed
+FROM own_descriptions""")
+def _(i):
+    known = F.expr(merchants.known_merchant("description", _OWN_MERCHANTS))
+    first = F.when(F.col("id") % 5 == 0, F.lit("Corner Shop")).otherwise(known)
+    return spread(i.own_descriptions).select("id", known.alias("merchant"), first.alias("renamed"))
+
+
 def kinds_sql(column: str, kinds: dict) -> str:
     branches = " ".join(f"WHEN regexp_matches({column}, {q('|'.join(p))}) THEN {q(n)}" for n, p in kinds.items())
     return f"CASE {branches} END"
@@ -197,6 +226,20 @@ def _(i):
     )
 
 
+_OWN_BANKS = {"Offer House": (r"offer\s+of",), **detect.BANKS}
+_OWN_KINDS = {"stub": (r"pay\s+stub",), **detect.ACCOUNT_TYPES}
+
+
+@check("ext03_own_banks_and_accounts", "headings", f"""
+SELECT id, {_BANK.replace(kinds_sql('lower(source_file)', detect.BANKS), kinds_sql('lower(source_file)', _OWN_BANKS))
+    .replace(kinds_sql('lower(text)', detect.BANKS), kinds_sql('lower(text)', _OWN_BANKS))} AS bank_name,
+ coalesce(CASE {" ".join("WHEN " + " OR ".join(f"contains(lower(source_file), '{w}')" for w in words) + f" THEN '{kind}'"
+    for kind, words in detect.ACCOUNT_FILE_WORDS)} END, {kinds_sql('lower(text)', _OWN_KINDS)}) AS account_type
+FROM (SELECT *, {_HEADERS} FROM headings)""")
+def _(i):
+    return statements.with_account(i.headings, _OWN_BANKS, _OWN_KINDS).select("id", "bank_name", "account_type")
+
+
 _FILE = "lower(source_file)"
 _BY_FILE = "CASE " + " ".join(
     "WHEN " + " OR ".join(f"contains({_FILE}, '{w}')" for w in words) + f" THEN '{kind}'"
