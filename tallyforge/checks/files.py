@@ -5,7 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyforge import schemas
 from tallyforge.checks.registry import check
+from tallyforge.checks.text import redact_sql
+from tallyforge.plans import reports
 from tallyforge.session import shared_folder
 from tallyforge.sources import files
 from tallyforge.streaming.ingest import Ledger, import_new_files
@@ -30,9 +33,10 @@ def _(i):
 @check("src01_whole_texts", sql="SELECT text, count(*) AS n FROM conversations GROUP BY text")
 def _(i):
     folder = shared_folder(i.spark, "texts")
-    # One file per task and line; the lines of a file are the texts themselves, newlines written as \\u0001.
+    # Files of a bounded number of lines, so that none grows with the table; the lines are the texts themselves,
+    # newlines written as \\u0001.
     packed = i.conversations.select(F.translate("text", "\n", "\u0001").alias("value"))
-    packed.write.text(folder)
+    packed.write.option("maxRecordsPerFile", 500).text(folder)
     lines = files.read_texts(i.spark, folder).select(F.explode(F.split("text", "\n", -1)).alias("text"))
     texts = lines.filter("text <> ''").select(F.translate("text", "\u0001", "\n").alias("text"))
     return texts.groupBy("text").agg(F.count("*").alias("n"))
@@ -66,16 +70,61 @@ def _(i):
     return files.pending_files(listing, done)
 
 
-def _imported(i, view: str, columns: list[str], first: str, second: str, per_batch: int | None):
-    """Writes two overlapping statement files, imports them, and runs the import once more, which adds nothing."""
+@check("src03_listed_files", sql="SELECT doc_id, source FROM documents WHERE source <> 'src0'")
+def _(i):
+    """Lists a real folder, of which the files of one source have processed copies, and reads what is left."""
+    folder = shared_folder(i.spark, "listing")
+    docs = i.documents.select("doc_id", "source")
+    docs.filter("source = 'src0'").write.csv(f"{folder}/a", header=True)
+    docs.filter("source <> 'src0'").write.csv(f"{folder}/b", header=True)
+    listing = files.list_files(i.spark, folder)
+    copy = F.regexp_replace("file_name", r"\.csv$", "-sanitized.csv").alias("file_name")
+    pending = files.pending_files(listing, listing.filter(F.col("path").contains(f"{folder.rsplit('/', 1)[1]}/a/")).select(copy))
+    rows = i.spark.read.schema("doc_id long, source string").option("recursiveFileLookup", "true").csv(folder, header=True)
+    named = rows.select("doc_id", "source", F.col("_metadata.file_name").alias("file_name"))
+    return named.join(pending.select("file_name"), "file_name", "left_semi").select("doc_id", "source")
+
+
+@check("src04_stored_ledger", "transactions", """
+SELECT id, source_file, cast(transaction_date AS varchar) AS transaction_date, cast(amount AS double) AS amount,
+ merchant_name, category, reference_number, is_recurring FROM transactions""")
+def _(i):
+    folder = shared_folder(i.spark, "ledger")
+    files.write_table(i.transactions, folder, schemas.TRANSACTIONS)
+    return files.read_table(i.spark, folder, schemas.TRANSACTIONS).select(
+        "id", "source_file", "transaction_date", "amount", "merchant_name", "category", "reference_number", "is_recurring"
+    )
+
+
+@check("snk01_written_csv", "transactions", """
+SELECT cast(transaction_date AS varchar) AS transaction_date, cast(amount AS varchar) AS amount, description,
+ merchant_name, category, source_file FROM transactions""")
+def _(i):
+    folder = shared_folder(i.spark, "csv")
+    reports.write_csv(reports.export_rows(i.transactions), folder)
+    read = i.spark.read.csv(folder, header=True, inferSchema=False)
+    return read.select("transaction_date", "amount", "description", "merchant_name", "category", "source_file")
+
+
+@check("snk03_written_json", "transactions", """
+SELECT id, cast(amount AS double) AS amount, description, merchant_name, is_recurring FROM transactions""")
+def _(i):
+    folder = shared_folder(i.spark, "json")
+    reports.write_json(i.transactions, folder)
+    schema = "id long, amount decimal(18,2), description string, merchant_name string, is_recurring boolean"
+    return i.spark.read.schema(schema).json(folder)
+
+
+def _imported(i, view: str, columns: list[str], *parts: str):
+    """Imports sets of statement files one after the other, and runs the import once more, which adds nothing."""
     folder = shared_folder(i.spark, "ingest")
     rows = getattr(i, view).select(*columns)
-    for part in (first, second):
-        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     ledger = Ledger(i.spark, f"{folder}/ledger", rows.schema, ["id"])
-    for _ in range(2):
-        import_new_files(ledger, f"{folder}/in", f"{folder}/checkpoint", per_batch)
-    return ledger
+    for part in (*parts, None):
+        if part:
+            rows.filter(part).write.mode("append").parquet(f"{folder}/in")
+        import_new_files(ledger, f"{folder}/in", f"{folder}/checkpoint")
+    return ledger, files.list_files(i.spark, f"{folder}/in")
 
 
 _PLAIN = ["id", "transaction_date", "amount", "description", "merchant_name"]
@@ -83,18 +132,24 @@ _HALVES = ("transaction_date < DATE '2000-01-01'", "transaction_date >= DATE '19
 
 
 @check("inc01_exactly_once", "plain_rows", f"""
-SELECT cast(2 AS bigint) AS files, (SELECT count(*) FROM plain_rows WHERE {_HALVES[0]})
- + (SELECT count(*) FROM plain_rows WHERE {_HALVES[1]}) AS row_count""")
+SELECT cast(0 AS bigint) AS files_missing, cast(0 AS bigint) AS files_twice,
+ (SELECT count(*) FROM plain_rows WHERE {_HALVES[0]}) + (SELECT count(*) FROM plain_rows WHERE {_HALVES[1]})
+ AS row_count""")
 def _(i):
-    log = _imported(i, "plain_rows", _PLAIN, *_HALVES, None).import_log()
-    return log.agg(F.countDistinct("file_path").alias("files"), F.sum("row_count").alias("row_count"))
+    ledger, listing = _imported(i, "plain_rows", _PLAIN, *_HALVES)
+    log = ledger.import_log().withColumn("file_name", F.element_at(F.split("file_path", "/"), -1))
+    known = listing.filter(F.col("file_name").endswith(".parquet")).select("file_name")
+    missing = known.join(log, "file_name", "left_anti").agg(F.count("*")).scalar()
+    return log.agg(F.sum("row_count").alias("row_count"), F.count("*").alias("n"), F.countDistinct("file_path").alias("m")).select(
+        missing.alias("files_missing"), (F.col("n") - F.col("m")).alias("files_twice"), "row_count"
+    )
 
 
 @check("inc02_overlapping_statements", "plain_rows", """
 SELECT DISTINCT cast(transaction_date AS varchar) AS transaction_date, amount::DOUBLE AS amount,
  coalesce(merchant_name, description) AS who FROM plain_rows""")
 def _(i):
-    rows = _imported(i, "plain_rows", _PLAIN, *_HALVES, 1).rows()
+    rows = _imported(i, "plain_rows", _PLAIN, *_HALVES)[0].rows()
     return rows.select("transaction_date", "amount", F.coalesce("merchant_name", "description").alias("who"))
 
 
@@ -107,14 +162,16 @@ s AS (SELECT merchant_name, n, sum(CASE WHEN abs(cast(amount AS double) - m) / a
 SELECT merchant_name IN (SELECT merchant_name FROM s WHERE k >= n * 0.7) AS is_recurring, count(*) AS n,
  sum(amount)::DOUBLE AS total FROM u GROUP BY 1""")
 def _(i):
-    ledger = _imported(i, "recurring_ledger", _PLAIN, "id % 2 = 0", "id % 2 = 1", None)
+    ledger, _ = _imported(i, "recurring_ledger", _PLAIN, "true")
     return ledger.flagged().groupBy("is_recurring").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
 
 
-@check("snk07_redacted_copies", sql="""
-SELECT count(*) AS documents, count(DISTINCT doc_id) AS names FROM documents""")
+@check("snk07_redacted_copies", sql=f"""
+SELECT cast(doc_id AS varchar) AS source_file, {redact_sql('text')} AS text,
+ contains({redact_sql('text')}, '_REDACTED]') AS was_redacted FROM documents""")
 def _(i):
     folder = shared_folder(i.spark, "redacted")
     files.write_redacted(i.documents.select(F.col("doc_id").cast("string").alias("source_file"), "text"), folder)
+    texts = i.spark.read.parquet(f"{folder}/texts").select("source_file", "text")
     audit = i.spark.read.parquet(f"{folder}/audit")
-    return audit.agg(F.count("*").alias("documents"), F.countDistinct("source_file").alias("names"))
+    return texts.join(audit, "source_file").select("source_file", "text", (F.size("patterns") > 0).alias("was_redacted"))

@@ -34,14 +34,21 @@ def _mark(kind: str) -> str:
     return f"__PLACEHOLDER_{kind.upper()}__"
 
 
+def _escaped(text: Column) -> Column:
+    """What looks like a mark in the text itself bears an X more until the marks are resolved; all of it stays letters
+    and underscores, as the patterns see a mark."""
+    return F.regexp_replace(text, "__PLACEHOLDER(X*_)", "__PLACEHOLDERX$1")
+
+
 def _final(text: Column) -> Column:
-    return F.regexp_replace(text, "__PLACEHOLDER_([A-Z_]+?)__", "[$1_REDACTED]")
+    labelled = F.regexp_replace(text, "__PLACEHOLDER_([A-Z_]+?)__", "[$1_REDACTED]")
+    return F.regexp_replace(labelled, "__PLACEHOLDERX(X*_)", "__PLACEHOLDER$1")
 
 
 def redact(text: Column) -> Column:
     """The text with every match replaced by `[KIND_REDACTED]`. Matches turn into marks first, so that a later
     pattern meets a mark and never a label."""
-    marked = text
+    marked = _escaped(text)
     for kind, pattern in PATTERNS:
         marked = F.regexp_replace(marked, ANY_CASE + pattern, _mark(kind))
     return F.when(text.rlike(_POSSIBLE), _final(marked)).otherwise(text)
@@ -51,7 +58,7 @@ def redact_tracked(rows: DataFrame, column: str = "text") -> DataFrame:
     """Redacts `column` and adds `patterns`, the sorted distinct kinds found in each row. A step found something
     exactly when it changed the text, so each pattern runs once."""
     steps = [f"_step{i}" for i in range(len(PATTERNS))]
-    marked, before = rows, column
+    marked, before = rows.withColumn("_escaped", _escaped(F.col(column))), "_escaped"
     for step, (kind, pattern) in zip(steps, PATTERNS):
         possible = F.col(column).rlike(_POSSIBLE)
         replaced = F.regexp_replace(F.col(before), ANY_CASE + pattern, _mark(kind))
@@ -59,10 +66,10 @@ def redact_tracked(rows: DataFrame, column: str = "text") -> DataFrame:
         before = step
     kinds = [
         F.when(F.col(step) != F.col(previous), F.lit(kind))
-        for step, previous, (kind, _) in zip(steps, [column, *steps], PATTERNS)
+        for step, previous, (kind, _) in zip(steps, ["_escaped", *steps], PATTERNS)
     ]
     found = F.sort_array(F.array_distinct(F.array_compact(F.array(*kinds))))
-    return marked.withColumn("patterns", found).withColumn(column, _final(F.col(steps[-1]))).drop(*steps)
+    return marked.withColumn("patterns", found).withColumn(column, _final(F.col(steps[-1]))).drop("_escaped", *steps)
 
 
 def redact_columns(rows: DataFrame, columns: list[str]) -> DataFrame:

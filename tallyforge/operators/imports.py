@@ -33,9 +33,9 @@ def new_by_key(stored: DataFrame, incoming: DataFrame, keys: list[str], order: l
     for key in keys:
         keyed = keyed & F.col(key).isNotNull() & (F.col(key).cast("string") != "")
     keyed = F.coalesce(keyed, F.lit(False))
-    fresh = _first_per_key(incoming.filter(keyed), keys, order).join(
-        stored.select(*keys).distinct(), keys, "left_anti"
-    )
+    firsts = _first_per_key(incoming.filter(keyed), keys, order)
+    known = stored.select(*keys).join(firsts.select(*keys), keys, "left_semi").distinct()
+    fresh = firsts.join(known, keys, "left_anti")
     return fresh.select(*incoming.columns).unionByName(incoming.filter(~keyed))
 
 
@@ -65,7 +65,11 @@ def new_transactions(stored: DataFrame, incoming: DataFrame, order: list[str]) -
         return F.struct(F.lit(batch).alias("batch"), *[part.alias(f"o{i}") for i, part in enumerate(parts)])
 
     rest = [name for name in columns if name not in day]
-    old_rows = stored.filter(dated)
+    # Only stored rows of a date and amount that the batch asks for can matter; the rest of history is read past.
+    asked = incoming.filter(dated).select(*day).distinct()
+    oldest, newest = (asked.agg(bound("transaction_date")).scalar() for bound in (F.min, F.max))
+    near = stored.filter(dated & F.col("transaction_date").between(oldest, newest))
+    old_rows = near.join(asked, day, "left_semi")
     keyed_new = incoming.filter(dated & (merchant | worded)).select(
         *day, key.alias("_key"), place(1).alias("_place"), F.struct(*rest).alias("_row")
     )

@@ -20,6 +20,11 @@ def _with_merchant(transactions: DataFrame) -> DataFrame:
     return transactions.filter(F.col("merchant_name").isNotNull() & (F.col("merchant_name") != ""))
 
 
+def merchant_amounts(transactions: DataFrame) -> DataFrame:
+    """Rows of each (merchant, amount): all that the profile asks of a ledger, and small enough to keep per batch."""
+    return _with_merchant(transactions).groupBy("merchant_name", "amount").agg(F.count("*").alias("n"))
+
+
 def recurring_profile(transactions: DataFrame) -> DataFrame:
     """Per merchant: row count, mean, rows within 5 % of the mean, and whether that makes the merchant recurring
     (at least three rows, at least 70 % of them similar; NULL and zero amounts are never similar).
@@ -27,11 +32,11 @@ def recurring_profile(transactions: DataFrame) -> DataFrame:
     Rows are first reduced to one per (merchant, amount); the second pass meets the means through the sliced join,
     so a merchant with a third of the ledger is neither collected nor windowed.
     """
-    counts = (
-        _with_merchant(transactions)
-        .groupBy("merchant_name", "amount")
-        .agg(F.count("*").alias("n"))
-    )
+    return profile_of_amounts(merchant_amounts(transactions))
+
+
+def profile_of_amounts(counts: DataFrame) -> DataFrame:
+    """The profile from one row per (merchant, amount)."""
     means = counts.groupBy("merchant_name").agg(
         F.sum("n").alias("row_count"),
         F.count("*").alias("amounts"),

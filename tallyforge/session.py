@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -19,8 +18,11 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and benchmarks on one machine; a cluster brings its own."""
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", folder: str | None = None
+) -> SparkSession:
+    """A session for tests and benchmarks on one machine; a cluster brings its own. `folder` is where queries that need
+    files put them."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tallyforge")
@@ -29,6 +31,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -37,11 +41,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that every executor can reach, under the cluster's own checkpoint folder. Only a session on one
-    machine may go without that setting; it gets a temporary folder."""
+    """A fresh folder that every executor can reach, under the folder the session names in spark.checkpoint.dir. Only a
+    session that runs in one process may go without; it gets a folder in its warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="tallyforge-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
     return f"{base.rstrip('/')}/tallyforge-{name}-{uuid.uuid4().hex}"

@@ -39,8 +39,8 @@ def read_rows(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFram
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Paths and names of the files in a folder; the contents are never read."""
-    return spark.read.format("binaryFile").load(path).select(
+    """Paths and names of the files in a folder and its folders; the contents are never read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
         "path", F.element_at(F.split("path", "/"), -1).alias("file_name")
     )
 
@@ -57,6 +57,15 @@ def pending_files(listing: DataFrame, done: DataFrame) -> DataFrame:
     return wanted.join(copies, "_copy", "left_anti").drop("_copy")
 
 
+def write_table(rows: DataFrame, path: str, schema: T.StructType) -> None:
+    """Writes a ledger table under its fixed schema; columns the rows lack are NULL."""
+    present = set(rows.columns)
+    columns = [
+        (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
+    ]
+    rows.select(*columns).write.mode("overwrite").parquet(path)
+
+
 def write_redacted(documents: DataFrame, path: str) -> None:
     """Redacted texts under `path/texts` and, per document, the kinds found under `path/audit`."""
     tracked = redact_tracked(documents)

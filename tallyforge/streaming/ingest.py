@@ -1,8 +1,8 @@
 """Incremental import of statement files with Structured Streaming.
 
-Each micro-batch writes its own partition of three tables: the new rows, the import log, and the merchants found
-recurring. A batch that is run again overwrites exactly its own partitions and compares only with earlier ones, so a
-restart changes nothing.
+Each micro-batch writes its own partition of four tables: the new rows, the import log, rows per merchant and amount,
+and the merchants found recurring. A batch that is run again overwrites exactly its own partitions and compares only with
+earlier ones, so a restart changes nothing. The marks of a batch rest on the small table of amounts, never on all rows.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.operators.imports import new_transactions
-from tallyforge.operators.recurring import recurring_profile
+from tallyforge.operators.recurring import merchant_amounts, profile_of_amounts
 from tallyforge.operators.skew import lookup_join
 
 _FLAGS = T.StructType([T.StructField("merchant_name", T.StringType()), T.StructField("batch", T.LongType())])
 
 
 class Ledger:
-    """The three tables under one folder."""
+    """The four tables under one folder."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, order: list[str]):
         self.spark, self.folder, self.order = spark, folder.rstrip("/"), order
@@ -62,11 +62,22 @@ class Ledger:
         self._write(new_transactions(self.rows(number), arrived, self.order), "rows", number)
         log = batch.groupBy("file_path").agg(F.count("*").alias("row_count"))
         self._write(log, "files", number)
-        known = self.rows(number + 1)
-        touched = known.filter((F.col("batch") == number) & F.col("merchant_name").isNotNull())
-        profile = recurring_profile(
-            known.join(touched.select("merchant_name").distinct(), "merchant_name", "left_semi")
+        added = merchant_amounts(self.rows(number + 1).filter(F.col("batch") == number))
+        self._write(added, "amounts", number)
+        fields = {field.name: field.dataType for field in self.schema.fields}
+        amounts = self._read(
+            "amounts",
+            T.StructType([
+                T.StructField("merchant_name", T.StringType()), T.StructField("amount", fields["amount"]),
+                T.StructField("n", T.LongType()), T.StructField("batch", T.LongType()),
+            ]),
+            number + 1,
         )
+        touched = amounts.filter(F.col("batch") == number).select("merchant_name").distinct()
+        summed = (
+            amounts.join(touched, "merchant_name", "left_semi").groupBy("merchant_name", "amount").agg(F.sum("n").alias("n"))
+        )
+        profile = profile_of_amounts(summed)
         self._write(profile.filter("is_recurring").select("merchant_name"), "recurring", number)
 
 

@@ -9,7 +9,8 @@ from tallyforge.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores="*", shuffle_partitions=4, memory="6g")
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(cores="*", shuffle_partitions=4, memory="6g", folder=folder)
     yield session
     session.stop()

@@ -249,3 +249,9 @@ def test_rule_tables_against_literals(spark):
     got = run(spark, [a for a, _ in MERCHANT_EXAMPLES], merchants.merchant_of("text"))
     assert got == [b for _, b in MERCHANT_EXAMPLES]
     assert len(merchants.MERCHANT_RULES) == 281 and len(categories.CATEGORY_RULES) == 29
+
+
+def test_texts_that_hold_a_mark_stay(spark):
+    values = ["__PLACEHOLDER_SSN__ 7", "__PLACEHOLDERXX_SSN__ 7", "__PLACEHOLDERX_1 9", "123-45-6789 __PLACEHOLDER_SSN__"]
+    got = run(spark, values, redaction.redact(F.col("text")))
+    assert got == [*values[:3], "[SSN_REDACTED] __PLACEHOLDER_SSN__"]
