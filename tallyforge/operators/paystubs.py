@@ -18,6 +18,7 @@ from tallyforge.functions.text import (
     first_number,
     fold_case,
     labelled,
+    labelled_plain,
     quote,
     replace,
     strip_spaces,
@@ -114,7 +115,7 @@ def paystub_fields(paystubs: DataFrame) -> DataFrame:
     letters = r"([A-Z][A-Za-z\s&,\.]+)"
 
     def numbers(fields: dict[str, str], kind: str = "decimal(18,2)", sign: str = r"\$?") -> list[Column]:
-        return [F.expr(bind("_low", "t", first_number("t", names, kind, sign))).alias(field) for field, names in fields.items()]
+        return [F.expr(bind("_low", "t", first_number("t", names, kind, sign, labelled_plain))).alias(field) for field, names in fields.items()]
 
     plain = paystubs.withColumn("_text", F.expr(collapse_spaces("text")))
     read = plain.withColumn("_low", F.expr(fold_case("_text"))).select(
@@ -158,7 +159,7 @@ def paystubs_from_text(documents: DataFrame) -> DataFrame:
 
 def has_paystub(text: str) -> str:
     """Whether any section of the text would give a paystub."""
-    gross, net = (first_number("c", MONEY_FIELDS[field]) for field in ("gross_pay", "net_pay"))
+    gross, net = (first_number("c", MONEY_FIELDS[field], pattern=labelled_plain) for field in ("gross_pay", "net_pay"))
     useful = f"coalesce({_pay_date('c')} IS NOT NULL OR {gross} <> 0 OR {net} <> 0, false)"
     return f"exists({sections(text)}, s -> {bind(collapse_spaces('s'), 'p', bind(fold_case('p'), 'c', useful))})"
 

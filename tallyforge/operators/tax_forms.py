@@ -69,7 +69,7 @@ def tax_documents_from_text(documents: DataFrame, as_of: dt.date) -> DataFrame:
     digits of the file name, else from `as_of`."""
     typed = (
         documents.withColumn("_lower", F.expr(fold_case("text")))
-        .withColumn("document_type", F.expr(detect.tax_form("_lower", "source_file")))
+        .withColumn("document_type", F.expr(bind("_lower", "t", bind("source_file", "n", detect.tax_form("t", "n")))))
         .filter(F.col("document_type").isNotNull())
     )
 
