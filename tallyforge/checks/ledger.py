@@ -91,9 +91,9 @@ def _(i):
 @check("flt06_budget_lookup", "budget_log", _CURRENT_BUDGETS + """
 SELECT category, cast(month AS bigint) AS month, cast(year AS bigint) AS year,
  cast(budget_amount AS double) AS budget_amount FROM current_budgets
-WHERE is_active AND category = 'BUILDING' AND month = 12 AND year = 1998""")
+WHERE is_active AND category = 'BUILDING' AND month = 1 AND year = 2050""")
 def _(i):
-    return filters.budget_for(snapshots.current_budgets(i.budget_log), "BUILDING", "Dec", 1998)
+    return filters.budget_for(snapshots.current_budgets(i.budget_log), "BUILDING", "Jan", 2050)
 
 
 _ACTIVITY = f"""count(*) AS transaction_count, cast(sum(amount) AS double) AS total_amount,

@@ -77,11 +77,11 @@ def _(i):
 
 
 @check("txt03_table_patterns", sql=f"""
-WITH cells AS (SELECT url AS t FROM pages UNION ALL SELECT html FROM pages),
+WITH cells AS (SELECT source AS t FROM documents UNION ALL SELECT text FROM documents),
 r AS (SELECT {redact_sql('t')} AS r FROM cells), c AS ({_COUNTS.replace('documents', 'cells')})
 SELECT * FROM c WHERE cells > 0""")
 def _(i):
-    return redaction.table_patterns(i.pages, ["url", "html"])
+    return redaction.table_patterns(i.documents, ["source", "text"])
 
 
 @check("snk07_redaction_audit", sql=f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.dates import month_number
 from tallyforge.functions.numbers import percent
+from tallyforge.operators.skew import lookup_join
 
 
 def latest_statements(rows: DataFrame, keys: list[str], date: str = "statement_date") -> DataFrame:
@@ -45,9 +46,9 @@ def latest_portfolios(accounts: DataFrame, holdings: DataFrame) -> DataFrame:
 
 
 def account_children(accounts: DataFrame, children: DataFrame, on: list[str]) -> DataFrame:
-    """Child rows (holdings, trades) with their account's type and bank."""
+    """Child rows (holdings, trades) with their account's type and bank; a busy account is cut into slices."""
     parents = accounts.select(*on, "account_type", "bank_name").distinct()
-    return children.join(parents, on)
+    return lookup_join(children, parents, on)
 
 
 def current_rows(log: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
