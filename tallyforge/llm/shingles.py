@@ -7,11 +7,13 @@ with fewer words than a window has one window of all its words, and one without
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WINDOW = 5
 _SPACE = np.zeros(256, bool)
@@ -85,5 +87,26 @@ def window_hashes(texts: pa.Array, window: int = WINDOW) -> Windows:
     return Windows(total, at, counts)
 
 
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of stretches of a binary array with about `most` bytes each, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < len(sizes):
+        before = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield start, end - start
+        start = end
+
+
+def window_sets(texts: pa.Array, window: int = WINDOW) -> list[np.ndarray]:
+    """The distinct window hashes of every text, in order; a few texts are unfolded at a time."""
+    out = []
+    for start, count in slices(texts):
+        found = window_hashes(texts.slice(start, count), window)
+        out += [np.unique(found.hashes[a:b]) for a, b in zip(found.at[:-1], found.at[1:])]
+    return out
+
+
 def as_signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
