@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stored
 from tallyforge.llm.components import components
-from tallyforge.llm.shingles import WINDOW, mixed, window_hashes
+from tallyforge.llm.shingles import WINDOW, mixed, slices, window_hashes, window_sets
 
 SIMILARITY = 0.8
 PLACES = 64
@@ -46,7 +46,7 @@ DEPTH = 3
 LIMIT = 256
 SEED = 23
 #: Rows that small buckets or groups are packed into one task for.
-PACK = 4096
+PACK = 1024
 
 
 def runs_needed(recall: float, depth: int) -> int:
@@ -75,8 +75,8 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = factors()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at, count in slices(whole.column(1)):
+                batch = whole.slice(at, count)
                 found = window_hashes(batch.column(1), window)
                 filled = np.flatnonzero(np.diff(found.at))
                 minima = np.zeros((batch.num_rows, PLACES), np.int16)
@@ -240,8 +240,7 @@ def exact_links(groups: DataFrame, similarity: float, limit: int, window: int) -
     copies and text."""
 
     def linked(table: pa.Table) -> pa.Table:
-        found = window_hashes(table.column("text"), window)
-        sets = [np.unique(found.hashes[a:b]) for a, b in zip(found.at[:-1], found.at[1:])]
+        sets = window_sets(table.column("text").combine_chunks(), window)
         node = table.column("node").to_pylist()
         copies = table.column("copies").to_numpy()
         named: dict[bytes, int] = {}
