@@ -10,8 +10,9 @@ Scoring multiplies the distinct contexts of a batch with all class vectors at on
 token in `rest` gets the class probability times its smoothed share among the rest tokens, so that the probabilities of
 all training tokens and one unseen token add up to 1.
 
-Counts of the HEAD most frequent tokens (a bounded table) are broadcast; the other tokens of a text are joined to the
-word counts by a shuffle. Frequent words thus never meet in one task, and no word table passes through the driver.
+Counts of the tokens that make up at least one part in HEAD of all training tokens are broadcast: there cannot be more
+than HEAD of them, however large the corpus. The other tokens of a text are joined to the word counts by a shuffle.
+Frequent words thus never meet in one task, and the whole word table does not pass through the driver.
 
 Defined results: a null text counts as empty and consists of its end alone. Rows are told apart by doc_id and text; rows
 that repeat both get the same scores, each its own row. Tokens that tie in count are ranked by their bytes. Without
@@ -29,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import SPACE, lowered, stored
+from tallyforge.llm.shingles import slices
 
 CLASSES = 512
 DIMENSION = 24
-HEAD = 131_072
+HEAD = 2_000_000
 ROUNDS = 4
 NOISE = 64
 BATCH = 512
@@ -45,7 +47,7 @@ END = " "
 
 @dataclass(frozen=True)
 class Counts:
-    """Of training tokens: the whole word table, the most frequent ones, all and distinct tokens, and those in `rest`."""
+    """Of training tokens: the whole word table, the frequent ones in order, and how many there are of all and distinct."""
 
     words: DataFrame
     head: list[tuple[bytes, int]]
@@ -69,8 +71,10 @@ def count_words(training: DataFrame, text: str, classes: int = CLASSES, head: in
     each = training.select(F.explode(tokens(F.col(f"`{text}`"))).alias("word"))
     words = stored(each.groupBy("word").agg(F.count("*").alias("c")), "word-counts")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("n")).first()
-    top = words.orderBy(F.col("c").desc(), F.col("word").cast("binary")).limit(head).collect()
-    return Counts(words, [(row["word"].encode(), row["c"]) for row in top], sums["total"], sums["n"], classes)
+    frequent = words.filter(F.col("c") * head >= sums["total"]).select("word", "c").toArrow()
+    pairs = zip(frequent["word"].to_pylist(), frequent["c"].to_pylist())
+    top = sorted(((word.encode(), c) for word, c in pairs), key=lambda w: (-w[1], w[0]))
+    return Counts(words, top, sums["total"], sums["n"], classes)
 
 
 def token_ids(text: bytes | None, ids: dict[bytes, int], end: int) -> tuple[list[int], list[bytes]]:
@@ -112,11 +116,16 @@ def count_trigrams(training: DataFrame, text: str, counts: Counts, name: str = "
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranks, starts, _ = _ranked(batch.column(0).to_pylist(), known.value, end)
-            if len(ranks):
+            held, size = [], 0
+            for at, count in slices(batch.column(0)):
+                ranks, starts, _ = _ranked(batch.column(0).slice(at, count).to_pylist(), known.value, end)
                 own, context = class_codes(ranks, starts, classes, end)
-                codes, n = np.unique(context * classes + own, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
+                held.append(context * classes + own)
+                size += len(own)
+                if size > 1 << 21 or at + count == batch.num_rows:
+                    codes, n = np.unique(np.concatenate(held), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
+                    held, size = [], 0
 
     body = training.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
     found = body.mapInArrow(counted, "code long, n long")
@@ -274,11 +283,9 @@ def score(docs: DataFrame, counts: Counts, model: LogBilinear, text: str = "text
         inside = np.concatenate([np.log10((c + SMOOTH) / rest_total), [0.0]])
         inside[: min(classes - 1, len(c))] = 0.0
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at, count in slices(whole.column(2)):
+                batch = whole.slice(at, count)
                 ranks, starts, words = _ranked(batch.column(2).to_pylist(), known.value, end)
-                if not len(starts):
-                    continue
                 own, codes = class_codes(ranks, starts, classes, end)
                 model_parts = lbl.log_probabilities(codes, own) / np.log(10) + inside[ranks]
                 ends = np.append(starts[1:], len(ranks))
@@ -305,7 +312,7 @@ def score(docs: DataFrame, counts: Counts, model: LogBilinear, text: str = "text
     row = F.struct("n_tokens", "n_head", "base", "model").alias("row")
     marker = F.concat(F.lit(END), F.col("hash").cast("string"), F.lit(END))
     entries = rows.select("doc_id", "hash", row, F.explode(F.concat("rare", F.array(marker))).alias("word")).select(
-        "doc_id", "hash", F.when(F.col("word").startswith(END), F.col("row")).alias("row"), "word"
+        "doc_id", "hash", F.when(F.col("word") == marker, F.col("row")).alias("row"), "word"
     )
     c = F.coalesce(F.col("c"), F.lit(0))
     is_row = F.col("row").isNotNull()
