@@ -15,6 +15,7 @@ given order.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -139,9 +140,17 @@ def further_rules(text: Column, features: dict[str, Column]) -> list[Rule]:
     ]
 
 
-def measure(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS, share: float = SAMPLE_SHARE, seed: int = SEED) -> list[Measured]:
-    """Rejected share and seconds of each rule over the same sample; the time of an empty pass is taken off."""
-    sample = docs.sample(share, seed).limit(rows).persist()
+def measure(
+    docs: DataFrame,
+    rules: list[Rule],
+    prepare: Callable[[DataFrame], DataFrame],
+    rows: int = SAMPLE_ROWS,
+    share: float = SAMPLE_SHARE,
+    seed: int = SEED,
+) -> list[Measured]:
+    """Rejected share and seconds of each rule over the same sample of `docs`, after `prepare` has added the features;
+    the time of an empty pass is taken off."""
+    sample = prepare(docs.sample(share, seed).limit(rows)).persist()
 
     def timed(condition: Column) -> tuple[float, float]:
         start = time.perf_counter()
@@ -170,9 +179,15 @@ def first_failure(rules: list[Rule]) -> Column:
     return chain
 
 
-def cascade(docs: DataFrame, rules: list[Rule], failed_rule: str = "failed_rule") -> DataFrame:
-    """Adds the name of the first failed rule, in the order measured on a sample of `docs`."""
-    return docs.withColumn(failed_rule, first_failure(ordered(measure(docs, rules))))
+def cascade(
+    docs: DataFrame,
+    rules: list[Rule],
+    prepare: Callable[[DataFrame], DataFrame] = lambda docs: docs,
+    failed_rule: str = "failed_rule",
+) -> DataFrame:
+    """The prepared rows of `docs` with the name of the first rule each fails, in the order measured on a sample."""
+    order = ordered(measure(docs, rules, prepare))
+    return prepare(docs).withColumn(failed_rule, first_failure(order))
 
 
 def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -182,11 +197,13 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
     made = (*names, "base_failed", "failed_rule", "kept")
     body = F.col(f"`{text}`")
     plain = docs.select(*[f"`{c}`" for c in docs.columns if c not in made])
-    split = plain.withColumn(held, words(body))
-    shown = split.withColumns(base_features(body, F.col(held))).drop(held)
     features = {name: F.col(name) for name in names}
     base = base_rules(features)
-    judged = cascade(shown, [*base, *further_rules(body, features)])
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(held, words(body)).withColumns(base_features(body, F.col(held))).drop(held)
+
+    judged = cascade(plain, [*base, *further_rules(body, features)], prepare)
     failed = base[0].rejects
     for rule in base[1:]:
         failed = failed | rule.rejects
@@ -195,9 +212,18 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` that no rule rejects, with their own columns; features are only computed as far as a rule
-    asks for them."""
-    body, held, failed = F.col(f"`{text}`"), own("words"), own("failed")
-    split = docs.withColumn(held, words(body))
-    features = base_features(body, F.col(held))
-    rules = [*base_rules(features), *further_rules(body, features)]
-    return cascade(split, rules, failed).filter(F.col(failed).isNull()).select(*[f"`{c}`" for c in docs.columns])
+    asks for them, and the words once."""
+    body, held = F.col(f"`{text}`"), own("words")
+
+    def rules_over(text_words: Column) -> list[Rule]:
+        features = base_features(body, text_words)
+        return [*base_rules(features), *further_rules(body, features)]
+
+    measured = measure(docs, rules_over(F.col(held)), lambda rows: rows.withColumn(held, words(body)))
+    order = [rule.name for rule in ordered(measured)]
+
+    def verdict(text_words: Column) -> Column:
+        return first_failure(sorted(rules_over(text_words), key=lambda rule: order.index(rule.name)))
+
+    # Inside `let` the filter keeps one expression for the words, where it would else copy them into every rule.
+    return docs.filter(let(words(body), verdict).isNull())
