@@ -10,7 +10,7 @@ A word is encoded from left to right by that table: for each place there is one
 before it allows. Decoding emits the arc labels of the ids.
 
 Documents are encoded row by row without a shuffle; the vocabulary has a fixed size and is broadcast. Encoded words are
-kept between rows in tables of at most MEMO entries, which are emptied when full: memory stays bounded, results do not
+kept between rows in tables of bounded size, the rarely used ones given up first: memory stays bounded, results do not
 depend on it.
 
 Defined results: a null or empty text has no tokens. Strings of special tokens in a text become those tokens, as the
@@ -64,7 +64,8 @@ class TokenAutomaton:
         for when, (first, second) in enumerate(merges):
             self._gadget(when, vocabulary[first], vocabulary[second], vocabulary[first + second])
         self.table: dict[int, bool] = {}
-        self.root: dict = {}
+        #: Spellings as a tree: next symbols, and the token that ends here.
+        self.root: list = [{}, None]
         for label, number in vocabulary.items():
             if number not in self.dead:
                 self._insert(label.removesuffix(_END) + _LAST if label.endswith(_END) else label, number)
@@ -101,47 +102,78 @@ class TokenAutomaton:
     def _insert(self, spelling: str, number: int) -> None:
         node = self.root
         for symbol in spelling:
-            node = node.setdefault(symbol, {})
-        node[""] = number
+            node = node[0].setdefault(symbol, [{}, None])
+        node[1] = number
+
+    def _arcs(self, symbols: str, at: int) -> list[tuple[int, int]]:
+        """(token, end) of the tokens spelled from `at` on, the longest last."""
+        found, children = [], self.root[0]
+        for end in range(at, len(symbols)):
+            node = children.get(symbols[end])
+            if node is None:
+                break
+            children, token = node
+            if token is not None:
+                found.append((token, end + 1))
+        return found
 
     def encode(self, symbols: str) -> list[int]:
         """The ids of one word, given as byte symbols, from left to right.
 
-        `last[i]` is the one token that ends at i; arcs that may follow it are walked along the spellings, and an arc is
-        taken if the transition table allows it."""
+        From each place the longest arc is taken that the transition table allows after the last token. Only one
+        tokenization reaches a place, so a place from which no arc leads on is never entered again."""
         symbols += _LAST
-        n, table, root = len(symbols), self.table, self.root
-        last, start = [0] * (n + 1), [-1] * (n + 1)
-        for at in range(n):
-            if at and start[at] < 0:
+        n, table = len(symbols), self.table
+        out: list[int] = []
+        path: list[tuple[int, list[tuple[int, int]]]] = []
+        closed: set[int] = set()
+        at, arcs = 0, self._arcs(symbols, 0)
+        while at < n:
+            if not arcs:
+                closed.add(at)
+                out.pop()
+                at, arcs = path.pop()
                 continue
-            node, before = root, last[at]
-            for end in range(at + 1, n + 1):
-                node = node.get(symbols[end - 1])
-                if node is None:
-                    break
-                if start[end] < 0 and "" in node:
-                    token = node[""]
-                    if at:
-                        key = before << 32 | token
-                        allowed = table.get(key)
-                        if allowed is None:
-                            if len(table) >= 2 * MEMO:
-                                table.clear()
-                            allowed = table[key] = self._has(before, token)
-                        if not allowed:
-                            continue
-                    last[end], start[end] = token, at
-        out, at = [], n
-        while at > 0:
-            out.append(last[at])
-            at = start[at]
-        return out[::-1]
+            token, end = arcs.pop()
+            if end in closed:
+                continue
+            if at:
+                key = out[-1] << 32 | token
+                allowed = table.get(key)
+                if allowed is None:
+                    if len(table) >= 2 * MEMO:
+                        table.clear()
+                    allowed = table[key] = self._has(out[-1], token)
+                if not allowed:
+                    continue
+            out.append(token)
+            path.append((at, arcs))
+            at, arcs = end, self._arcs(symbols, end) if end < n else []
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.labels[number] for number in ids])
 
 
+class Memo:
+    """At most 2 * MEMO entries: when the new ones reach MEMO they become the old ones, and the old ones go."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, tuple[str, str, int]] = {}
+        self.old: dict[str, tuple[str, str, int]] = {}
+
+    def again(self, key: str) -> tuple[str, str, int] | None:
+        """An old entry, which is new again."""
+        found = self.old.get(key)
+        return None if found is None else self.keep(key, found)
+
+    def keep(self, key: str, value: tuple[str, str, int]) -> tuple[str, str, int]:
+        if len(self.new) >= MEMO:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+        return value
+
+
 class Encoder:
     """Texts to ids as a vocabulary file says: special strings, NFC, lower case, split into words, bytes, automaton."""
 
@@ -156,48 +188,43 @@ class Encoder:
         pattern = said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
         self.symbols = byte_symbols()
-        self.known_words: dict[str, tuple[str, str, int]] = {}
-        self.known_pieces: dict[str, tuple[str, str, int]] = {}
+        self.known_words, self.known_pieces = Memo(), Memo()
 
     def _word(self, word: str) -> tuple[str, str, int]:
-        found = self.known_words.get(word)
+        found = self.known_words.new.get(word) or self.known_words.again(word)
         if found is None:
             ids = self.automaton.encode("".join([self.symbols[b] for b in word.encode()]))
-            found = (" ".join(map(str, ids)), self.automaton.decode(ids), len(ids))
-            if len(self.known_words) >= MEMO:
-                self.known_words.clear()
-            self.known_words[word] = found
+            found = self.known_words.keep(word, (" ".join(map(str, ids)), self.automaton.decode(ids), len(ids)))
         return found
 
     def _normalised(self, piece: str) -> str:
         """NFC, then lower case character by character: no rule that looks at a letter's place in its word."""
         return piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
 
-    def _parts(self, piece: str) -> Iterator[tuple[str, str, int]]:
-        at = 0
+    def _parts(self, piece: str) -> list[tuple[str, str, int]]:
+        parts, at = [], 0
         for match in self.specials.finditer(piece):
-            yield from map(self._word, self.words.findall(self._normalised(piece[at : match.start()])))
-            yield str(self.special[match[0]]), match[0], 1
+            parts += map(self._word, self.words.findall(self._normalised(piece[at : match.start()])))
+            parts.append((str(self.special[match[0]]), match[0], 1))
             at = match.end()
-        yield from map(self._word, self.words.findall(self._normalised(piece[at:])))
+        return parts + [self._word(w) for w in self.words.findall(self._normalised(piece[at:] if at else piece))]
 
     def _piece(self, piece: str) -> tuple[str, str, int]:
         """Ids, labels and count of a stretch without white space."""
-        if piece.isascii() and piece.isalpha():
-            found = self._word(piece.lower())
-        else:
-            parts = [*self._parts(piece)]
-            found = (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts]))
-        if len(self.known_pieces) >= MEMO:
-            self.known_pieces.clear()
-        self.known_pieces[piece] = found
+        found = self.known_pieces.again(piece)
+        if found is None:
+            parts = [self._word(piece.lower())] if piece.isascii() and piece.isalpha() else self._parts(piece)
+            if len(parts) == 1:
+                found = parts[0]
+            else:
+                found = (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts]))
+            self.known_pieces.keep(piece, found)
         return found
 
     def encode(self, text: str) -> tuple[str, str, int]:
         """The ids joined by spaces, the decoded text, and the number of ids."""
         pieces = _SPACES.split(text) if _NOT_SPACE.search(text) else text.split()
-        known = self.known_pieces.get
-        found = [known(piece) or self._piece(piece) for piece in pieces if piece]
+        found = [self.known_pieces.new.get(piece) or self._piece(piece) for piece in pieces if piece]
         return " ".join([f[0] for f in found]), " ".join([f[1] for f in found]), sum([f[2] for f in found])
 
 
