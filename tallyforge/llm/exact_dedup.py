@@ -148,7 +148,8 @@ def exact_dedup(
     split = F.when(F.col("_split"), F.col("text_sha256")).otherwise("")
     rows = prints.join(bad, ["fp", "n_bytes"], "left").withColumn("part", split)
     keys = ["fp", "n_bytes", "part"]
-    groups = rows.groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Stored, so that the join meets plain shuffles, whose hot groups Spark splits.
+    groups = stored(rows.groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return rows.join(groups, keys).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

@@ -126,7 +126,7 @@ def chosen_paths(nodes: DataFrame, similarity: float, limit: int, depth: int, re
     leaves = None
     for level in range(depth):
         last = level == depth - 1
-        sizes = frontier.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+        sizes = stored(frontier.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "path-sizes")
         sized = stored(frontier.join(sizes, "path"), "paths")
         done = sized if last else sized.filter(F.col("n") <= limit)
         leaves = done if leaves is None else leaves.union(done)
@@ -306,9 +306,12 @@ def jaccard_join(
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(links.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = joined.join(nodes.select("node", "doc_id", "copies"), "node")
-    classes = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    # Stored, so that the joins meet plain shuffles, whose hot classes and nodes Spark splits.
+    classes = stored(
+        named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size")), "classes"
+    )
     known = joined.join(classes, "component").select("node", "class_id", "class_size")
-    per_node = (
+    per_node = stored(
         nodes.join(counted, "node", "left")
         .join(known, "node", "left")
         .select(
@@ -316,7 +319,8 @@ def jaccard_join(
             F.coalesce("class_id", "doc_id").alias("class_id"),
             F.coalesce("class_size", "copies").alias("class_size"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        )
+        ),
+        "node-links",
     )
     worded = rows.filter("node IS NOT NULL").select("doc_id", "node").join(per_node, "node").drop("node")
     empty = rows.filter("node IS NULL").select(
