@@ -4,9 +4,9 @@ A text is the set of hashes of its five-word windows; texts with equal sets are
 minhash values. A run starts with all nodes in one bucket and splits buckets: each bucket samples places, every one with
 probability 1 / (similarity * PLACES), and sends a node to one child for each sampled place, by its value there. Buckets
 with one node end; those with at most LIMIT nodes are compared pair by pair on their sketches; larger ones split again,
-and after DEPTH splits are compared in tiles of LIMIT by LIMIT nodes, each tile its own task. Runs are repeated until a
-pair at the threshold meets with probability RECALL: a pair of similarity s keeps one common child a split on average,
-so the chance of a run follows from the depth.
+and after DEPTH splits are compared in tiles of LIMIT by LIMIT nodes, each tile its own task. Runs are added until a pair
+at the threshold meets with probability RECALL even where all its buckets split DEPTH times. As all pairs share the places
+drawn for the first split, the chance is that of the draw really made, not of a draw on average.
 
 Sketches only propose: pairs whose sketches agree well below the threshold (SLACK) link nodes to candidate groups. Inside
 a group all pairs are compared on their whole sets, again in tiles, by products of 0/1 matrices over the shared windows;
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,29 @@ def runs_needed(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - chance))
 
 
+def draw_recall(first: list[tuple[int, int]], similarity: float, depth: int) -> float:
+    """Chance that a pair of this similarity shares a bucket after `depth` splits, the first one at the (run, place) in
+    `first`: the mean over how many places its sketches agree in."""
+    chance, total = 1 / (similarity * PLACES), 0.0
+    runs = Counter(place for _, place in first).values()
+    for agreed in range(PLACES + 1):
+        met = 1.0
+        for _ in range(depth - 1):
+            met = 1 - (1 - chance * met) ** agreed
+        missed = math.prod(1 - agreed / PLACES * (1 - (1 - met) ** n) for n in runs)
+        total += math.comb(PLACES, agreed) * similarity**agreed * (1 - similarity) ** (PLACES - agreed) * (1 - missed)
+    return total
+
+
+def first_places(similarity: float, depth: int, recall: float, seed: int) -> list[tuple[int, int]]:
+    """(run, place) of the first split, of as many runs as reach the recall."""
+    draw, out, run = random.Random(seed), [], 0
+    while run < runs_needed(recall, depth) or draw_recall(out, similarity, depth) < recall:
+        out += [(run, place) for place in range(PLACES) if draw.random() < 1 / (similarity * PLACES)]
+        run += 1
+    return out
+
+
 def node_of(unique: np.ndarray) -> bytes:
     """16 bytes that name a set of window hashes."""
     a = mixed(unique ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
@@ -79,13 +103,13 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window
                 batch = whole.slice(at, count)
                 found = window_hashes(batch.column(1), window)
                 filled = np.flatnonzero(np.diff(found.at))
-                minima = np.zeros((batch.num_rows, PLACES), np.int16)
+                minima = np.zeros((batch.num_rows, PLACES), np.int64)
                 if len(filled):
                     for place, factor in enumerate(multipliers):
-                        least = np.minimum.reduceat((found.hashes * factor) >> np.uint64(24), found.at[filled])
-                        minima[filled, place] = (mixed(least) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
+                        least = np.minimum.reduceat(found.hashes * factor, found.at[filled])
+                        minima[filled, place] = mixed(least).view(np.int64)
                 sets = [np.unique(found.hashes[a:b]) for a, b in zip(found.at[:-1], found.at[1:])]
-                values = pa.array(minima.ravel(), pa.int16())
+                values = pa.array(minima.ravel(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
@@ -99,7 +123,7 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window
     slim = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text")
     )
-    return slim.mapInArrow(sketched, "doc_id long, node binary, size int, sketch array<smallint>")
+    return slim.mapInArrow(sketched, "doc_id long, node binary, size int, sketch array<long>")
 
 
 def tiled(rows: DataFrame, group: str, n: str, limit: int) -> DataFrame:
@@ -119,8 +143,7 @@ def tiled(rows: DataFrame, group: str, n: str, limit: int) -> DataFrame:
 def chosen_paths(nodes: DataFrame, similarity: float, limit: int, depth: int, recall: float, seed: int) -> DataFrame:
     """path, node and n (the bucket's nodes) of every bucket that is compared, over all runs."""
     chance = 1 / (similarity * PLACES)
-    draw = random.Random(seed)
-    first = [(run, place) for run in range(runs_needed(recall, depth)) for place in range(PLACES) if draw.random() < chance]
+    first = first_places(similarity, depth, recall, seed)
     starts = F.array(*[F.xxhash64(F.lit(run), F.lit(place), F.get("sketch", F.lit(place))) for run, place in first])
     frontier = nodes.select("node", F.explode(starts).alias("path"))
     leaves = None
@@ -294,7 +317,9 @@ def jaccard_join(
         "nodes",
     )
     leaves = chosen_paths(nodes.select("node", "sketch"), similarity, limit, depth, recall, seed)
-    candidates = candidate_links(leaves, nodes.select("node", "size", "sketch"), similarity, SLACK, limit)
+    # Paths need whole values, so that buckets of strangers stay small; 16 bits of each tell how far two sketches agree.
+    short = F.transform("sketch", lambda value: F.shiftright(value, 48).cast("smallint")).alias("sketch")
+    candidates = candidate_links(leaves, nodes.select("node", "size", short), similarity, SLACK, limit)
     grouped = components(candidates)
     sizes = grouped.groupBy("component").agg(F.count("*").alias("n"))
     members = grouped.join(sizes, "component").join(nodes.select("node", "copies", "doc_id"), "node")

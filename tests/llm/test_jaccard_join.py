@@ -6,7 +6,7 @@ import pytest
 from fixtures import dicts, empty, frame, prose, texts
 
 from tallyforge.llm.components import components
-from tallyforge.llm.jaccard_join import jaccard_join, runs_needed
+from tallyforge.llm.jaccard_join import PLACES, RECALL, SEED, chosen_paths, jaccard_join, runs_needed, sketches
 
 
 def sets_of(rows):
@@ -104,3 +104,22 @@ def test_components(spark, kind):
     got = {r["node"]: r["component"] for r in dicts(components(spark.createDataFrame(edges, "a long, b long")))}
     assert set(got) == set(parent)
     assert len({(got[i], find(i)) for i in got}) == len(set(got.values())) == len({find(i) for i in got})
+
+
+def test_recall_where_every_bucket_splits(spark):
+    """Pairs whose sketches agree in each place with probability 0.8, in buckets that all count as large."""
+    draw, rows, pairs = random.Random(8), [], 3000
+    for pair in range(pairs):
+        one = [draw.randrange(1 << 15) for _ in range(PLACES)]
+        two = [v if draw.random() < 0.8 else draw.randrange(1 << 15) for v in one]
+        rows += [(f"{pair}a", one), (f"{pair}b", two)]
+    nodes = spark.createDataFrame(rows, "node string, sketch array<int>")
+    leaves = chosen_paths(nodes, 0.8, 1, 3, RECALL, SEED).selectExpr("path", "node", "left(node, length(node) - 1) AS pair")
+    met = leaves.groupBy("path", "pair").count().filter("count = 2").select("pair").distinct().count()
+    assert met / pairs >= RECALL - 0.004
+
+
+def test_path_values_keep_all_bits(spark):
+    rows = [(i, prose(i, 8, 4000), "en", "s") for i in range(50)]
+    values = [v for r in dicts(sketches(frame(spark, rows))) for v in r["sketch"]]
+    assert max(abs(v) for v in values) >= 1 << 60
