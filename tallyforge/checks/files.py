@@ -3,14 +3,19 @@ reads them back."""
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
 from tallyforge.checks.registry import check
 from tallyforge.checks.text import redact_sql
+from tallyforge.operators.recurring import recurring_profile
 from tallyforge.plans import reports
 from tallyforge.session import shared_folder
-from tallyforge.sources import files
+from tallyforge.sources import files, store
 from tallyforge.streaming.ingest import Ledger, import_new_files
 
 _ROW_TEXT = ", ".join(
@@ -96,6 +101,33 @@ def _(i):
     )
 
 
+@check("src04_months_of_ledger", "transactions", """
+SELECT id, cast(transaction_date AS varchar) AS transaction_date, cast(amount AS double) AS amount, category FROM transactions
+WHERE transaction_date BETWEEN DATE '1996-11-15' AND DATE '1997-12-10'""")
+def _(i):
+    """A ledger laid out by month, and some months of it."""
+    folder, dates = shared_folder(i.spark, "ledger"), (dt.date(1996, 11, 15), dt.date(1997, 12, 10))
+    files.write_table(i.transactions, folder, schemas.TRANSACTIONS, "transaction_date", ("amount",))
+    read = files.read_table(i.spark, folder, schemas.TRANSACTIONS, "transaction_date", *dates)
+    return read.select("id", "transaction_date", "amount", "category")
+
+
+@check("src06_replaced_on_disk", "transactions", """
+SELECT source_file, category, count(*) AS n, sum(amount)::DOUBLE AS total FROM (
+  SELECT source_file, category, amount FROM transactions WHERE source_file = 'stmt_F.csv'
+  UNION ALL SELECT source_file, category, amount * 2 FROM transactions WHERE source_file = 'stmt_O.csv' AND amount > 0)
+GROUP BY ALL""")
+def _(i):
+    """One file is imported again with other rows and one without any; the third stays."""
+    folder, ledger = shared_folder(i.spark, "by-file"), i.transactions
+    store.write_by_file(ledger, folder, schemas.TRANSACTIONS)
+    again = ledger.filter("source_file = 'stmt_O.csv' AND amount > 0").withColumn("amount", (F.col("amount") * 2).cast("decimal(18,2)"))
+    replaced = ledger.select("source_file").filter("source_file <> 'stmt_F.csv'").distinct()
+    store.replace_files(again, replaced, folder, schemas.TRANSACTIONS)
+    rows = store.read_by_file(i.spark, folder, schemas.TRANSACTIONS)
+    return rows.groupBy("source_file", "category").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+
+
 @check("snk01_written_csv", "transactions", """
 SELECT cast(transaction_date AS varchar) AS transaction_date, cast(amount AS varchar) AS amount, description,
  merchant_name, category, source_file FROM transactions""")
@@ -115,11 +147,11 @@ def _(i):
     return i.spark.read.schema(schema).json(folder)
 
 
-def _imported(i, view: str, columns: list[str], *parts: str):
+def _imported(i, view: str, columns: list[str], *parts: str, fold: int = 8):
     """Imports sets of statement files one after the other, and runs the import once more, which adds nothing."""
     folder = shared_folder(i.spark, "ingest")
     rows = getattr(i, view).select(*columns)
-    ledger = Ledger(i.spark, f"{folder}/ledger", rows.schema, ["id"])
+    ledger = Ledger(i.spark, f"{folder}/ledger", rows.schema, ["id"], fold)
     for part in (*parts, None):
         if part:
             rows.filter(part).write.mode("append").parquet(f"{folder}/in")
@@ -153,17 +185,40 @@ def _(i):
     return rows.select("transaction_date", "amount", F.coalesce("merchant_name", "description").alias("who"))
 
 
-@check("inc03_refreshed_flags", "recurring_ledger", """
-, u AS (SELECT DISTINCT merchant_name, transaction_date, amount FROM recurring_ledger),
-p AS (SELECT merchant_name, cast(sum(amount) AS double) / count(amount) AS m, count(*) AS n FROM u GROUP BY 1
+#: Three overlapping statements: the second repeats some months of the first, the third some of the second.
+_THIRDS = (
+    "transaction_date < DATE '1994-07-01'",
+    "transaction_date >= DATE '1994-04-01' AND transaction_date < DATE '1997-01-01'",
+    "transaction_date >= DATE '1996-10-01'",
+)
+
+
+def _marks_after(name: str, *parts: str) -> str:
+    """SQL of the merchants that are recurring in the rows of some statements."""
+    return f"""
+{name}_u AS (SELECT DISTINCT merchant_name, transaction_date, amount FROM recurring_ledger WHERE {' OR '.join(f'({p})' for p in parts)}),
+{name}_p AS (SELECT merchant_name, cast(sum(amount) AS double) / count(amount) AS m, count(*) AS n FROM {name}_u GROUP BY 1
   HAVING count(*) >= 3),
-s AS (SELECT merchant_name, n, sum(CASE WHEN abs(cast(amount AS double) - m) / abs(m) <= 0.05 THEN 1 ELSE 0 END) AS k
-  FROM u JOIN p USING (merchant_name) GROUP BY 1, 2)
-SELECT merchant_name IN (SELECT merchant_name FROM s WHERE k >= n * 0.7) AS is_recurring, count(*) AS n,
- sum(amount)::DOUBLE AS total FROM u GROUP BY 1""")
+{name} AS (SELECT merchant_name FROM {name}_u JOIN {name}_p USING (merchant_name) GROUP BY merchant_name, n
+  HAVING sum(CASE WHEN abs(cast(amount AS double) - m) / abs(m) <= 0.05 THEN 1 ELSE 0 END) >= n * 0.7)"""
+
+
+# A mark stays once any statement gave it, also where all rows together would not.
+@check("inc03_refreshed_flags", "recurring_ledger", f"""
+, {_marks_after("one", _THIRDS[0])}, {_marks_after("two", *_THIRDS[:2])}, {_marks_after("three", *_THIRDS)},
+marks AS (SELECT merchant_name, min(b) AS since FROM (SELECT merchant_name, 1 AS b FROM one UNION ALL SELECT merchant_name, 2 FROM two
+  UNION ALL SELECT merchant_name, 3 FROM three) GROUP BY 1)
+SELECT since IS NOT NULL AS is_recurring, since, merchant_name IN (SELECT merchant_name FROM three) AS still, count(*) AS n,
+ sum(amount)::DOUBLE AS total FROM three_u LEFT JOIN marks USING (merchant_name) GROUP BY ALL""")
 def _(i):
-    ledger, _ = _imported(i, "recurring_ledger", _PLAIN, "true")
-    return ledger.flagged().groupBy("is_recurring").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+    ledger, _ = _imported(i, "recurring_ledger", _PLAIN, *_THIRDS, fold=2)
+    own = [ledger.marks.change(b).withColumn("b", F.lit(b + 1)) for b in range(len(_THIRDS))]
+    since = reduce(DataFrame.unionByName, own).groupBy("merchant_name").agg(F.min("b").alias("since"))
+    now = recurring_profile(ledger.rows()).filter("is_recurring").select("merchant_name", F.lit(True).alias("still"))
+    marked = ledger.flagged().join(since, "merchant_name", "left").join(now, "merchant_name", "left")
+    return marked.groupBy("is_recurring", "since", F.coalesce("still", F.lit(False)).alias("still")).agg(
+        F.count("*").alias("n"), F.sum("amount").alias("total")
+    )
 
 
 @check("snk07_redacted_copies", sql=f"""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tallyforge.checks.registry import check
 from tallyforge.operators import imports, quality
 from tallyforge.plans import reports
-from tallyforge.sources import samples
+from tallyforge.session import shared_folder
+from tallyforge.sources import samples, store
 
 Y1997 = (dt.date(1997, 1, 1), dt.date(1997, 12, 31))
 
@@ -49,19 +50,26 @@ kept AS (SELECT * FROM kept_m UNION ALL SELECT * FROM inc WHERE kind = 'free'
 """
 
 
+def _new_rows(i):
+    """The stored ledger is laid out by month; only the months of the later export are read."""
+    folder, stored, incoming = shared_folder(i.spark, "ledger"), i.stored, i.incoming
+    store.write_by_month(stored, folder, stored.schema)
+    near = store.read_by_month(i.spark, folder, stored.schema, months=store.months_in(incoming))
+    return incoming, imports.new_transactions(near, incoming, ["arrival"])
+
+
 @check("join03_new_transactions", "stored incoming", _NEW_ROWS + """
 SELECT arrival, cast(transaction_date AS varchar) AS transaction_date, cast(amount AS double) AS amount, description,
  merchant_name FROM kept""")
 def _(i):
-    return imports.new_transactions(i.stored, i.incoming, ["arrival"])
+    return _new_rows(i)[1]
 
 
 @check("join03_import_counts", "stored incoming", _NEW_ROWS + """
 SELECT (SELECT count(*) FROM kept) AS inserted, (SELECT count(*) FROM incoming) - (SELECT count(*) FROM kept)
  AS skipped""")
 def _(i):
-    incoming = i.incoming
-    return imports.import_counts(incoming, imports.new_transactions(i.stored, incoming, ["arrival"]))
+    return imports.import_counts(*_new_rows(i))
 
 
 samples.VIEWS["audit_rows"] = """

@@ -533,4 +533,6 @@ def _(i):
 SELECT merchant_name, id, cast(transaction_date AS varchar) AS transaction_date, cast(amount AS double) AS amount,
  description, count(*) OVER (PARTITION BY merchant_name) AS transaction_count FROM flagged""")
 def _(i):
-    return recurring.recurring_details(recurring.flag_recurring(i.recurring_ledger))
+    ledger = i.recurring_ledger
+    hot = recurring.hot_merchants(ledger)
+    return recurring.recurring_details(recurring.flag_recurring(ledger, hot), hot)

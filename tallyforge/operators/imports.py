@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.skew import lookup_join
 from tallyforge.operators.snapshots import current_rows
+from tallyforge.session import materialised
 
 PREFIX = 50
 
@@ -50,6 +51,9 @@ def new_transactions(stored: DataFrame, incoming: DataFrame, order: list[str]) -
     earliest row of each key survives the map side, so copies of any number stay cheap. "Starts with" then becomes
     an equality: the surviving descriptions are cut to just the lengths that rows of the same date and amount ask for
     (50 at most), and the earliest arrival per cut decides.
+
+    The batch, the stored rows of its dates and amounts, and the surviving rows are stored on the way, so each is worked
+    out once; the stored ledger is scanned once, between the batch's first and last day.
     """
     columns = incoming.columns
     day = ["transaction_date", "amount"]
@@ -65,36 +69,37 @@ def new_transactions(stored: DataFrame, incoming: DataFrame, order: list[str]) -
         return F.struct(F.lit(batch).alias("batch"), *[part.alias(f"o{i}") for i, part in enumerate(parts)])
 
     rest = [name for name in columns if name not in day]
+    arrived = materialised(incoming, "import-arrived")
+    asked = arrived.filter(dated).select(*day).distinct()
+    oldest, newest = asked.agg(F.min("transaction_date"), F.max("transaction_date")).first()
     # Only stored rows of a date and amount that the batch asks for can matter; the rest of history is read past.
-    asked = incoming.filter(dated).select(*day).distinct()
-    oldest, newest = (asked.agg(bound("transaction_date")).scalar() for bound in (F.min, F.max))
-    near = stored.filter(dated & F.col("transaction_date").between(oldest, newest))
-    old_rows = near.join(asked, day, "left_semi")
-    keyed_new = incoming.filter(dated & (merchant | worded)).select(
+    between = F.col("transaction_date").between(F.lit(oldest), F.lit(newest))
+    near = stored.filter(dated & between).join(asked, day, "left_semi")
+    old_rows = materialised(near.select(*day, key.alias("_key"), merchant.alias("_merchant"), worded.alias("_worded"), cut.alias("_cut")), "import-near")
+    keyed_new = arrived.filter(dated & (merchant | worded)).select(
         *day, key.alias("_key"), place(1).alias("_place"), F.struct(*rest).alias("_row")
     )
-    keyed_old = old_rows.filter(merchant).select(
-        *day, key.alias("_key"), place(0).alias("_place"), F.lit(None).cast(keyed_new.schema["_row"].dataType)
-        .alias("_row"),
+    keyed_old = old_rows.filter("_merchant").select(
+        *day, "_key", place(0).alias("_place"), F.lit(None).cast(keyed_new.schema["_row"].dataType).alias("_row")
     )
-    firsts = (
+    firsts = materialised(
         keyed_old.unionByName(keyed_new)
         .groupBy(*day, "_key")
         .agg(F.min_by(F.struct("_place", "_row"), "_place").alias("_first"))
         .select(*day, "_key", "_first.*")
-        .filter(F.col("_place.batch") == 1)
+        .filter(F.col("_place.batch") == 1),
+        "import-firsts",
     )
     texts = firsts.filter(F.col("_key").startswith("t:"))
     lengths = texts.groupBy(*day).agg(F.collect_set(F.char_length("_key") - 2).alias("_lengths"))
 
-    candidates = old_rows.filter(worded).select(*day, cut.alias("_cut"), place(0).alias("_place")).unionByName(
+    candidates = old_rows.filter("_worded").select(*day, "_cut", place(0).alias("_place")).unionByName(
         firsts.select(*day, F.col("_row.description").alias("description"), "_place")
         .filter(worded)
         .select(*day, cut.alias("_cut"), "_place")
     )
-    sizes = old_rows.select(*day).unionByName(incoming.filter(dated).select(*day))
     earliest = (
-        lookup_join(candidates, lengths, day, sizes=sizes.groupBy(*day).agg(F.count("*").alias("rows")))
+        lookup_join(candidates, lengths, day)
         .withColumn("_length", F.explode(F.filter("_lengths", lambda n: n <= F.char_length("_cut"))))
         .groupBy(*day, F.expr("concat('t:', substring(_cut, 1, _length))").alias("_key"))
         .agg(F.min("_place").alias("_earliest"))
@@ -105,15 +110,15 @@ def new_transactions(stored: DataFrame, incoming: DataFrame, order: list[str]) -
         .select(*day, "_row.*")
         .select(*columns)
     )
-    bypass = incoming.filter(~dated | (~merchant & ~worded))
+    bypass = arrived.filter(~dated | (~merchant & ~worded))
     return kept.unionByName(bypass)
 
 
 def import_counts(incoming: DataFrame, kept: DataFrame) -> DataFrame:
     """One row: rows inserted and rows skipped."""
-    inserted = kept.agg(F.count("*")).scalar()
-    return incoming.agg(F.count("*").alias("_all")).select(
-        inserted.alias("inserted"), (F.col("_all") - inserted).alias("skipped")
+    both = kept.select(F.lit(1).alias("_kept")).unionByName(incoming.select(F.lit(0).alias("_kept")))
+    return both.agg(F.coalesce(F.sum("_kept"), F.lit(0)).alias("inserted"), F.count("*").alias("_all")).select(
+        "inserted", (F.col("_all") - 2 * F.col("inserted")).alias("skipped")
     )
 
 
@@ -132,7 +137,7 @@ def duplicate_flags(transactions: DataFrame) -> DataFrame:
     def with_first(frame: DataFrame, key: str, name: str) -> DataFrame:
         keys = ["_day", "amount", key]
         every = rows.filter("amount IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("rows"), F.min("id").alias(name))
-        return lookup_join(frame, every.filter("rows > 1").drop("rows"), keys, "left", sizes=every.select(*keys, "rows"))
+        return lookup_join(frame, every.filter("rows > 1").drop("rows"), keys, "left")
 
     marked = with_first(with_first(rows, "_text", "first_same_description"), "_merchant", "first_same_merchant")
     earliest = F.least("first_same_description", "first_same_merchant")
@@ -153,8 +158,8 @@ def record_imports(log: DataFrame, imported: DataFrame) -> DataFrame:
 
 
 def replace_files(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Forced re-import: stored rows of the incoming files go, the incoming rows come in. On disk the same is a
-    dynamic overwrite of the `source_file` partitions."""
+    """Forced re-import as a view: stored rows of the incoming files go, the incoming rows come in. On disk
+    `sources.store.replace_files` does the same and reads none of the old rows."""
     files = incoming.select("source_file").distinct()
     return stored.join(files, "source_file", "left_anti").unionByName(incoming)
 

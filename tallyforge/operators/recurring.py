@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.numbers import mean
-from tallyforge.operators.skew import lookup_join
+from tallyforge.operators.skew import HotKeys, heavy_keys, lookup_join
+from tallyforge.session import materialised
 
 LEAST_CHARGES = 3
 AMOUNT_TOLERANCE = 0.05
@@ -25,21 +26,26 @@ def merchant_amounts(transactions: DataFrame) -> DataFrame:
     return _with_merchant(transactions).groupBy("merchant_name", "amount").agg(F.count("*").alias("n"))
 
 
-def recurring_profile(transactions: DataFrame) -> DataFrame:
+def hot_merchants(transactions: DataFrame) -> HotKeys:
+    """The merchants that hold more than a partition's share of a ledger: looked for once, they serve every join by
+    merchant, since no table derived from the ledger has more rows of a merchant than the ledger."""
+    return heavy_keys(transactions, ["merchant_name"])
+
+
+def recurring_profile(transactions: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Per merchant: row count, mean, rows within 5 % of the mean, and whether that makes the merchant recurring
     (at least three rows, at least 70 % of them similar; NULL and zero amounts are never similar).
 
-    Rows are first reduced to one per (merchant, amount); the second pass meets the means through the sliced join,
-    so a merchant with a third of the ledger is neither collected nor windowed.
+    Rows are first reduced to one per (merchant, amount), which is stored; the second pass meets the means through the
+    sliced join, so a merchant with a third of the ledger is neither collected nor windowed.
     """
-    return profile_of_amounts(merchant_amounts(transactions))
+    return profile_of_amounts(materialised(merchant_amounts(transactions), "merchant-amounts"), hot)
 
 
-def profile_of_amounts(counts: DataFrame) -> DataFrame:
+def profile_of_amounts(counts: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """The profile from one row per (merchant, amount)."""
     means = counts.groupBy("merchant_name").agg(
         F.sum("n").alias("row_count"),
-        F.count("*").alias("amounts"),
         (
             F.sum(F.col("amount") * F.col("n")).cast("double")
             / F.nullif(F.sum(F.when(F.col("amount").isNotNull(), F.col("n"))), F.lit(0))
@@ -51,7 +57,7 @@ def profile_of_amounts(counts: DataFrame) -> DataFrame:
         F.abs(value - F.col("mean_amount")) / F.abs("mean_amount") <= AMOUNT_TOLERANCE
     )
     return (
-        lookup_join(counts, enough, ["merchant_name"], sizes=means.select("merchant_name", F.col("amounts").alias("rows")))
+        lookup_join(counts, enough, ["merchant_name"], hot=hot)
         .groupBy("merchant_name")
         .agg(
             F.max("row_count").alias("row_count"),
@@ -62,13 +68,15 @@ def profile_of_amounts(counts: DataFrame) -> DataFrame:
     )
 
 
-def flag_recurring(transactions: DataFrame) -> DataFrame:
-    """The ledger with `is_recurring` set on every row of a recurring merchant."""
+def flag_recurring(transactions: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    """The ledger with `is_recurring` set on every row of a recurring merchant. The merchants found are stored, so that
+    the plan of the flagged ledger is the ledger's and one small scan."""
     own = [name for name in transactions.columns if name != "is_recurring"]
-    profile = recurring_profile(transactions)
-    marked = profile.filter("is_recurring").select("merchant_name", F.lit(True).alias("_flag"))
-    sizes = profile.select("merchant_name", F.col("row_count").alias("rows"))
-    joined = lookup_join(transactions.select(*own), marked, ["merchant_name"], "left", sizes=sizes)
+    if hot is None:
+        hot = hot_merchants(transactions)
+    profile = recurring_profile(transactions, hot)
+    marked = materialised(profile.filter("is_recurring").select("merchant_name", F.lit(True).alias("_flag")), "recurring-merchants")
+    joined = lookup_join(transactions.select(*own), marked, ["merchant_name"], "left", hot=hot)
     return joined.select(*own, F.coalesce("_flag", F.lit(False)).alias("is_recurring"))
 
 
@@ -92,14 +100,17 @@ def recurring_merchants(flagged: DataFrame) -> DataFrame:
     )
 
 
-def recurring_details(flagged: DataFrame) -> DataFrame:
+def recurring_details(flagged: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """The transactions behind `recurring_merchants`, one row each, in the order a listing shows them: busiest
     merchant first, newest first inside it. A global range sort splits a busy merchant by date; nothing is nested
-    into one row."""
-    merchants = recurring_merchants(flagged).select("merchant_name", "transaction_count")
+    into one row. `hot` are the frequent merchants of the ledger, where the caller has them."""
+    merchants = materialised(
+        recurring_merchants(flagged).select("merchant_name", "transaction_count"), "recurring-counts"
+    )
     rows = _recurring_rows(flagged).select("merchant_name", "id", "transaction_date", "amount", "description")
-    sizes = merchants.select("merchant_name", F.col("transaction_count").alias("rows"))
-    return lookup_join(rows, merchants, ["merchant_name"], sizes=sizes).orderBy(
+    # Without a summary of the ledger, the stored counts are those of `rows`.
+    sizes = None if hot else merchants.select("merchant_name", F.col("transaction_count").alias("rows"))
+    return lookup_join(rows, merchants, ["merchant_name"], sizes=sizes, hot=hot).orderBy(
         F.desc("transaction_count"), "merchant_name", F.desc("transaction_date"), F.desc("id"), "amount"
     )
 

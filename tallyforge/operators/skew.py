@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What approx_top_k may track at most.
+_TRACKED = 1_000_000
+
+
 def partitions(frame: DataFrame) -> int:
     """The session's number of shuffle partitions: what one partition's share is measured by."""
     return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -19,34 +26,86 @@ def hot_keys(sizes: DataFrame, keys: list[str]) -> DataFrame:
     return sizes.filter(F.col("rows") * parts > total).select(*keys, shares.alias("_slices"))
 
 
+@dataclass(frozen=True)
+class HotKeys:
+    """The frequent keys of a table, found once and held as values, so that a plan that uses them does not repeat the
+    search. `frame` has one row per key that holds more than a partition's share of the rows, with its number of shares
+    in `_slices`, and is None without such keys; there are fewer than partitions. `keyless` is the number of shares that
+    rows without a key hold."""
+
+    keys: tuple[str, ...]
+    frame: DataFrame | None
+    keyless: int = 1
+
+
+def _held(sizes: DataFrame, keys: list[str], keyless: int = 1) -> HotKeys:
+    found = sizes.collect()  # fewer rows than partitions
+    frame = sizes.sparkSession.createDataFrame(found, sizes.schema) if found else None
+    return HotKeys(tuple(keys), frame, keyless)
+
+
+def heavy_keys(rows: DataFrame, keys: list[str]) -> HotKeys:
+    """The frequent keys of `rows` from a summary of bounded size.
+
+    Each task summarises the hashes of its keys (a frequent-items sketch); summaries merge into one without a shuffle of
+    keys. It tracks eight times as many hashes as there are partitions, so that its error stays below half a share and no
+    key with a share is missed. The keys behind the candidates, at most twice as many as partitions, are then counted
+    exactly."""
+    parts = partitions(rows)
+    present = reduce(Column.__and__, [F.col(key).isNotNull() for key in keys])
+    tracked = min(_TRACKED, 8 * parts + 64)
+    hashed = F.when(present, F.xxhash64(*keys))
+    summary = rows.select(hashed.alias("h")).agg(
+        F.count("*").alias("rows"), F.count("h").alias("keyed"), F.expr(f"approx_top_k(h, {2 * parts + 16}, {tracked})").alias("top")
+    ).first()
+    total = summary["rows"]
+    keyless = max(1, -(-(total - summary["keyed"]) * parts // max(1, total)))
+    likely = [entry["item"] for entry in summary["top"] if entry["item"] is not None and entry["count"] * parts > total]
+    if not likely:
+        return HotKeys(tuple(keys), None, keyless)
+    counted = rows.filter(present & F.xxhash64(*keys).isin(likely)).groupBy(*keys).agg(F.count("*").alias("rows"))
+    shares = F.ceil(F.col("rows") * parts / F.lit(total)).cast("int")
+    return _held(counted.filter(F.col("rows") * parts > total).select(*keys, shares.alias("_slices")), keys, keyless)
+
+
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", sizes: DataFrame | None = None
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: list[str],
+    how: str = "inner",
+    sizes: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Joins many rows per key to `lookup`, which has one row per key.
 
-    `sizes` is the row count per key of `rows`, where the caller already has it. A key that holds more than one
-    partition's share is cut into as many slices as it holds shares, by a hash of the row, and only its lookup row is
-    repeated per slice: one shuffle join that stays even whatever share one key holds and whatever the data size. The
-    slice depends on the row alone, so a retried task gives the same slice. Rows without a key bypass the join.
+    `hot` are the frequent keys of `rows`, where the caller has them (those of a table that holds all of `rows` will do);
+    `sizes` is the row count per key, where the caller has that; else they are looked for. A frequent key is cut into as
+    many slices as it holds shares, by a hash of the row, and only its lookup row is repeated per slice: one shuffle join
+    that stays even whatever share one key holds and whatever the data size. The slice depends on the row alone, so a
+    retried task gives the same slice. Rows without a key match nothing; a left join deals them out by their hash.
     """
-    if sizes is None:
-        sizes = rows.groupBy(*keys).agg(F.count("*").alias("rows"))
-    present = F.lit(True)
-    for key in keys:
-        present = present & F.col(key).isNotNull()
-    hot = F.broadcast(hot_keys(sizes.filter(present), keys))
+    if hot is None:
+        hot = _held(hot_keys(sizes, keys), keys) if sizes is not None else heavy_keys(rows, keys)
+    spread = how != "inner" and (hot.keyless > 1 or sizes is not None)
+    if hot.frame is None and not spread:
+        return rows.join(lookup, keys, how)
     own = rows.columns
-    slice_of = F.pmod(F.xxhash64(*own), F.coalesce("_slices", F.lit(1))).cast("int")
-    sliced = rows.filter(present).join(hot, keys, "left").select(*own, slice_of.alias("_slice"))
-    repeated = (
-        lookup.join(hot, keys, "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
-        .drop("_slices")
-    )
-    joined = sliced.join(repeated, [*keys, "_slice"], how).drop("_slice")
-    if how == "inner":
-        return joined
-    return joined.unionByName(rows.filter(~present), allowMissingColumns=True)
+    slices, cut = F.lit(1), rows
+    repeated = lookup.withColumn("_slice", F.lit(0))
+    if hot.frame is not None:
+        listed = F.broadcast(hot.frame)
+        cut = rows.join(listed, keys, "left")
+        slices = F.coalesce("_slices", F.lit(1))
+        repeated = (
+            lookup.join(listed, keys, "left")
+            .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
+            .drop("_slices")
+        )
+    if spread:
+        absent = reduce(Column.__or__, [F.col(key).isNull() for key in keys])
+        slices = F.when(absent, F.lit(max(hot.keyless, partitions(rows)))).otherwise(slices)
+    slice_of = F.pmod(F.xxhash64(*own), slices).cast("int")
+    return cut.select(*own, slice_of.alias("_slice")).join(repeated, [*keys, "_slice"], how).drop("_slice")
 
 
 def running_totals(

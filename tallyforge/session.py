@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -50,3 +50,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
     return f"{base.rstrip('/')}/tallyforge-{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` once to the shared folder and reads it back: plans that use it several times scan its files and do not
+    repeat the work, and lost executors do not bring it back either."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

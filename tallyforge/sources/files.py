@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions.redaction import redact_tracked
+from tallyforge.sources.store import fitted, read_by_month, write_by_month
 
 # Extensions that are processed, and the mark of a processed copy.
 EXTENSIONS = ("pdf", "txt", "csv", "xlsx", "xls")
 DONE_MARK = "-sanitized"
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stored ledger table under its fixed schema."""
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType, date: str | None = None, first: dt.date | None = None, last: dt.date | None = None
+) -> DataFrame:
+    """A stored ledger table under its fixed schema; `date` names the column it is laid out by, if it is, and `first` and
+    `last` are the days wanted."""
+    if date:
+        return read_by_month(spark, path, schema, date, first, last)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -57,13 +64,13 @@ def pending_files(listing: DataFrame, done: DataFrame) -> DataFrame:
     return wanted.join(copies, "_copy", "left_anti").drop("_copy")
 
 
-def write_table(rows: DataFrame, path: str, schema: T.StructType) -> None:
-    """Writes a ledger table under its fixed schema; columns the rows lack are NULL."""
-    present = set(rows.columns)
-    columns = [
-        (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
-    ]
-    rows.select(*columns).write.mode("overwrite").parquet(path)
+def write_table(rows: DataFrame, path: str, schema: T.StructType, date: str | None = None, order: tuple[str, ...] = ()) -> None:
+    """Writes a ledger table under its fixed schema; columns the rows lack are NULL. With `date` it is laid out in a folder
+    a month, its files ordered by date and `order`."""
+    if date:
+        write_by_month(rows, path, schema, date, order)
+    else:
+        fitted(rows, schema).write.mode("overwrite").parquet(path)
 
 
 def write_redacted(documents: DataFrame, path: str) -> None:

@@ -1,8 +1,9 @@
 """Incremental import of statement files with Structured Streaming.
 
-Each micro-batch writes its own partition of four tables: the new rows, the import log, rows per merchant and amount,
-and the merchants found recurring. A batch that is run again overwrites exactly its own partitions and compares only with
-earlier ones, so a restart changes nothing. The marks of a batch rest on the small table of amounts, never on all rows.
+Each micro-batch writes its own folders: the new rows by month, the import log, rows per merchant and amount, and the
+merchants found recurring. A batch that is run again overwrites exactly its own folders and compares only with earlier ones,
+so a restart changes nothing. New rows meet only the stored months that the batch has rows of. The marks of a batch rest on
+the table of amounts, a base and a few changes, never on all rows or all batches.
 """
 
 from __future__ import annotations
@@ -14,71 +15,76 @@ from pyspark.sql import types as T
 from tallyforge.operators.imports import new_transactions
 from tallyforge.operators.recurring import merchant_amounts, profile_of_amounts
 from tallyforge.operators.skew import lookup_join
+from tallyforge.sources.store import MONTH, Deltas, month_of, months_in
 
-_FLAGS = T.StructType([T.StructField("merchant_name", T.StringType()), T.StructField("batch", T.LongType())])
+_MERCHANT = T.StructField("merchant_name", T.StringType())
 
 
 class Ledger:
-    """The four tables under one folder."""
+    """The tables under one folder. `fold` is the number of batches after which the small ones get a new base."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, order: list[str]):
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, order: list[str], fold: int = 8):
         self.spark, self.folder, self.order = spark, folder.rstrip("/"), order
         self.schema = schema
-        self.stored_schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-
-    def _read(self, table: str, schema: T.StructType, before: int | None) -> DataFrame:
-        if before == 0:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
-        return rows if before is None else rows.filter(F.col("batch") < before)
+        self.stored_schema = T.StructType(
+            [*schema.fields, T.StructField(MONTH, T.StringType()), T.StructField("batch", T.LongType())]
+        )
+        amount = T.StructField("amount", schema["amount"].dataType)
+        self.amounts = Deltas(spark, f"{self.folder}/amounts", T.StructType([_MERCHANT, amount]), ("n",), fold)
+        self.marks = Deltas(spark, f"{self.folder}/marks", T.StructType([_MERCHANT]), (), fold)
 
-    def _write(self, rows: DataFrame, table: str, batch: int) -> None:
+    def _write(self, rows: DataFrame, table: str, batch: int, *folders: str) -> None:
         (
-            rows.withColumn("batch", F.lit(batch))
+            rows.withColumn("batch", F.lit(batch).cast("long"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
+            .partitionBy(*folders, "batch")
             .parquet(f"{self.folder}/{table}")
         )
 
-    def rows(self, before: int | None = None) -> DataFrame:
-        return self._read("rows", self.stored_schema, before)
+    def rows(self, before: int | None = None, months: list[str] | None = None) -> DataFrame:
+        """Stored rows, of the batches before one and of some months if given: other folders are not opened."""
+        if before == 0 or months == []:
+            return self.spark.createDataFrame([], self.stored_schema).drop(MONTH)
+        rows = self.spark.read.schema(self.stored_schema).parquet(f"{self.folder}/rows")
+        if before is not None:
+            rows = rows.filter(F.col("batch") < before)
+        if months is not None:
+            rows = rows.filter(F.col(MONTH).isin(months))
+        return rows.drop(MONTH)
 
     def import_log(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/files")
 
+    def last_batch(self) -> int:
+        return self.import_log().agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+
     def recurring_merchants(self) -> DataFrame:
         """Merchants found recurring by any batch; the mark is never taken back."""
-        return self._read("recurring", _FLAGS, None).select("merchant_name").distinct()
+        return self.marks.after(self.last_batch())
 
     def flagged(self) -> DataFrame:
-        marks = self.recurring_merchants().withColumn("is_recurring", F.lit(True))
-        joined = lookup_join(self.rows().drop("is_recurring"), marks, ["merchant_name"], "left")
-        return joined.withColumn("is_recurring", F.coalesce("is_recurring", F.lit(False)))
+        """All rows with their mark. How busy each merchant is, the table of amounts knows."""
+        last = self.last_batch()
+        marks = self.marks.after(last).withColumn("_flag", F.lit(True))
+        sizes = self.amounts.after(last).groupBy("merchant_name").agg(F.sum("n").alias("rows"))
+        rows = self.rows().drop("is_recurring")
+        joined = lookup_join(rows, marks, ["merchant_name"], "left", sizes=sizes)
+        return joined.select(*rows.columns, F.coalesce("_flag", F.lit(False)).alias("is_recurring"))
 
     def add(self, batch: DataFrame, number: int) -> None:
         """Imports one batch: new rows first, then the log, then the marks of the merchants it touched."""
         arrived = batch.select(*self.schema.names)
-        self._write(new_transactions(self.rows(number), arrived, self.order), "rows", number)
-        log = batch.groupBy("file_path").agg(F.count("*").alias("row_count"))
-        self._write(log, "files", number)
-        added = merchant_amounts(self.rows(number + 1).filter(F.col("batch") == number))
-        self._write(added, "amounts", number)
-        fields = {field.name: field.dataType for field in self.schema.fields}
-        amounts = self._read(
-            "amounts",
-            T.StructType([
-                T.StructField("merchant_name", T.StringType()), T.StructField("amount", fields["amount"]),
-                T.StructField("n", T.LongType()), T.StructField("batch", T.LongType()),
-            ]),
-            number + 1,
-        )
-        touched = amounts.filter(F.col("batch") == number).select("merchant_name").distinct()
-        summed = (
-            amounts.join(touched, "merchant_name", "left_semi").groupBy("merchant_name", "amount").agg(F.sum("n").alias("n"))
-        )
-        profile = profile_of_amounts(summed)
-        self._write(profile.filter("is_recurring").select("merchant_name"), "recurring", number)
+        fresh = new_transactions(self.rows(number, months_in(arrived)).select(*self.schema.names), arrived, self.order)
+        months = fresh.withColumn(MONTH, month_of(F.col("transaction_date")))
+        ordered = months.repartitionByRange("transaction_date", "amount").sortWithinPartitions("transaction_date", "amount")
+        self._write(ordered, "rows", number, MONTH)
+        self._write(batch.groupBy("file_path").agg(F.count("*").alias("row_count")), "files", number)
+        written = self.spark.read.schema(self.stored_schema).parquet(f"{self.folder}/rows").filter(F.col("batch") == number)
+        self.amounts.put(merchant_amounts(written), number)
+        touched = self.amounts.change(number).select("merchant_name").distinct()
+        profile = profile_of_amounts(self.amounts.after(number, touched))
+        self.marks.put(profile.filter("is_recurring").select("merchant_name"), number)
 
 
 def import_new_files(ledger: Ledger, source: str, checkpoint: str, files_per_batch: int | None = None) -> None:
