@@ -14,12 +14,12 @@ capacity, are all that the driver plans with:
 
 Each step uses up a length (or all but a few of its pieces), so the plan has a number of steps that the capacity bounds, not
 the number of documents. It says, for ranges of ranks within a length, in which sequences and at which offset they stand.
-Ranks come from counts of (length, bucket), where buckets are small and even whatever the lengths, so no length is counted in
-one task.
+A piece's rank is its place among those of its length that its task wrote, and the number of those that earlier tasks wrote:
+no length is counted or sorted in one task.
 
-Texts are tokenised in stretches between single spaces, at which the pre-tokeniser always cuts. Stretches are remembered in a
-table of bounded size. Those of characters whose classes no Unicode version changed are merged by a faster library that reads
-the same vocabulary (if its merges are in the order of its ids); all others go to the vocabulary file's own library.
+Texts are tokenised in stretches between single spaces, at which the pre-tokeniser always cuts. Those of characters whose
+classes no Unicode version changed go to a faster library that merges by the same vocabulary (if its merges are in the order
+of its ids); all others go to the vocabulary file's own library.
 
 Defined results: a null or empty text is the closing id alone. Strings of special tokens in a text become those tokens, as
 that library does. Rows that repeat doc_id or text are documents of their own; a null doc_id is kept. An empty table gives an
@@ -31,7 +31,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,84 +48,56 @@ from tallyforge.llm.common import stored
 
 CAPACITY = 1024
 CLOSING = 2
-#: Stretches remembered at once are at most twice as many; longer ones are not.
-MEMO = 150_000
-LONGEST = 200
 #: Characters of a text that are encoded at a time.
 SLICE = 1 << 20
-#: Pieces in a bucket, about.
-BUCKET = 4096
 #: Letters, digits and spaces below are the same in all versions of Unicode that libraries know.
 _SETTLED = "ƀ"
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-class Encoder(dict):
-    """Bytes of the little-endian 32-bit ids of texts. As a mapping: those of a stretch that follows a space."""
+class Encoder:
+    """Bytes of the little-endian 32-bit ids of texts."""
 
     def __init__(self, definition: bytes):
-        super().__init__()
         said = json.loads(definition)
         self.whole = Tokenizer.from_buffer(definition)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.old: dict[str, bytes] = {}
         model, symbols = said["model"], {s: b for b, s in enumerate(byte_symbols())}
         special = [t["content"] for t in said["added_tokens"]]
         ranks = {bytes([symbols[s] for s in token]): i for token, i in model["vocab"].items() if token not in special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         made = [model["vocab"][a + b] for a, b in merges]
-        plain = said["normalizer"] is None and said["pre_tokenizer"] == {
+        self.cuts = said["normalizer"] is None and said["pre_tokenizer"] == {
             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True
         }
-        self.cuts = plain
         self.fast = None
-        if plain and made == sorted(made) and len(ranks) == len(made) + 256:
+        if self.cuts and made == sorted(made) and len(ranks) == len(made) + 256:
             pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
-
-    def _encoded(self, text: str) -> bytes:
-        if self.fast and len(text) <= LONGEST and text and max(text) < _SETTLED and not self.special.search(text):
-            ids = self.fast.encode_ordinary(text)
-        else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def __missing__(self, stretch: str) -> bytes:
-        found = self.old.get(stretch)
-        if found is None:
-            found = self._encoded(" " + stretch)
-        if len(stretch) <= LONGEST:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
-            self[stretch] = found
-        return found
+        self.slow = re.compile("|".join([*map(re.escape, special), f"[{_SETTLED}-\U0010ffff]"]))
+
+    def _ids(self, text: str, fast: bool) -> bytes:
+        ids = self.fast.encode_ordinary(text) if fast else self.whole.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def _slice(self, text: str) -> bytes:
-        words = text.split()
-        # All white space is single characters between others: then so is every space.
-        if sum(map(len, words)) + len(words) - 1 == len(text):
-            first, *rest = text.split(" ")
-        else:
-            first, *rest = _SPACE.split(text)
-        return self._encoded(first) + b"".join(map(self.__getitem__, rest))
+        if not self.fast:
+            return self._ids(text, False)
+        if text.isascii() and "<" not in text or not self.slow.search(text):
+            return self._ids(text, True)
+        # Neighbouring stretches of one kind go together; each but the first begins with its space.
+        runs = groupby(_SPACE.split(text), lambda stretch: self.slow.search(stretch) is None)
+        return b"".join(self._ids(" " * (i > 0) + " ".join(run), fast) for i, (fast, run) in enumerate(runs))
 
     def encode(self, text: str) -> bytes:
-        if not self.cuts:
-            return self._encoded(text)
-        if len(text) <= SLICE:
+        if not self.cuts or len(text) <= SLICE:
             return self._slice(text) if text else b""
         out, at = [], 0
         while at < len(text):
             cut = _SPACE.search(text, at + SLICE)
             end = cut.start() if cut else len(text)
-            if at:  # begins with the space it was cut at
-                first, *rest = _SPACE.split(text[at + 1 : end])
-                out += [self._encoded(" " + first), *map(self.__getitem__, rest)]
-            else:
-                out.append(self._slice(text[:end]))
+            out.append(self._slice(text[at:end]))
             at = end
         return b"".join(out)
 
@@ -252,32 +226,33 @@ def ranges(steps: list[tuple[int, dict[int, int]]], capacity: int) -> np.ndarray
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, closing: int, text: str, doc_id: str) -> DataFrame:
-    """Every document's pieces with their checksum and a number of their own."""
+    """Every document's pieces with their checksum, the task that made them and their place among its pieces of that length."""
     with open(vocabulary, "rb") as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
     end = np.array([closing], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = encoder_of(definition.value), TaskContext.get().partitionId() << 40
+        encoder, part = encoder_of(definition.value), TaskContext.get().partitionId()
+        seen = [0] * (capacity + 1)
         for batch in batches:
-            rows: list[tuple[int, int, int, int, int]] = []
+            rows: list[tuple[int, ...]] = []
             for i, value in enumerate(batch.column("text")):
                 ids = encoder.encode(value.as_py() or "") + end
                 for k, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
-                    rows.append((i, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-            kept, k, starts, lengths, sums = (np.array(c, np.int64) for c in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
+                    rows.append((i, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), seen[length]))
+                    seen[length] += 1
+            kept, k, starts, lengths, sums, nth = (np.array(c, np.int64) for c in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 6
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(kept)),
                     pa.array(k, pa.int32()),
-                    *[pa.array(c) for c in (starts, lengths, sums, number + np.arange(len(kept)))],
+                    *[pa.array(c) for c in (starts, lengths, sums, nth, np.full(len(kept), part))],
                 ],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "number"],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part"],
             )
-            number += len(kept)
 
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return slim.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, number long")
+    return slim.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, nth long, part long")
 
 
 def pack(
@@ -292,18 +267,13 @@ def pack(
     for row in by_length:
         counts[row["length"]] = row["n"]
     placed = ranges(plan(counts), capacity)
-    buckets = int(counts.sum()) // BUCKET + 1
-
-    bucket = F.pmod(F.xxhash64("number"), F.lit(buckets)).alias("bucket")
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = held.groupBy("length", bucket).agg(F.count("*").alias("n"))
-    sizes = stored(sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "packing-buckets")
-    inside = Window.partitionBy("length", "bucket").orderBy("number")
-    ranked = (
-        held.withColumn("bucket", bucket)
-        .withColumn("inside", F.row_number().over(inside) - 1)
-        .join(sizes, ["length", "bucket"])
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inside")).alias("rank"))
+
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy("length", "part").agg(F.count("*").alias("n"))
+    sizes = stored(sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "packing-sizes")
+    # The counts grow with the number of tasks and are not broadcast.
+    ranked = held.join(sizes.hint("shuffle_hash"), ["length", "part"]).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank")
     )
     shared = held.sparkSession.sparkContext.broadcast(placed)
 
