@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.checks.registry import check
 from tallyforge.functions import categories, dates, detect, merchants, numbers, redaction, text
-from tallyforge.operators import investments, paystubs, routing, statements, tax_forms
+from tallyforge.operators import investments, paystubs, routing, rules, statements, tax_forms
 from tallyforge.sources import samples
 
 AS_OF = dt.date(2001, 8, 1)
@@ -155,16 +155,18 @@ def _(i):
     return i.documents.select("doc_id", F.expr(merchants.known_merchant("text")).alias("merchant"))
 
 
-# A user's own rules: a category replaced and one added; a known merchant renamed and one with nested groups added.
+# A user's own rules: a category replaced and one added; two known merchants renamed by their own text and one with nested
+# groups added.
 _OWN_CATEGORIES = categories.with_category(
     categories.with_category(categories.CATEGORY_RULES, "Restaurants", ["starbucks", "tuition"]), "Trips", ["uber"]
 )
 _OWN_MERCHANTS = merchants.with_merchant(
-    merchants.with_merchant(merchants.MERCHANT_RULES, "HY-VEE", "Corner Shop"), "((QZA|QZB)EFG|QZHI)J", "Nested"
+    merchants.with_merchant(merchants.with_merchant(merchants.MERCHANT_RULES, "HY-VEE", "Corner Shop"), r"WENDY\'?S", "Burger Bar"),
+    "((QZA|QZB)EFG|QZHI)J", "Nested",
 )
 samples.VIEWS["own_descriptions"] = """
-SELECT id, concat(CASE id % 5 WHEN 0 THEN 'hy-vee ' WHEN 1 THEN 'xqzhij ' WHEN 2 THEN 'QZBEFGJ' ELSE '' END, description)
-       AS description
+SELECT id, concat(CASE id % 5 WHEN 0 THEN 'hy-vee ' WHEN 1 THEN 'xqzhij ' WHEN 2 THEN 'QZBEFGJ' WHEN 3 THEN 'wendy''s '
+       ELSE '' END, description) AS description
 FROM {descriptions}
 """
 
@@ -175,14 +177,50 @@ def _(i):
     return spread(i.descriptions).select("id", categories.category_of("description", _OWN_CATEGORIES).alias("category"))
 
 
+# `renamed` is spelled out by hand: the user's names where the plain rules say the old ones, the new rule where they say
+# nothing, and all else as the plain rules say.
 @check("ext02_own_merchants", "own_descriptions", f"""
+, plain AS (SELECT id, description, {known_merchant_sql('description')} AS known FROM own_descriptions)
 SELECT id, {known_merchant_sql('description', _OWN_MERCHANTS)} AS merchant,
- CASE id % 5 WHEN 0 THEN 'Corner Shop' ELSE {known_merchant_sql('description', _OWN_MERCHANTS)} END AS renamed
-FROM own_descriptions""")
+ CASE known WHEN 'Hy-Vee' THEN 'Corner Shop' WHEN 'Wendy''s' THEN 'Burger Bar' ELSE coalesce(known,
+   CASE WHEN contains(upper(description), 'QZAEFGJ') OR contains(upper(description), 'QZBEFGJ')
+     OR contains(upper(description), 'QZHIJ') THEN 'Nested' END) END AS renamed,
+ coalesce(known IN ('Hy-Vee', 'Wendy''s'), false) AS was_known
+FROM plain""")
+def _(i):
+    own = F.expr(merchants.known_merchant("description", _OWN_MERCHANTS))
+    return spread(i.own_descriptions).select(
+        "id", own.alias("merchant"), own.alias("renamed"), F.coalesce(own.isin("Corner Shop", "Burger Bar"), F.lit(False)).alias("was_known")
+    )
+
+
+# One rule for each order line, six thousand on the smallest sample; some keywords begin another one.
+samples.VIEWS["keyword_rules"] = """
+SELECT concat(CASE l_linenumber % 3 WHEN 0 THEN 'Ref ' WHEN 1 THEN 'po' ELSE 'K' END, cast(l_orderkey AS varchar(20)),
+         CASE WHEN l_linenumber % 2 = 0 THEN concat('x', cast(l_linenumber AS varchar(20))) ELSE '' END) AS keyword,
+       concat('Line ', cast(l_linenumber AS varchar(20)), ' ', l_returnflag) AS category,
+       l_orderkey * 100 + l_linenumber AS place
+FROM {lineitem}
+"""
+samples.VIEWS["referring"] = """
+SELECT o_orderkey AS id,
+       CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 11 = 1 THEN '' ELSE
+         concat(o_orderpriority, CASE o_orderkey % 4 WHEN 0 THEN ' REF ' WHEN 1 THEN ' paid PO' WHEN 2 THEN ' k' ELSE ' no ' END,
+           cast(o_orderkey AS varchar(20)), CASE WHEN o_custkey % 2 = 0 THEN 'X2 thanks' ELSE '/2' END) END AS description
+FROM {orders}
+"""
+
+
+# The oracle looks a keyword up by cutting every text at its places: the same question without the four letters.
+@check("ext03_rules_from_a_table", "keyword_rules referring", """
+, pieces AS (SELECT DISTINCT description, substr(upper(description), p, n) AS k FROM referring,
+  (SELECT unnest(range(1, 60)) AS p), (SELECT DISTINCT length(keyword) AS n FROM keyword_rules)
+  WHERE p + n - 1 <= length(description)),
+firsts AS (SELECT description, min_by(category, (place, category)) AS category FROM pieces
+  JOIN keyword_rules ON k = upper(keyword) GROUP BY description)
+SELECT id, category FROM referring LEFT JOIN firsts USING (description)""")
 def _(i):
-    known = F.expr(merchants.known_merchant("description", _OWN_MERCHANTS))
-    first = F.when(F.col("id") % 5 == 0, F.lit("Corner Shop")).otherwise(known)
-    return spread(i.own_descriptions).select("id", known.alias("merchant"), first.alias("renamed"))
+    return rules.categorised_by_table(i.referring, i.keyword_rules).select("id", "category")
 
 
 def kinds_sql(column: str, kinds: dict) -> str:

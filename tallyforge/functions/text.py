@@ -7,7 +7,7 @@ by node: an operand is SQL text (a column name or any expression), and so is the
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 # Case-insensitive with Unicode letters, digits and spaces, whatever the Java version's own default for \b is.
 ANY_CASE = "(?iU)"
@@ -74,7 +74,7 @@ def labelled(label: str, value: str, flags: str = UNICODE) -> str:
 def labelled_plain(label: str, value: str) -> str:
     """The same for text whose spaces are collapsed: single plain spaces, and digits of any script named as such. Without
     the flag that widens every class the search is far quicker."""
-    return label + "[: ]+" + value.replace(r"\d", r"\p{Nd}")
+    return label + "[: ]+" + value.replace(r"\d", r"\p{Nd}").replace(r"\s", " ")
 
 
 def where_seen(label: str, text: str, read: str) -> str:
@@ -98,6 +98,52 @@ def number_at(text: str, pattern: str, group: int = 1, kind: str = "decimal(18,2
     return money(f"regexp_extract({text}, {quote(pattern)}, {group})", kind)
 
 
+def spelled(label: str) -> list[str]:
+    """The plain spellings of a label with optional parts: 'taxes?' -> ['taxes', 'taxe']. Parts are a character, an escaped
+    one or a (?:group), each with or without `?`."""
+    made = [""]
+    for part in re.finditer(r"(\(\?:([^()]*)\)|\\(.)|([^\\()?]))(\?)?", label):
+        text = next(g for g in part.groups()[1:4] if g is not None)
+        made = [m + t for m in made for t in ((text, "") if part[5] else (text,))]
+    return made
+
+
+class LabelReader:
+    """Numbers behind labels, all found in one walk over a text.
+
+    A number counts as labelled where only spaces and colons, and perhaps a dollar sign, stand between it and a label. So the
+    text is searched once for such numbers, each with the few characters before it; which label those end with is then a
+    comparison of plain strings. The text has small letters and single plain spaces; a label holds no number behind a space or
+    colon. `before` and `values` are the SQL of the two arrays the fields are read from."""
+
+    def __init__(self, labels_of: Iterable[str]):
+        self.width = max(len(s) for names in labels_of for label in labels(names) for s in spelled(label))
+
+    def _all(self, text: str, group: int) -> str:
+        number = NUMBER[1:-1].replace(r"\d", r"\p{Nd}")
+        pattern = rf"(?s)(?=[: ]+\$?[\p{{Nd}},])(?<=(.{{{self.width}}}))[: ]+(\$?{number})"
+        return f"regexp_extract_all(concat(repeat('\\n', {self.width}), {text}), {quote(pattern)}, {group})"
+
+    def before(self, text: str) -> str:
+        return self._all(text, 1)
+
+    def values(self, text: str) -> str:
+        return self._all(text, 2)
+
+    @staticmethod
+    def number(before: str, values: str, names: str, kind: str = "decimal(18,2)", dollar: bool = True) -> str:
+        """The first label whose first value also reads as a number; without `dollar` only values without that sign."""
+
+        def value(label: str) -> str:
+            ends = " OR ".join(f"endswith(b, {quote(s)})" for s in spelled(label))
+            if not dollar:
+                ends = f"({ends}) AND NOT startswith({values}[i], '$')"
+            found = f"array_position(transform({before}, (b, i) -> {ends}), true)"
+            return money(f"get({values}, cast({found} AS int) - 1)", kind)
+
+        return coalesce(*[value(label) for label in labels(names)])
+
+
 def first_capture(lowered: str, names: str, value: str) -> str:
     """The first label that matches decides. Labels are looked for in case-folded text."""
     return coalesce(
@@ -110,13 +156,11 @@ def first_name(text: str, names: str, value: str) -> str:
     return coalesce(*[captured(text, labelled(label, value, ANY_CASE)) for label in labels(names)])
 
 
-def first_number(
-    lowered: str, names: str, kind: str = "decimal(18,2)", sign: str = r"\$?", pattern: Callable[[str, str], str] = labelled
-) -> str:
+def first_number(lowered: str, names: str, kind: str = "decimal(18,2)", sign: str = r"\$?") -> str:
     """The first label whose value also reads as a number. Labels are looked for in case-folded text."""
     return coalesce(
         *[
-            where_seen(label, lowered, number_at(lowered, pattern(label, sign + NUMBER), 1, kind))
+            where_seen(label, lowered, number_at(lowered, labelled(label, sign + NUMBER), 1, kind))
             for label in labels(names)
         ]
     )

@@ -10,18 +10,19 @@ from tallyforge.functions.dates import parse_date
 from tallyforge.functions.text import (
     ANY_CASE,
     DATE,
+    LabelReader,
     bind,
     captured,
     coalesce,
     collapse_spaces,
     first_name,
-    first_number,
     fold_case,
     labelled,
     labelled_plain,
     quote,
     replace,
     strip_spaces,
+    where_seen,
 )
 
 # What starts a new paystub, in the order tried.
@@ -62,6 +63,7 @@ DEDUCTIONS = {
 }
 TOTAL_DEDUCTIONS = "total deductions? | deductions? total"
 EMPLOYER = "employer | company"
+READER = LabelReader([*MONEY_FIELDS.values(), *RATE_FIELDS.values(), *HOUR_FIELDS.values(), *DEDUCTIONS.values(), TOTAL_DEDUCTIONS])
 _CUT = "\u0001\u0002"
 
 
@@ -78,7 +80,7 @@ def sections(text: str) -> str:
 
 def split_paystubs(documents: DataFrame) -> DataFrame:
     """One row per section; a document with several names them `file#1`, `file#2`, ..."""
-    cut = documents.withColumn("_sections", F.expr(sections("text")))
+    cut = documents.withColumn("_sections", F.expr(bind("text", "t", sections("t"))))
     several = F.size("_sections") > 1
     return cut.select("source_file", several.alias("_several"), F.posexplode("_sections").alias("_i", "text")).select(
         F.when(F.col("_several"), F.concat("source_file", F.lit("#"), (F.col("_i") + 1).cast("string")))
@@ -87,17 +89,19 @@ def split_paystubs(documents: DataFrame) -> DataFrame:
     )
 
 
-def _pay_date(text: str) -> str:
+def _pay_date(text: str, low: str) -> str:
+    """Digits are looked for in small letters; a date in words keeps its own."""
+    in_words = captured(text, labelled("pay date", r"(\d{1,2}\s+\w+\s+\d{4})", ANY_CASE))
     return coalesce(
-        captured(text, labelled("pay date", f"({DATE})", ANY_CASE)),
-        captured(text, labelled("pay date", r"(\d{1,2}\s+\w+\s+\d{4})", ANY_CASE)),
-        captured(text, labelled("date", f"({DATE})", ANY_CASE)),
+        where_seen("pay date", low, captured(low, labelled_plain("pay date", f"({DATE})"))),
+        where_seen("pay date", low, in_words),
+        where_seen("date", low, captured(low, labelled_plain("date", f"({DATE})"))),
     )
 
 
-def _period(text: str, group: int) -> str:
+def _period(low: str, group: int) -> str:
     span = rf"({DATE})\s*[-–]\s*({DATE})"
-    return coalesce(*[captured(text, labelled(label, span), group) for label in ("pay period", "period")])
+    return coalesce(*[where_seen(label, low, captured(low, labelled_plain(label, span), group)) for label in ("pay period", "period")])
 
 
 def _written_date(text: Column) -> Column:
@@ -114,21 +118,26 @@ def paystub_fields(paystubs: DataFrame) -> DataFrame:
     """Reads every field of each (source_file, text); texts with no pay date, gross or net pay give no row."""
     letters = r"([A-Z][A-Za-z\s&,\.]+)"
 
-    def numbers(fields: dict[str, str], kind: str = "decimal(18,2)", sign: str = r"\$?") -> list[Column]:
-        return [F.expr(bind("_low", "t", first_number("t", names, kind, sign, labelled_plain))).alias(field) for field, names in fields.items()]
+    def numbers(fields: dict[str, str], kind: str = "decimal(18,2)", dollar: bool = True) -> list[str]:
+        return [f"'{field}', {READER.number('r.b', 'r.v', names, kind, dollar)}" for field, names in fields.items()]
 
-    plain = paystubs.withColumn("_text", F.expr(collapse_spaces("text")))
-    read = plain.withColumn("_low", F.expr(fold_case("_text"))).select(
-        "source_file",
-        F.expr(_pay_date("_text")).alias("pay_date_text"),
-        F.expr(_period("_low", 1)).alias("_start"),
-        F.expr(_period("_low", 2)).alias("_end"),
-        F.expr(strip_spaces(first_name("_text", EMPLOYER, letters))).alias("employer_name"),
+    fields = [
         *numbers(MONEY_FIELDS),
         *numbers(RATE_FIELDS, "decimal(18,4)"),
-        *numbers(HOUR_FIELDS, "decimal(18,4)", ""),
+        *numbers(HOUR_FIELDS, "decimal(18,4)", False),
         *numbers(DEDUCTIONS),
         *numbers({"_total": TOTAL_DEDUCTIONS}),
+    ]
+    found = f"named_struct('b', {READER.before('_low')}, 'v', {READER.values('_low')})"
+    plain = paystubs.withColumn("_text", F.expr(collapse_spaces("text"))).withColumn("_low", F.expr(fold_case("_text")))
+    # All numbers of a section are read in one expression; as a generated row, no filter brings them along a second time.
+    read = plain.select("source_file", "_text", "_low", F.expr(f"inline(transform(array({found}), r -> named_struct({', '.join(fields)})))"))
+    read = read.select(
+        F.expr(_pay_date("_text", "_low")).alias("pay_date_text"),
+        F.expr(_period("_low", 1)).alias("_start"),
+        F.expr(_period("_low", 2)).alias("_end"),
+        F.expr(strip_spaces(first_name("_text", EMPLOYER, letters))).alias("employer_name"),
+        *[name for name in read.columns if name not in ("_text", "_low")],
     )
     pairs = [item for field in DEDUCTIONS for item in (F.lit(field), F.col(field))]
     known = read.withColumn("deductions", F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull()))
@@ -152,15 +161,16 @@ def paystub_fields(paystubs: DataFrame) -> DataFrame:
 
 def paystubs_from_text(documents: DataFrame) -> DataFrame:
     """Paystubs of all documents that look like one."""
-    lowered = documents.withColumn("_lower", F.lower("text"))
-    likely = lowered.filter(F.expr(detect.is_paystub("_lower"))).drop("_lower")
+    # Bound, so that the filter works out the small letters once and not for each of its words.
+    likely = documents.filter(F.expr(bind("lower(text)", "l", detect.is_paystub("l"))))
     return paystub_fields(split_paystubs(likely))
 
 
 def has_paystub(text: str) -> str:
     """Whether any section of the text would give a paystub."""
-    gross, net = (first_number("c", MONEY_FIELDS[field], pattern=labelled_plain) for field in ("gross_pay", "net_pay"))
-    useful = f"coalesce({_pay_date('c')} IS NOT NULL OR {gross} <> 0 OR {net} <> 0, false)"
+    gross, net = (READER.number("r.b", "r.v", MONEY_FIELDS[field]) for field in ("gross_pay", "net_pay"))
+    paid = bind(f"named_struct('b', {READER.before('c')}, 'v', {READER.values('c')})", "r", f"{gross} <> 0 OR {net} <> 0")
+    useful = f"coalesce(CASE WHEN {_pay_date('p', 'c')} IS NOT NULL THEN true ELSE {paid} END, false)"
     return f"exists({sections(text)}, s -> {bind(collapse_spaces('s'), 'p', bind(fold_case('p'), 'c', useful))})"
 
 
