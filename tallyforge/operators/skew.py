@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.session import materialised
+
 #: What approx_top_k may track at most.
 _TRACKED = 1_000_000
 
@@ -108,47 +110,68 @@ def lookup_join(
     return cut.select(*own, slice_of.alias("_slice")).join(repeated, [*keys, "_slice"], how).drop("_slice")
 
 
+PART = "_ordered_part"
+
+
+def ordered_parts(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """`rows` dealt out by ranges of group and order, stored with the number of their range: ranges hold about equally many
+    rows, however many of them share a group or are equal in all columns."""
+    numbered = rows.withColumn("_place", F.monotonically_increasing_id())
+    ranges = numbered.repartitionByRange(partitions(rows), *group, *order, "_place").drop("_place")
+    return materialised(ranges.withColumn(PART, F.spark_partition_id()), "ordered-parts")
+
+
 def running_totals(
     rows: DataFrame,
     group: list[str],
-    chunk: list[Column],
     order: list[Column],
     totals: dict[str, Column],
     least: dict[str, Column] | None = None,
     most: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Running totals up to and including each row, and smallest and largest values of the whole group, in two levels.
+    """Running totals up to and including each row, and smallest and largest values of the whole group: a prefix sum over
+    the ranges of `ordered_parts`, whose rows these are (with the same group and order).
 
-    `chunk` orders a group coarsely and `order` finishes the ordering inside a chunk. The windows over a whole group
-    see one row per (group, chunk); the row-level window only ever sees one chunk, so a large group is spread over
-    tasks.
+    A window runs over the rows of one group in one range. A range begins with at most one group that began before it, so
+    what earlier ranges add to it, and the extremes of groups that pass a range's end, are fewer rows than twice the ranges;
+    they are broadcast.
     """
     least, most = least or {}, most or {}
-    marks = [f"_chunk{i}" for i in range(len(chunk))]
     values = {f"_value_{name}": value for name, value in (totals | least | most).items()}
-    marked = rows.withColumns({m: c for m, c in zip(marks, chunk)} | values)
-    before = Window.partitionBy(*group).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    per_chunk = marked.groupBy(*group, *marks).agg(
+    marked = rows.withColumns(values)
+    per_part = marked.groupBy(*group, PART).agg(
         *[F.sum(f"_value_{name}").alias(f"_sum_{name}") for name in totals],
         *[F.min(f"_value_{name}").alias(f"_least_{name}") for name in least],
         *[F.max(f"_value_{name}").alias(f"_most_{name}") for name in most],
     )
-    spans = per_chunk.select(
-        *group,
-        *marks,
-        *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in totals],
-        *[F.min(f"_least_{name}").over(whole).alias(name) for name in least],
-        *[F.max(f"_most_{name}").over(whole).alias(name) for name in most],
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    other = {name: f"_span_{name}" for name in [*group, PART]}
+    spans = (
+        per_part.select(
+            *group,
+            PART,
+            F.count("*").over(whole).alias("_parts"),
+            *[F.sum(f"_sum_{name}").over(before).alias(f"_before_{name}") for name in totals],
+            *[F.min(f"_least_{name}").over(whole).alias(f"_whole_{name}") for name in least],
+            *[F.max(f"_most_{name}").over(whole).alias(f"_whole_{name}") for name in most],
+        )
+        .filter("_parts > 1")
+        .drop("_parts")
+        .withColumnsRenamed(other)
+    )
+    here = Window.partitionBy(*group, PART)
+    inside = here.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = marked.withColumns(
+        {f"_inside_{name}": F.sum(f"_value_{name}").over(inside) for name in totals}
+        | {f"_here_{name}": F.min(f"_value_{name}").over(here) for name in least}
+        | {f"_here_{name}": F.max(f"_value_{name}").over(here) for name in most}
     )
-    inside = Window.partitionBy(*group, *marks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = marked.withColumns({f"_inside_{name}": F.sum(f"_value_{name}").over(inside) for name in totals})
-    # Groups and chunks without a value are groups and chunks like any other.
-    other = {name: f"_span_{name}" for name in [*group, *marks]}
-    same = F.lit(True)
-    for name, renamed in other.items():
-        same = same & F.col(name).eqNullSafe(F.col(renamed))
-    joined = summed.join(spans.withColumnsRenamed(other), same).withColumns(
-        {name: F.col(f"_before_{name}") + F.col(f"_inside_{name}") for name in totals}
+    # Groups without a value are groups like any other.
+    same = reduce(Column.__and__, [F.col(name).eqNullSafe(F.col(renamed)) for name, renamed in other.items()])
+    joined = summed.join(F.broadcast(spans), same, "left")
+    return joined.select(
+        *rows.columns,
+        *[(F.coalesce(f"_before_{name}", F.lit(0)) + F.col(f"_inside_{name}")).alias(name) for name in totals],
+        *[F.coalesce(f"_whole_{name}", f"_here_{name}").alias(name) for name in [*least, *most]],
     )
-    return joined.select(*rows.columns, *totals, *least, *most)

@@ -24,6 +24,8 @@ from tallyforge.functions.text import (
     quote,
     strip_spaces,
 )
+from tallyforge.operators.dictionary import read_by_text
+from tallyforge.session import materialised
 
 # A line counts when it is not blank, does not open with a bracket and holds no redaction label.
 _KEPT = r"(?![^\S\n]*\[)(?!.*REDACTED)"
@@ -83,9 +85,13 @@ def transactions_from_text(
     strict: bool = False,
     merchant_rules: merchants.Rules = merchants.MERCHANT_RULES,
     category_rules: categories.Rules = categories.CATEGORY_RULES,
+    repeats: float | None = None,
 ) -> DataFrame:
     """Every number on every kept line as a transaction, with the carried date and the line's merchant and category.
 
+    The kept lines are stored. Where they repeat (`repeats` times on average, measured unless given), the merchant and
+    category rules run once per distinct line; lines without a number are not classified.
+
     By default each run of digits is an amount, date parts included, and no sign is read. `strict` leaves dates out
     and reads a minus or parentheses. Amounts keep six decimals, as DECIMAL(38,6); numbers of one cent or less are dropped.
     """
@@ -107,13 +113,15 @@ def transactions_from_text(
     else:
         found = f"regexp_extract_all(line, {quote(UNICODE + r'[$]?' + NUMBER)}, 1)"
         amounts = F.expr(f"transform({found}, n -> {money('n', 'decimal(38,6)')})")
-    text = F.left("line", F.lit(200))
-    named = kept.select(
+    described = kept.select(
         "source_file", "line_no", "line_date", "account_type", "bank_name",
-        text.alias("description"), amounts.alias("_amounts"),
-    ).withColumn("merchant_name", merchants.merchant_of("description", merchant_rules)).withColumn(
-        "category", categories.category_of("description", category_rules)
+        F.left("line", F.lit(200)).alias("description"), amounts.alias("_amounts"),
     )
+    rules = {
+        "merchant_name": merchants.merchant_of("description", merchant_rules),
+        "category": categories.category_of("description", category_rules),
+    }
+    named = read_by_text(materialised(described.filter(F.size("_amounts") > 0), "statement-lines"), "description", rules, repeats)
     rows = named.select("*", F.posexplode("_amounts").alias("match_no", "_amount"))
     return rows.filter(F.abs("_amount") > F.lit("0.01").cast("decimal(4,2)")).select(
         "source_file", "line_no", "match_no",

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.skew import running_totals
+from tallyforge.operators.skew import PART, ordered_parts, running_totals
 from tallyforge.operators.snapshots import current_debts
 
 STRATEGIES = ("snowball", "avalanche")
@@ -22,43 +22,44 @@ PAID_OFF = 0.01
 _AFTER = "CASE WHEN r > 0 THEN b * pow(1 + r, {k}) - p * (pow(1 + r, {k}) - 1) / r ELSE b - p * ({k}) END"
 
 
-def _ranking(strategy: str) -> tuple[list[Column], list[Column]]:
-    """Coarse and full order of the debts of a portfolio: smallest balance first, or highest rate first and the
-    smaller balance among equals."""
-    balance, rate = F.col("balance"), F.coalesce("apr", F.lit(0))
+def _ranking(strategy: str) -> list[Column]:
+    """Order of the debts of a portfolio: smallest balance first, or highest rate first and the smaller balance among
+    equals."""
     ties = [F.col("balance"), F.col("bank_name"), F.col("id")]
     if strategy == "snowball":
-        return [F.floor(balance)], ties
+        return ties
     if strategy == "avalanche":
-        return [-rate, F.floor(balance)], ties
+        return [-F.coalesce("apr", F.lit(0)), *ties]
     raise ValueError(f"unknown strategy {strategy!r}: use one of {STRATEGIES}")
 
 
 def rank_debts(debts: DataFrame, by: list[str], strategy: str) -> DataFrame:
     """Adds `rank`, the debt's place in its portfolio's payoff order."""
-    chunk, order = _ranking(strategy)
-    return running_totals(debts, by, chunk, order, {"rank": F.lit(1).cast("bigint")})
+    order = _ranking(strategy)
+    return running_totals(ordered_parts(debts, by, order), by, order, {"rank": F.lit(1).cast("bigint")}).drop(PART)
 
 
 def payoff_plan(debts: DataFrame, by: list[str], budget: float, strategy: str, as_of: dt.date) -> DataFrame:
     """One row per debt with a balance: rank, payment, months, interest, and the date it is paid, each debt starting
     30-day months after the one before. A payment that does not cover the interest never ends: `payable` is false,
     and the months and every later date are NULL."""
-    chunk, order = _ranking(strategy)
+    order = _ranking(strategy)
     open_debt = F.col("balance") > F.lit(str(PAID_OFF)).cast("decimal(18,2)")
     minimum = F.coalesce("minimum_payment", F.lit(0)).cast("decimal(18,2)")
     freeing = F.when(open_debt, minimum).otherwise(0)
     # A debt without a bank counts as a bank of its own.
     own_bank = F.coalesce(F.concat(F.lit("="), "bank_name"), F.lit("~"))
     bank = F.when(open_debt, own_bank)
+    # Put in order once; both runs of totals, and the rows between them, keep their ranges.
+    owed = ordered_parts(debts.filter((F.col("balance") > 0) & F.lit(budget > 0)), by, order)
     freed = running_totals(
-        debts.filter((F.col("balance") > 0) & F.lit(budget > 0)), by, chunk, order,
+        owed, by, order,
         {"rank": F.lit(1).cast("bigint"), "_freed": freeing}, {"_first_bank": bank}, {"_last_bank": bank},
     )
     alone = (F.col("_first_bank") == own_bank) & (F.col("_last_bank") == own_bank)
     budget_here = F.lit(str(budget)).cast("decimal(18,2)") + F.col("_freed") - freeing
     priced = freed.select(
-        *by, "id", "bank_name", "balance", "apr", "rank",
+        *by, PART, "id", "bank_name", "balance", "apr", "rank",
         F.when(alone, budget_here).otherwise(minimum).cast("double").alias("p"),
         F.col("balance").cast("double").alias("b"),
         F.when(F.col("apr") > 0, F.col("apr").cast("double") / 100 / 12).otherwise(F.lit(0.0)).alias("r"),
@@ -80,7 +81,7 @@ def payoff_plan(debts: DataFrame, by: list[str], budget: float, strategy: str, a
         .drop("_due", "_last")
     )
     chained = running_totals(
-        settled, by, chunk, order,
+        settled, by, order,
         {"_until": F.coalesce("months", F.lit(0)), "_stuck": F.col("months").isNull().cast("bigint")},
     )
     return chained.select(

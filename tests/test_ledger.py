@@ -147,8 +147,8 @@ def test_running_totals_match_one_window(spark):
     rows = spark.range(500).select("id", (F.col("id") % 3).alias("g"), (F.hash("id") % 97).alias("v"))
     order = Window.partitionBy("g").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = rows.withColumn("total", F.sum("v").over(order)).withColumn("most", F.max("id").over(Window.partitionBy("g")))
-    got = skew.running_totals(rows, ["g"], [F.floor(F.col("v") / 10)], [F.col("v"), F.col("id")],
-                              {"total": F.col("v")}, most={"most": F.col("id")})
+    by = [F.col("v"), F.col("id")]
+    got = skew.running_totals(skew.ordered_parts(rows, ["g"], by), ["g"], by, {"total": F.col("v")}, most={"most": F.col("id")})
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 

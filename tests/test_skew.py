@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tallyforge.operators.imports import duplicate_flags
-from tallyforge.operators.skew import hot_keys, lookup_join
+from tallyforge.operators.skew import PART, hot_keys, lookup_join, ordered_parts, running_totals
 from tallyforge.plans import debts
 
 DEBT = "id long, portfolio string, bank_name string, balance decimal(18,2), apr decimal(18,4), minimum_payment decimal(18,2)"
@@ -57,3 +57,36 @@ def test_sliced_join_equals_a_plain_join(spark):
     for how in ("inner", "left"):
         want = sorted(map(str, rows.join(lookup, "k", how).select("k", "id", "v").collect()))
         assert sorted(map(str, lookup_join(rows, lookup, ["k"], how).select("k", "id", "v").collect())) == want
+
+
+def test_running_totals_over_ranges(spark):
+    """Groups that pass several ranges, a group without a value, and rows equal in all columns."""
+    rows = [(None if i % 5 == 0 else "big" if i % 5 < 4 else f"g{i % 40}", i % 7, i % 3) for i in range(2000)]
+    rows += [("same", 1, 1)] * 3000
+    frame = spark.createDataFrame(rows, "k string, o int, v int").repartition(5)
+    parts = ordered_parts(frame, ["k"], [F.col("o"), F.col("v")])
+    sizes = {r[0]: r[1] for r in parts.groupBy(PART).count().collect()}
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes.values()) < 2 * len(rows) / len(sizes)
+    got = running_totals(
+        parts, ["k"], [F.col("o"), F.col("v")], {"n": F.lit(1), "total": F.col("v")}, {"low": F.col("o")}, {"high": F.col("o") + F.col("v")}
+    ).collect()
+    want = []
+    for key in {r[0] for r in rows}:
+        n = total = 0
+        own = sorted(r[1:] for r in rows if r[0] == key)
+        for o, v in own:
+            n, total = n + 1, total + v
+            want.append((str(key), o, v, n, total, own[0][0], max(a + b for a, b in own)))
+    assert sorted((str(r["k"]), r["o"], r["v"], r["n"], r["total"], r["low"], r["high"]) for r in got) == sorted(want)
+
+
+def test_one_portfolio_of_equal_debts_is_spread(spark):
+    debt = spark.range(40_000).select(
+        "id", F.lit("p").alias("portfolio"), F.lit("A").alias("bank_name"), F.lit("100").cast("decimal(18,2)").alias("balance"),
+        F.lit("10").cast("decimal(18,4)").alias("apr"), F.lit("25").cast("decimal(18,2)").alias("minimum_payment"),
+    )
+    ranked = debts.rank_debts(debt, ["portfolio"], "avalanche")
+    assert [r[0] for r in ranked.filter("rank <> id + 1").select("id").collect()] == [] and ranked.count() == 40_000
+    order = [F.col("balance"), F.col("id")]
+    sizes = [r["count"] for r in ordered_parts(debt, ["portfolio"], order).groupBy(PART).count().collect()]
+    assert max(sizes) < 2 * 40_000 / int(spark.conf.get("spark.sql.shuffle.partitions"))

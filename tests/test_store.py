@@ -1,6 +1,7 @@
 """Ledgers on disk: what is read, what is replaced, what is folded."""
 
 import datetime as dt
+import random
 import uuid
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.checks import QUERIES
-from tallyforge.operators import imports, recurring
+from tallyforge.functions import text
+from tallyforge.operators import dictionary, imports, recurring, rules
 from tallyforge.operators.skew import HotKeys, heavy_keys, lookup_join, partitions
 from tallyforge.sources import store
 from tallyforge.streaming.ingest import Ledger
@@ -179,3 +181,52 @@ def test_joins_with_given_frequent_keys(spark):
         want = rows_of(rows.join(lookup, "k", how).select("k", "id", "v"))
         for given in (hot, HotKeys(("k",), None, 2), HotKeys(("k",), None, 1), None):
             assert rows_of(lookup_join(rows, lookup, ["k"], how, hot=given).select("k", "id", "v")) == want
+
+
+def test_texts_read_once(spark):
+    """Both ways give the same rows: with nulls, empty texts, and one text that holds most of the rows."""
+    rows = spark.range(3000).select(
+        "id", F.when(F.col("id") % 9 == 0, None).when(F.col("id") % 9 == 1, "").when(F.col("id") % 9 < 7, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 40)).alias("text")
+    )
+    made = {"size": F.char_length("text"), "upper": F.coalesce(F.upper("text"), F.lit("none"))}
+    assert 20 < dictionary.repeats_of(rows, "text") < 100
+    plain = rows.withColumns({"size": made["size"], "upper": F.upper("text")})
+    for repeats in (None, 1.0, 100.0):
+        got = dictionary.read_by_text(rows, "text", {"size": made["size"], "upper": F.upper("text")}, repeats)
+        assert got.columns == plain.columns and rows_of(got) == rows_of(plain)
+    assert dictionary.read_by_text(rows.limit(0), "text", made).count() == 0
+
+
+def test_rules_from_a_table(spark):
+    rules_ = spark.createDataFrame(
+        [("Cafe", "Food", 5), ("cafe noir", "Bar", 2), ("x", "Letter", 9), ("", "Nothing", 0), (None, "Nothing", 0), ("ab", None, 0),
+         ("straße", "Street", 3), ("CAFE", "Later", 7), ("ab", "Two", 4), ("zz", "Tie B", 6), ("zzz", "Tie A", 6)],
+        "keyword string, category string, place int",
+    )
+    texts = [(1, "the CAFE Noir"), (2, "a cafe"), (3, "X"), (4, ""), (5, None), (6, "nothing"), (7, "STRAßE 5"), (8, "ab x cafe"), (9, "zzz"),
+             (10, "a"), (10, "a cafe"), (11, "caf")]
+    rows = spark.createDataFrame(texts, "id int, description string").withColumn("category", F.lit("old"))
+    got = sorted((r["id"], r["category"] or "") for r in rules.categorised_by_table(rows, rules_).collect())
+    assert got == sorted([(1, "Bar"), (2, "Food"), (3, "Letter"), (4, ""), (5, ""), (6, ""), (7, "Street"), (8, "Two"), (9, "Tie A"), (10, ""), (10, "Food"), (11, "")])
+    assert rules.categorised_by_table(rows, rules_.limit(0)).filter("category IS NOT NULL").count() == 0
+    assert rules.categorised_by_table(rows.limit(0), rules_).count() == 0
+
+
+def test_labelled_numbers_in_one_walk(spark):
+    """Against one search per label, on texts that mix labels, signs and separators."""
+    draw = random.Random(6)
+    names = {"a": "gross pay | total gross | gross", "b": r"401\(?k\)? | retirement", "c": "net", "d": r"ytd taxes? | taxes?", "e": "medicare | med"}
+    reader = text.LabelReader(names.values())
+    parts = ["gross", " pay", "total ", "net", "internet", "ytd ", "tax", "es", "401(k)", "401k", "med", "icare", ":", ": ", " ", " $", "$", "5", "1,234.50", ",", "7.", " 401(k): 9", "٣"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 14))) for _ in range(1500)] + ["", "gross: 1", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("t", F.expr(text.collapse_spaces("t")))
+    bound = f"named_struct('b', {reader.before('t')}, 'v', {reader.values('t')})"
+    for field, names_ in names.items():
+        for dollar in (True, False):
+            want = text.coalesce(*[
+                text.number_at("t", text.labelled_plain(label, (r"\$?" if dollar else "") + text.NUMBER)) for label in text.labels(names_)
+            ])
+            got = text.bind(bound, "r", reader.number("r.b", "r.v", names_, dollar=dollar))
+            bad = frame.select("t", F.expr(want).alias("w"), F.expr(got).alias("g")).filter("NOT w <=> g").collect()
+            assert bad == [], field
+    assert text.spelled(r"401\(?k\)?") == ["401(k)", "401(k", "401k)", "401k"] and text.spelled("(?:new )?balance") == ["new balance", "balance"]
