@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 
 import public_tokenizers
@@ -41,6 +42,34 @@ def test_same_ids_and_texts_as_the_library(encoder, library):
         assert decoded == library.decode(other.ids, skip_special_tokens=False), text
 
 
+def test_code_points_of_all_planes(encoder, library):
+    """Also those that this Python and the library's version of Unicode class or lower differently."""
+    draw = random.Random(21)
+    planes = [(1, 0xD800), (1, 0x250), (0x10000, 0x20000), (0xE000, 0x110000), (0x20000, 0x40000)]
+    said = ["\u1c89x", "\ua7cbx", "\U00010d50x", "a\U00018d80b", "\U00019003", "1\U0001df2f!", "a\U0003d3b4", "!\U0003d3b4"]
+    for _ in range(8000):
+        said.append("".join(chr(draw.randrange(*draw.choice(planes))) if draw.random() < 0.7 else draw.choice("ab 1!") for _ in range(draw.randint(1, 8))))
+    again = pickle.loads(pickle.dumps(encoder))
+    for text, other in zip(said, library.encode_batch(said, add_special_tokens=False)):
+        ids, decoded, _ = again.encode(text)
+        assert [int(i) for i in ids.split()] == other.ids, ascii(text)
+        assert decoded == library.decode(other.ids, skip_special_tokens=False), ascii(text)
+
+
+def test_one_reading_without_a_way_back(encoder):
+    """Each symbol moves the reading state once; forgetting what was found on the way changes nothing."""
+    automaton = encoder.automaton
+    words = ["".join(random.Random(i).choice("aeinorst") for _ in range(i % 40 + 1)) for i in range(300)]
+    first = [automaton.read(word.encode().translate(encoder.codes)) for word in words]
+    spelled = sum(automaton.length[s] == automaton.length[k >> 9] + 1 for k, s in automaton.moves.items())
+    automaton._forget()
+    assert len(automaton.moves) == spelled and not automaton.arcs
+    assert [automaton.read(word.encode().translate(encoder.codes)) for word in words] == first
+    for word, ids in zip(words, first):
+        assert "".join(automaton.labels[i] for i in ids) == word + "</w>"
+        assert all(automaton.has(a, b) for a, b in zip(ids, ids[1:]))
+
+
 def merged(symbols, merges):
     """The usual way: join the pair with the earliest merge, again and again."""
     rank = {pair: i for i, pair in enumerate(merges)}
