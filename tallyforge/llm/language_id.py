@@ -5,9 +5,10 @@ lower case with one space between runs of them, is compressed block by block, on
 whose dictionary gives the smallest total wins. The margin is the share by
 which the best total is below the second best; a narrow margin rejects the guess.
 
-The sample is bounded: SAMPLE_DOCS documents of each language, chosen by a hash of doc_id, EXCERPT bytes of each. Its
-choice only moves ids and labels; the texts of the chosen ids are read in a second pass. Dictionaries (at most
-MAX_LANGUAGES) are broadcast. Every text is classified whole, row by row, without a shuffle.
+The sample is bounded: SAMPLE_DOCS distinct texts of each language, those of the smallest hashes, and EXCERPT bytes of each,
+from a place in the text that its hash gives. Its choice only moves hashes and labels; the chosen texts are read in a second
+pass. Only the MAX_LANGUAGES languages with most documents are learned; their dictionaries are broadcast. Every text is
+classified whole, row by row, without a shuffle.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and not accepted; so is every text where
 nothing was learned. Dictionaries that tie
@@ -48,32 +49,36 @@ def remainder(doc_id: Column, divisor: int) -> Column:
 
 
 def fit(
-    training: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-    sample_docs: int = SAMPLE_DOCS, excerpt: int = EXCERPT,
+    training: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, excerpt: int = EXCERPT
 ) -> dict[str, bytes]:
     """The dictionary of each language of `training`, the most frequent first; rows without text or language teach
     nothing."""
-    body, label, key = (F.col(f"`{c}`") for c in (text, lang, doc_id))
-    usable = training.filter(label.isNotNull() & body.rlike("\\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        usable.select(label.cast("string").alias("lang"), key.alias("doc_id"))
-        .withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= sample_docs)
-        .select("lang", "doc_id")
+    body, label = F.col(f"`{text}`"), F.col(f"`{lang}`")
+    usable = training.filter(label.isNotNull() & body.rlike("\\p{L}")).select(
+        label.cast("string").alias("lang"), body.alias("text"), F.xxhash64(body).alias("hash")
+    )
+    often = {
+        row["lang"]: row["n"]
+        for row in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    }
+    order = Window.partitionBy("lang").orderBy("hash")
+    chosen = (
+        usable.select("lang", "hash").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_docs)
+    )
+    pairs = chosen.filter(F.col("lang").isin(*often)).select("lang", "hash").collect()  # sample_docs rows a language
+    if not pairs:
+        return {}
+    listed = F.broadcast(training.sparkSession.createDataFrame(pairs, "lang string, hash long"))
+    first = F.pmod(F.col("hash"), F.greatest(F.octet_length("bytes") - excerpt, F.lit(0)) + 1) + 1
+    cut = (
+        usable.join(listed, ["lang", "hash"])
+        .withColumn("bytes", letters(F.col("text")))
+        .select("lang", "hash", F.substr("bytes", first.cast("int"), F.lit(excerpt)).alias("bytes"))
+        .distinct()
     )
-    chosen = ids.distinct().limit(MAX_LANGUAGES * sample_docs + 1).collect()
-    if len(chosen) > MAX_LANGUAGES * sample_docs:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    pairs = training.sparkSession.createDataFrame(chosen, ids.schema).withColumnRenamed("lang", "_lang").withColumnRenamed("doc_id", "_id")
-    texts = usable.join(F.broadcast(pairs), key.eqNullSafe(F.col("_id")) & (label.cast("string") == F.col("_lang")))
-    cut = texts.select("_lang", "_id", F.substring(letters(body), 1, excerpt).alias("bytes")).distinct()
     held = defaultdict(list)
-    for row in cut.orderBy("_lang", F.xxhash64("_id"), "_id", "bytes").limit(MAX_LANGUAGES * sample_docs * 2).toLocalIterator():
-        if len(held[row["_lang"]]) < sample_docs:
-            held[row["_lang"]].append(bytes(row["bytes"]))
-    counts = usable.groupBy(label.cast("string").alias("lang")).count().filter(F.col("lang").isin(*held)).collect()
-    often = {row["lang"]: row["count"] for row in counts}
+    for row in sorted(cut.collect(), key=lambda r: (r["lang"], r["hash"], bytes(r["bytes"]))):
+        held[row["lang"]].append(bytes(row["bytes"]))
     return {name: b" ".join(held[name]) for name in sorted(held, key=lambda n: (-often[n], n))}
 
 

@@ -54,3 +54,42 @@ def test_remainder_is_crc32(spark, value, want):
 
     df = spark.createDataFrame([(value,)], "i long").select(language_id.remainder(F.col("i"), 3).alias("r"))
     assert df.first()["r"] == (want if want is not None else zlib.crc32(b"7") % 3)
+
+
+def test_predictions_against_plain_zstandard(spark):
+    """Every text compressed again, one block and one dictionary at a time."""
+    import regex
+    import zstandard
+
+    docs = frame(spark)
+    model = language_id.fit(docs)
+    said = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    known = {}
+    for name, content in model.items():
+        made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made.precompute_compress(level=language_id.LEVEL)
+        known[name] = zstandard.ZstdCompressor(dict_data=made, compression_params=said)
+    rows = [r for r in dicts(language_id.predict(docs, model)) if r["lang_pred"] != "und"]
+    assert len(rows) > 10
+    for row in rows:
+        body = regex.sub(r"[^\p{L}]+", " ", row["text"]).lower().encode()
+        sizes = {n: sum(len(c.compress(body[at : at + 4096])) for at in range(0, len(body), 4096)) for n, c in known.items()}
+        first, second = sorted(sizes.values())[:2]
+        assert sizes[row["lang_pred"]] == first and row["score"] == pytest.approx((second - first) / second)
+
+
+def test_excerpts_come_from_whole_texts_and_copies_count_once(spark):
+    from fixtures import prose
+
+    head = "common header " * 300
+    rows = [(i, head + prose(50 + i, 900), "en", "s") for i in range(30)] + [(100 + i, prose(1, 900), "en", "s") for i in range(40)]
+    model = language_id.fit(frame(spark, rows), sample_docs=12, excerpt=512)["en"]
+    assert model.count(b"common header common header") < 12 * 20 and len(model) <= 12 * 513
+    copied = prose(1, 900).lower().replace("\n", " ").encode()
+    assert sum(part in copied for part in [model[at : at + 200] for at in range(0, len(model) - 200, 512)]) <= 2
+
+
+def test_only_the_largest_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    model = language_id.fit(frame(spark))
+    assert len(model) == 2 and "en" in model
