@@ -27,7 +27,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
 #: What `measure` looks at: SAMPLE_ROWS rows at most, out of a seeded sample.
-SAMPLE_ROWS, SAMPLE_SHARE, SEED = 2000, 0.05, 11
+SAMPLE_ROWS, SEED = 2000, 11
 
 
 @dataclass(frozen=True)
@@ -145,12 +145,13 @@ def measure(
     rules: list[Rule],
     prepare: Callable[[DataFrame], DataFrame],
     rows: int = SAMPLE_ROWS,
-    share: float = SAMPLE_SHARE,
     seed: int = SEED,
 ) -> list[Measured]:
     """Rejected share and seconds of each rule over the same sample of `docs`, after `prepare` has added the features;
     the time of an empty pass is taken off."""
-    sample = prepare(docs.sample(share, seed).limit(rows)).persist()
+    # About `rows` of all partitions alike: the share follows from the number of rows, which the files' footers tell.
+    share = min(1.0, rows / max(1, docs.count()))
+    sample = prepare(docs.sample(share, seed)).persist()
 
     def timed(condition: Column) -> tuple[float, float]:
         start = time.perf_counter()
@@ -179,19 +180,17 @@ def first_failure(rules: list[Rule]) -> Column:
     return chain
 
 
-def cascade(
-    docs: DataFrame,
-    rules: list[Rule],
-    prepare: Callable[[DataFrame], DataFrame] = lambda docs: docs,
-    failed_rule: str = "failed_rule",
-) -> DataFrame:
-    """The prepared rows of `docs` with the name of the first rule each fails, in the order measured on a sample."""
-    order = ordered(measure(docs, rules, prepare))
-    return prepare(docs).withColumn(failed_rule, first_failure(order))
+def sorted_by_gain(docs: DataFrame, body: Column, held: str) -> list[str]:
+    """Names of all rules in the order measured on a sample, each with what it takes to compute its own features from the
+    text and its words."""
+    features = base_features(body, F.col(held))
+    rules = [*base_rules(features), *further_rules(body, features)]
+    return [rule.name for rule in ordered(measure(docs, rules, lambda rows: rows.withColumn(held, words(body))))]
 
 
 def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All base columns of every row, base_failed, and the cascade's verdict."""
+    """All base columns of every row, base_failed, and the cascade's verdict. `failed_rule` is the first rule, in the order
+    they are written in, that a rejected row fails; it does not depend on what was measured."""
     held = own("words")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     made = (*names, "base_failed", "failed_rule", "kept")
@@ -199,15 +198,15 @@ def quality_features(docs: DataFrame, text: str = "text") -> DataFrame:
     plain = docs.select(*[f"`{c}`" for c in docs.columns if c not in made])
     features = {name: F.col(name) for name in names}
     base = base_rules(features)
-
-    def prepare(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(held, words(body)).withColumns(base_features(body, F.col(held))).drop(held)
-
-    judged = cascade(plain, [*base, *further_rules(body, features)], prepare)
+    rules = [*base, *further_rules(body, features)]
+    order = sorted_by_gain(plain, body, held)
+    cascade = first_failure(sorted(rules, key=lambda rule: order.index(rule.name)))
+    rows = plain.withColumn(held, words(body)).withColumns(base_features(body, F.col(held))).drop(held)
     failed = base[0].rejects
     for rule in base[1:]:
         failed = failed | rule.rejects
-    return judged.withColumns({"base_failed": failed, "kept": F.col("failed_rule").isNull()})
+    judged = rows.withColumn("kept", cascade.isNull()).withColumn("base_failed", failed)
+    return judged.withColumn("failed_rule", F.when(~F.col("kept"), first_failure(rules)))
 
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -219,8 +218,7 @@ def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
         features = base_features(body, text_words)
         return [*base_rules(features), *further_rules(body, features)]
 
-    measured = measure(docs, rules_over(F.col(held)), lambda rows: rows.withColumn(held, words(body)))
-    order = [rule.name for rule in ordered(measured)]
+    order = sorted_by_gain(docs, body, held)
 
     def verdict(text_words: Column) -> Column:
         return first_failure(sorted(rules_over(text_words), key=lambda rule: order.index(rule.name)))
