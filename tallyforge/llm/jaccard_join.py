@@ -185,6 +185,28 @@ class Forest:
         return i != j
 
 
+def parts_of(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the smallest row that it is connected with."""
+    names = np.arange(len(linked))
+    while len(linked):
+        least = np.minimum(names, np.where(linked, names[None, :], len(names)).min(axis=1))
+        least = least[least]
+        if (least == names).all():
+            break
+        names = least
+    return names
+
+
+def spanning(pairs: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows, above the diagonal, that connect what all `pairs` connect beyond the `known` links."""
+    names = parts_of(known | known.T)
+    at = np.argwhere(pairs)
+    ends = np.sort(names[at], axis=1)
+    _, first = np.unique(ends[:, 0] * len(names) + ends[:, 1], return_index=True)
+    forest = Forest(len(names))
+    return [(int(i), int(j)) for i, j in at[np.sort(first)] if forest.join(int(names[i]), int(names[j]))]
+
+
 def runs_of(keys: list[np.ndarray]) -> Iterator[np.ndarray]:
     """Row numbers of each distinct combination of keys."""
     if not len(keys[0]):
@@ -244,13 +266,17 @@ def candidate_links(leaves: DataFrame, nodes: DataFrame, similarity: float, slac
         a, b = [], []
         for rows in runs_of([path, first, second]):
             small, large = np.minimum.outer(size[rows], size[rows]), np.maximum.outer(size[rows], size[rows])
+            close = (agreeing(sketch[rows]) >= least) & (small >= similarity * large - 1e-9)
             pairs = compared(tile[rows], first[rows[0]], second[rows[0]])
-            pairs &= (agreeing(sketch[rows]) >= least) & (small >= similarity * large - 1e-9)
-            forest = Forest(len(rows))
-            for i, j in np.argwhere(pairs):
-                if forest.join(i, j):
-                    a.append(node[rows[i]])
-                    b.append(node[rows[j]])
+            if first[rows[0]] == second[rows[0]]:
+                forest = Forest(len(rows))
+                joins = [(i, j) for i, j in np.argwhere(close & pairs) if forest.join(i, j)]
+            else:
+                # Links inside a tile come from the tile's own task: two tiles add only what joins their parts.
+                joins = spanning(close & pairs, close & (tile[rows][:, None] == tile[rows][None, :]))
+            for i, j in joins:
+                a.append(node[rows[i]])
+                b.append(node[rows[j]])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     tasks = tiled(leaves, "path", "n", limit).join(nodes, "node")

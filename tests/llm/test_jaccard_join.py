@@ -123,3 +123,32 @@ def test_path_values_keep_all_bits(spark):
     rows = [(i, prose(i, 8, 4000), "en", "s") for i in range(50)]
     values = [v for r in dicts(sketches(frame(spark, rows))) for v in r["sketch"]]
     assert max(abs(v) for v in values) >= 1 << 60
+
+
+def test_two_tiles_add_only_what_joins_their_parts():
+    import numpy as np
+
+    from tallyforge.llm.jaccard_join import Forest, parts_of, spanning
+
+    draw = np.random.default_rng(4)
+    for n in (1, 2, 7, 40):
+        for share in (0.02, 0.1, 0.6):
+            upper = np.triu(draw.random((n, n)) < share, 1)
+            tile = draw.integers(0, 2, n)
+            inner = upper & (tile[:, None] == tile[None, :])
+            plain = Forest(n)
+            for i, j in np.argwhere(upper):
+                plain.join(int(i), int(j))
+            for known, pairs in ((inner, upper & ~inner), (np.zeros_like(upper), upper)):
+                own = Forest(n)
+                for i, j in np.argwhere(known):
+                    own.join(int(i), int(j))
+                assert [own.find(i) for i in range(n)] == parts_of(known | known.T).tolist()
+                added = spanning(pairs, known)
+                assert all(pairs[i, j] and own.join(i, j) for i, j in added)  # none is idle
+                assert [own.find(i) for i in range(n)] == [plain.find(i) for i in range(n)]
+    # A group of close copies: one link between two tiles.
+    assert len(spanning(np.triu(np.ones((60, 60), bool), 1), np.ones((60, 60), bool))) == 0
+    tile = np.repeat([0, 1], 30)
+    both = np.triu(np.ones((60, 60), bool), 1)
+    assert len(spanning(both & (tile[:, None] != tile[None, :]), tile[:, None] == tile[None, :])) == 1
