@@ -77,8 +77,10 @@ def lookup_join(
     how: str = "inner",
     sizes: DataFrame | None = None,
     hot: HotKeys | None = None,
+    large: bool = False,
 ) -> DataFrame:
-    """Joins many rows per key to `lookup`, which has one row per key.
+    """Joins many rows per key to `lookup`, which has one row per key. A `large` one grows with the data: it is never broadcast,
+    however small its compressed files are.
 
     `hot` are the frequent keys of `rows`, where the caller has them (those of a table that holds all of `rows` will do);
     `sizes` is the row count per key, where the caller has that; else they are looked for. A frequent key is cut into as
@@ -90,7 +92,7 @@ def lookup_join(
         hot = _held(hot_keys(sizes, keys), keys) if sizes is not None else heavy_keys(rows, keys)
     spread = how != "inner" and (hot.keyless > 1 or sizes is not None)
     if hot.frame is None and not spread:
-        return rows.join(lookup, keys, how)
+        return rows.join(lookup.hint("merge") if large else lookup, keys, how)
     own = rows.columns
     slices, cut = F.lit(1), rows
     repeated = lookup.withColumn("_slice", F.lit(0))
@@ -107,7 +109,8 @@ def lookup_join(
         absent = reduce(Column.__or__, [F.col(key).isNull() for key in keys])
         slices = F.when(absent, F.lit(max(hot.keyless, partitions(rows)))).otherwise(slices)
     slice_of = F.pmod(F.xxhash64(*own), slices).cast("int")
-    return cut.select(*own, slice_of.alias("_slice")).join(repeated, [*keys, "_slice"], how).drop("_slice")
+    sliced = repeated.hint("merge") if large else repeated
+    return cut.select(*own, slice_of.alias("_slice")).join(sliced, [*keys, "_slice"], how).drop("_slice")
 
 
 PART = "_ordered_part"

@@ -212,6 +212,23 @@ def test_rules_from_a_table(spark):
     assert rules.categorised_by_table(rows.limit(0), rules_).count() == 0
 
 
+def test_rules_that_begin_alike(spark, monkeypatch):
+    """Hundreds of rules of one beginning: a text meets only those it holds, none of them is broadcast, and rows are whole."""
+    kept = {}
+    plain = rules.materialised
+    monkeypatch.setattr(rules, "materialised", lambda df, name: kept.setdefault(name, plain(df, name)))
+    words = [f"ref {n}{'x' * (n % 3)}" for n in range(400)] + ["ref", "paid", "k1"]
+    said = spark.createDataFrame([(w, f"c{i % 7}", i * 37 % 400) for i, w in enumerate(words)], "keyword string, category string, place int")
+    texts = [f"{a}REF {n}{b}" for n in range(0, 450, 3) for a in ("", "paid ") for b in ("", "X", "xx ref 7")] + ["re", "", None, "ref"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, description string")
+    best = {t: min(((i * 37 % 400, f"c{i % 7}") for i, w in enumerate(words) if w in (t or "").lower()), default=(0, None))[1] for t in texts}
+    got = {r["id"]: r["category"] for r in rules.categorised_by_table(rows, said).collect()}
+    assert got == {i: best[t] for i, t in enumerate(texts)}
+    assert kept["rules-by-key"].filter(F.size("rules") > rules.CROWDED).count() == 0
+    met = lookup_join(kept["rule-pieces"], kept["rules-by-key"], ["key"], large=True)
+    assert "Broadcast" not in physical(met)
+
+
 def test_labelled_numbers_in_one_walk(spark):
     """Against one search per label, on texts that mix labels, signs and separators."""
     draw = random.Random(6)
