@@ -66,10 +66,16 @@ def months_in(batch: DataFrame, date: str = "transaction_date") -> list[str]:
     return sorted(row["m"] for row in found)
 
 
+def _dealt_by_file(rows: DataFrame, file: str) -> DataFrame:
+    """`rows` dealt out by file, a file with many rows to as many tasks as it fills: none grows with the ledger."""
+    return rows.hint("rebalance", file)
+
+
 def write_by_file(rows: DataFrame, path: str, schema: T.StructType, file: str = "source_file") -> None:
     """Writes a ledger into one folder a source file."""
     placed = fitted(rows, schema).withColumn(PLACE, F.lit(False))
-    placed.repartition(file).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(file).parquet(path)
+    dealt = _dealt_by_file(placed, file)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(file).parquet(path)
 
 
 def read_by_file(
@@ -90,8 +96,7 @@ def replace_files(rows: DataFrame, files: DataFrame, path: str, schema: T.Struct
     placed = fitted(rows.join(listed, file, "left_semi"), schema).withColumn(PLACE, F.lit(False))
     marks = fitted(listed, schema).withColumn(PLACE, F.lit(True))
     (
-        placed.unionByName(marks)
-        .repartition(file)
+        _dealt_by_file(placed.unionByName(marks), file)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(file)

@@ -104,6 +104,22 @@ def test_files_are_replaced_without_reading_the_old_ones(spark, folder):
     assert "file1" in physical(one).split("PartitionFilters: ")[1].split("PushedFilters")[0]
 
 
+def test_a_large_file_is_written_by_several_tasks(spark, folder):
+    """Most rows, all equal, are of one file."""
+    rows = ledger(spark, 4000).repartition(8).withColumn("source_file", F.when(F.col("id") > 20, "large").otherwise("small")).withColumn("id", F.lit(1).cast("long"))
+    kept = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        store.write_by_file(rows, folder, SCHEMA)
+        first = files_of(store.read_by_file(spark, folder, SCHEMA, files=["large"]))
+        store.replace_files(rows, rows.select("source_file"), folder, SCHEMA)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", kept)
+    got = store.read_by_file(spark, folder, SCHEMA)
+    assert len(first) > 1 and len(files_of(got.filter("source_file = 'large'"))) > 1
+    assert rows_of(got) == rows_of(store.fitted(rows, SCHEMA))
+
+
 def test_changes_are_folded_into_bases(spark, folder):
     keys = T.StructType([T.StructField("k", T.StringType()), T.StructField("a", T.LongType())])
     deltas = store.Deltas(spark, folder, keys, ("n",), fold=3)
