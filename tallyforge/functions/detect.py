@@ -6,7 +6,7 @@ first. They return SQL text.
 
 from __future__ import annotations
 
-from tallyforge.functions.text import UNICODE, bind, captured, coalesce, first_kind, keyword_count, quote
+from tallyforge.functions.text import UNICODE, bind, captured, coalesce, first_kind, holds_any, keyword_count, quote
 
 # Patterns per bank, account type and form, in order of precedence, over lower-case text.
 BANKS = {
@@ -27,6 +27,8 @@ BANK_HEADERS = (
     r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+(?:card|bank|statement|account)",
     r"statement\s+from\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)",
 )
+# Words one of which every match of a header pattern ends or begins with.
+BANK_HEADER_WORDS = ("card", "bank", "statement", "account")
 NO_BANK = ("Account", "Credit", "Debit")
 INVESTMENT_TYPES = {
     "roth_ira": (r"roth\s+ira", r"roth\s+individual\s+retirement"),
@@ -82,7 +84,8 @@ def bank_name(text: str, lowered: str, file: str, banks: Kinds = BANKS) -> str:
         bind(captured(text, UNICODE + pattern), "g", f"CASE WHEN char_length(g) > 2 AND g NOT IN ({never}) THEN g END")
         for pattern in BANK_HEADERS
     ]
-    return coalesce(first_kind(f"lower({file})", banks), first_kind(lowered, banks), *guesses)
+    guessed = f"CASE WHEN {holds_any(text, BANK_HEADER_WORDS)} THEN {coalesce(*guesses)} END"
+    return coalesce(first_kind(f"lower({file})", banks), first_kind(lowered, banks), guessed)
 
 
 def account_type(lowered: str, file: str, kinds: Kinds = ACCOUNT_TYPES) -> str:

@@ -9,9 +9,10 @@ from tallyforge.functions import categories, detect, merchants
 from tallyforge.functions.dates import parse_date
 from tallyforge.functions.numbers import parse_money
 from tallyforge.functions.text import (
+    ANY_DATE,
+    ANY_NUMBER,
+    ANY_SPACE,
     DATE,
-    NUMBER,
-    UNICODE,
     bind,
     captured,
     coalesce,
@@ -20,16 +21,14 @@ from tallyforge.functions.text import (
     first_number,
     fold_case,
     matches,
-    money,
-    quote,
     strip_spaces,
 )
 from tallyforge.operators.dictionary import read_by_text
 from tallyforge.session import materialised
 
 # A line counts when it is not blank, does not open with a bracket and holds no redaction label.
-_KEPT = r"(?![^\S\n]*\[)(?!.*REDACTED)"
-_DATED_LINE = rf"(?dmU)^(?={_KEPT}.*{DATE})"
+_KEPT = rf"(?![{ANY_SPACE}&&[^\n]]*\[)(?!.*REDACTED)"
+_DATED_LINE = rf"(?dm)^(?={_KEPT}.*{ANY_DATE})"
 
 # Labels of a balance statement, in the order they are tried.
 CARD_BALANCE = "(?:new )?balance | (?:current )?balance | account balance | total balance | outstanding balance"
@@ -50,27 +49,34 @@ def debit_or_credit(amount: Column) -> Column:
     return F.when(amount < 0, "debit").otherwise(F.when(amount.isNotNull(), "credit"))
 
 
-def dated_lines(documents: DataFrame, start: Column, pattern: str) -> DataFrame:
-    """One row per line with the date carried down from the last dated line, `start` before the first.
-
-    The text is cut in front of every line that carries a date, so the date of a piece holds for all its lines: the
-    carry-forward needs neither a shuffle nor a window, and a document of any length stays inside its row.
-    """
+def dated_pieces(documents: DataFrame, start: Column, pattern: str) -> DataFrame:
+    """The texts cut in front of every line that carries a date, which so holds for all lines of a piece: `_piece_no`,
+    `_piece` and `line_date`, `start` before the first dated line. Neither a shuffle nor a window is needed, and a document of
+    any length stays inside its row."""
     pieces = documents.select("*", F.posexplode(F.split("text", pattern, -1)).alias("_piece_no", "_piece"))
     opening = "substring_index(_piece, '\\n', 1)"
-    own = F.expr(captured(opening, f"{UNICODE}({DATE})"))
-    usable = F.expr(matches("_piece", pattern.replace("(?dmU)^", r"(?dU)\A")))
-    dated = pieces.withColumn("line_date", F.when(usable, own).otherwise(start))
+    own = F.expr(captured(opening, f"({ANY_DATE})"))
+    usable = F.expr(matches("_piece", pattern.replace("(?dm)^", r"(?d)\A")))
+    return pieces.withColumn("line_date", F.when(usable, own).otherwise(start)).drop("text")
+
+
+def dated_lines(documents: DataFrame, start: Column, pattern: str) -> DataFrame:
+    """One row per line with the date carried down from the last dated line, `start` before the first."""
+    dated = dated_pieces(documents, start, pattern)
     lines = dated.select("*", F.posexplode(F.split("_piece", "\n", -1)).alias("_line_no", "line"))
-    return lines.withColumn("line_no", F.struct("_piece_no", "_line_no")).drop(
-        "_piece_no", "_piece", "_line_no", "text"
-    )
+    return lines.withColumn("line_no", F.struct("_piece_no", "_line_no")).drop("_piece_no", "_piece", "_line_no")
+
+
+def _plain_amounts(line: Column) -> Column:
+    """Every run of digits."""
+    found = F.regexp_extract_all(line, F.lit(r"[$]?" + ANY_NUMBER), 1)
+    return F.transform(found, lambda n: F.nullif(F.translate(n, "$,", ""), F.lit("")).try_cast("decimal(38,6)"))
 
 
 def _signed_amounts(line: Column) -> Column:
     """Numbers outside dates, negative with a leading minus or in parentheses."""
-    bare = F.regexp_replace(line, UNICODE + DATE, " ")
-    found = F.regexp_extract_all(bare, F.lit(UNICODE + r"([-(]?\s?\$?\d[\d,]*\.?\d*\)?)"), 1)
+    bare = F.regexp_replace(line, ANY_DATE, " ")
+    found = F.regexp_extract_all(bare, F.lit(rf"([-(]?[{ANY_SPACE}]?\$?\p{{Nd}}[\p{{Nd}},]*\.?\p{{Nd}}*\)?)"), 1)
 
     def value(token: Column) -> Column:
         size = parse_money(F.regexp_replace(token, r"[-()\s]", ""), "decimal(38,6)")
@@ -101,32 +107,33 @@ def transactions_from_text(
         F.expr(detect.account_type("_lower", "source_file")).alias("account_type"),
         F.expr(detect.bank_name("text", "_lower", "source_file")).alias("bank_name"),
     )
-    lines = dated_lines(kinds, F.lit(None).cast("string"), _DATED_LINE).withColumn(
-        "line", F.expr(strip_spaces("line"))
-    )
-    kept = lines.filter(
-        (F.col("line") != "") & ~F.col("line").startswith("[") & ~F.col("line").contains("REDACTED")
-        & F.col("line").rlike(r"[\p{Nd},]")
+    pieces = dated_pieces(kinds, F.lit(None).cast("string"), _DATED_LINE)
+    read = _signed_amounts if strict else _plain_amounts
+    # One expression over a piece's lines, unfolded with its empty rows: a filter below would compute it a second time.
+    stripped = F.expr(f"transform(split(_piece, '\\n', -1), (l, n) -> struct(n AS _line_no, {strip_spaces('l')} AS line))")
+    kept = F.filter(
+        stripped,
+        lambda r: (r["line"] != "") & ~r["line"].startswith("[") & ~r["line"].contains("REDACTED") & r["line"].rlike(r"[\p{Nd},]"),
     )
-    if strict:
-        amounts = _signed_amounts(F.col("line"))
-    else:
-        found = f"regexp_extract_all(line, {quote(UNICODE + r'[$]?' + NUMBER)}, 1)"
-        amounts = F.expr(f"transform({found}, n -> {money('n', 'decimal(38,6)')})")
-    described = kept.select(
-        "source_file", "line_no", "line_date", "account_type", "bank_name",
-        F.left("line", F.lit(200)).alias("description"), amounts.alias("_amounts"),
+    amounts = F.transform(kept, lambda r: F.struct(r["_line_no"].alias("_line_no"), r["line"].alias("line"), read(r["line"]).alias("_amounts")))
+    lines = pieces.select(
+        "source_file", "line_date", parse_date(F.col("line_date")).alias("transaction_date"), "account_type", "bank_name", "_piece_no",
+        F.inline_outer(F.filter(amounts, lambda r: F.size(r["_amounts"]) > 0)),
+    ).filter("_line_no IS NOT NULL")
+    described = lines.select(
+        "source_file", F.struct("_piece_no", "_line_no").alias("line_no"), "line_date", "transaction_date", "account_type", "bank_name",
+        F.left("line", F.lit(200)).alias("description"), "_amounts",
     )
     rules = {
         "merchant_name": merchants.merchant_of("description", merchant_rules),
         "category": categories.category_of("description", category_rules),
     }
-    named = read_by_text(materialised(described.filter(F.size("_amounts") > 0), "statement-lines"), "description", rules, repeats)
+    named = read_by_text(materialised(described, "statement-lines"), "description", rules, repeats)
     rows = named.select("*", F.posexplode("_amounts").alias("match_no", "_amount"))
     return rows.filter(F.abs("_amount") > F.lit("0.01").cast("decimal(4,2)")).select(
         "source_file", "line_no", "match_no",
         F.col("line_date").alias("transaction_date_text"),
-        parse_date(F.col("line_date")).alias("transaction_date"),
+        "transaction_date",
         F.col("_amount").alias("amount"),
         "description", "merchant_name", "category", "account_type", "bank_name",
         debit_or_credit(F.col("_amount")).alias("transaction_type"),
