@@ -9,7 +9,7 @@ from tallyforge.functions import detect
 from tallyforge.functions.dates import parse_date
 from tallyforge.functions.text import (
     ANY_CASE,
-    DATE,
+    ANY_DATE,
     NUMBER,
     UNICODE,
     bind,
@@ -50,18 +50,18 @@ CASH = {
 }
 # Words without which a line cannot give a trade.
 _TRADE_WORDS = ("buy", "sell", "dividend", "contribut", "withdr", "distribution")
-_DATED_LINE = rf"(?dmU)^(?=.*{DATE})"
+_DATED_LINE = rf"(?dm)^(?=.*{ANY_DATE})"
 
 
 def portfolio_value(lowered: str) -> str:
     return first_number(lowered, PORTFOLIO_VALUE)
 
 
-def _section(text: str) -> str:
+def _section(text: str, lowered: str) -> str:
     """From the first known heading up to a blank line or a line that starts with three letters; without a heading,
     the whole text."""
     end = r"(?=\n\n|\n[A-Z]{3,}|\n?\z)"
-    return coalesce(*[captured(text, rf"(?isU)({name}.*?){end}") for name in SECTIONS], text)
+    return coalesce(*[where_seen(name, lowered, captured(text, rf"(?isU)({name}.*?){end}")) for name in SECTIONS], text)
 
 
 def _holdings(section: str) -> str:
@@ -85,7 +85,8 @@ def _holdings(section: str) -> str:
 
 def holdings_from_text(documents: DataFrame) -> DataFrame:
     """One row per holding found in each document's holdings section."""
-    found = documents.withColumn("_section", F.expr(_section("text"))).select(
+    lowered = documents.withColumn("_lower", F.expr(fold_case("text")))
+    found = lowered.withColumn("_section", F.expr(_section("text", "_lower"))).select(
         "source_file", F.expr(_holdings("_section")).alias("_found")
     )
     return found.select("source_file", F.posexplode("_found").alias("holding_no", "_h")).select(
@@ -151,7 +152,8 @@ def has_trades(lowered: str) -> str:
 
 def has_account(text: str, lowered: str) -> str:
     value = f"coalesce({portfolio_value(lowered)} <> 0, false)"
-    return f"({value} OR size({_holdings(_section(text))}) > 0 OR {has_trades(lowered)})"
+    held = bind(_section(text, lowered), "s", f"size({_holdings('s')})")
+    return f"({value} OR {held} > 0 OR {has_trades(lowered)})"
 
 
 def accounts_from_text(documents: DataFrame) -> DataFrame:
@@ -159,14 +161,17 @@ def accounts_from_text(documents: DataFrame) -> DataFrame:
     lowered = documents.withColumn("_lower", F.expr(fold_case("text")))
     likely = lowered.filter(F.expr(detect.is_investment("_lower", "source_file")))
     kind = f"coalesce({detect.investment_type('_lower', 'source_file')}, 'investment_account')"
-    read = likely.withColumn("_section", F.expr(_section("text"))).select(
-        "source_file",
-        F.expr(kind).alias("account_type"),
-        F.expr(detect.bank_name("text", "_lower", "source_file")).alias("bank_name"),
-        F.expr(first_date("_lower", STATEMENT_DATE)).alias("statement_date_text"),
-        F.expr(portfolio_value("_lower")).alias("portfolio_value"),
-        F.size(F.expr(_holdings("_section"))).alias("holding_count"),
-        F.expr(has_trades("_lower")).alias("has_trades"),
-    )
-    useful = (F.col("portfolio_value") != 0) | (F.col("holding_count") > 0) | F.col("has_trades")
-    return read.filter(useful).withColumn("statement_date", parse_date(F.col("statement_date_text")))
+    fields = {
+        "account_type": kind,
+        "bank_name": detect.bank_name("text", "_lower", "source_file"),
+        "statement_date_text": first_date("_lower", STATEMENT_DATE),
+        "portfolio_value": portfolio_value("_lower"),
+        "holding_count": bind(_section("text", "_lower"), "s", f"size({_holdings('s')})"),
+        "has_trades": has_trades("_lower"),
+    }
+    # One expression, unfolded with its empty rows: a filter below would compute it a second time.
+    record = f"named_struct({', '.join(f'{quote(name)}, {value}' for name, value in fields.items())})"
+    useful = "r.portfolio_value <> 0 OR r.holding_count > 0 OR r.has_trades"
+    read = likely.select("source_file", F.expr(f"inline_outer(filter(array({record}), r -> {useful}))"))
+    read = read.filter("account_type IS NOT NULL")
+    return read.withColumn("statement_date", parse_date(F.col("statement_date_text")))

@@ -255,3 +255,22 @@ def test_texts_that_hold_a_mark_stay(spark):
     values = ["__PLACEHOLDER_SSN__ 7", "__PLACEHOLDERXX_SSN__ 7", "__PLACEHOLDERX_1 9", "123-45-6789 __PLACEHOLDER_SSN__"]
     got = run(spark, values, redaction.redact(F.col("text")))
     assert got == [*values[:3], "[SSN_REDACTED] __PLACEHOLDER_SSN__"]
+
+
+def test_kinds_and_stripping_equal_the_plain_patterns(spark):
+    """Patterns behind their words against the patterns alone, and both ends stripped by characters against the search."""
+    values = ["us bank", "us  bank", "bank of\namerica", "bankofamericas", "discover\tfinancial", "discovery", "form w2", "a w-2 b", "1099 int",
+              "roth\x1cira", "ira account", "interest income", "td bank ally bank", "", None, "  x \x1d", " 　\x85a b\n", "\x1c\x1f", "​ x"]
+    for kinds in (detect.BANKS, detect.ACCOUNT_TYPES, detect.TAX_FORMS, {"own": (r"ab?c|us (?:x )?bank",)}):
+        plain = " ".join(f"WHEN {text.matches('text', text.any_of(p))} THEN {text.quote(n)}" for n, p in kinds.items())
+        assert run(spark, values, F.expr(text.first_kind("text", kinds))) == run(spark, values, F.expr(f"CASE {plain} END"))
+    searched = text.replace("text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    assert run(spark, values, F.expr(text.strip_spaces("text"))) == run(spark, values, F.expr(searched))
+    assert text.needed("ab?c") == "" and text.needed("a|b") == "" and text.needed(r"\bpnc\s+(?:bank|card)") == "pnc"
+
+
+def test_texts_are_read_once(spark):
+    """What an investment record rests on stands in one node of the plan, not in a filter and again in the columns."""
+    docs = spark.createDataFrame([("a.txt", "Securities Account\nPortfolio Value: $5")], "source_file string, text string")
+    plan = investments.accounts_from_text(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(r"portfolio\s+value" in node for node in plan.split("\n")) == 1
