@@ -215,9 +215,11 @@ def _(i):
     own = [ledger.marks.change(b).withColumn("b", F.lit(b + 1)) for b in range(len(_THIRDS))]
     since = reduce(DataFrame.unionByName, own).groupBy("merchant_name").agg(F.min("b").alias("since"))
     now = recurring_profile(ledger.rows()).filter("is_recurring").select("merchant_name", F.lit(True).alias("still"))
-    marked = ledger.flagged().join(since, "merchant_name", "left").join(now, "merchant_name", "left")
+    # What is looked up belongs to a merchant, so its rows are summed before.
+    flagged = ledger.flagged().groupBy("merchant_name", "is_recurring").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+    marked = flagged.join(since, "merchant_name", "left").join(now, "merchant_name", "left")
     return marked.groupBy("is_recurring", "since", F.coalesce("still", F.lit(False)).alias("still")).agg(
-        F.count("*").alias("n"), F.sum("amount").alias("total")
+        F.sum("n").alias("n"), F.sum("total").alias("total")
     )
 
 

@@ -52,8 +52,8 @@ def new_transactions(stored: DataFrame, incoming: DataFrame, order: list[str]) -
     an equality: the surviving descriptions are cut to just the lengths that rows of the same date and amount ask for
     (50 at most), and the earliest arrival per cut decides.
 
-    The batch, the stored rows of its dates and amounts, and the surviving rows are stored on the way, so each is worked
-    out once; the stored ledger is scanned once, between the batch's first and last day.
+    The batch, the stored rows of its dates and amounts, the surviving rows and the descriptions that are asked for are
+    stored on the way, so each is worked out once; rows with a merchant meet no description. The stored ledger is scanned once, between the batch's first and last day.
     """
     columns = incoming.columns
     day = ["transaction_date", "amount"]
@@ -91,27 +91,28 @@ def new_transactions(stored: DataFrame, incoming: DataFrame, order: list[str]) -
         "import-firsts",
     )
     texts = firsts.filter(F.col("_key").startswith("t:"))
-    lengths = texts.groupBy(*day).agg(F.collect_set(F.char_length("_key") - 2).alias("_lengths"))
+    lengths = materialised(texts.groupBy(*day).agg(F.collect_set(F.char_length("_key") - 2).alias("_lengths")), "import-lengths")
 
-    candidates = old_rows.filter("_worded").select(*day, "_cut", place(0).alias("_place")).unionByName(
+    every = old_rows.filter("_worded").select(*day, "_cut", place(0).alias("_place")).unionByName(
         firsts.select(*day, F.col("_row.description").alias("description"), "_place")
         .filter(worded)
         .select(*day, cut.alias("_cut"), "_place")
     )
+    # Rows of dates and amounts at which no row without merchant asks decide nothing.
+    candidates = materialised(every.join(lengths.select(*day), day, "left_semi"), "import-candidates")
     earliest = (
         lookup_join(candidates, lengths, day)
         .withColumn("_length", F.explode(F.filter("_lengths", lambda n: n <= F.char_length("_cut"))))
         .groupBy(*day, F.expr("concat('t:', substring(_cut, 1, _length))").alias("_key"))
         .agg(F.min("_place").alias("_earliest"))
     )
-    kept = (
-        firsts.join(earliest, [*day, "_key"], "left")
-        .filter(F.coalesce(F.col("_earliest") == F.col("_place"), F.lit(True)))
-        .select(*day, "_row.*")
-        .select(*columns)
-    )
+    kept = texts.join(earliest, [*day, "_key"], "left").filter(F.coalesce(F.col("_earliest") == F.col("_place"), F.lit(True)))
+    # A first row with a merchant repeats none, whatever the texts say.
+    named = firsts.filter(F.col("_key").startswith("m:"))
     bypass = arrived.filter(~dated | (~merchant & ~worded))
-    return kept.unionByName(bypass)
+    for part in (kept, named):
+        bypass = bypass.unionByName(part.select(*day, "_row.*").select(*columns))
+    return bypass
 
 
 def import_counts(incoming: DataFrame, kept: DataFrame) -> DataFrame:

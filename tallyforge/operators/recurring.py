@@ -43,21 +43,26 @@ def recurring_profile(transactions: DataFrame, hot: HotKeys | None = None) -> Da
 
 
 def profile_of_amounts(counts: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """The profile from one row per (merchant, amount)."""
+    """The profile from one row per (merchant, amount). Without the hot merchants, the means are stored with the number of
+    rows that each merchant has in `counts`, which tells them."""
     means = counts.groupBy("merchant_name").agg(
         F.sum("n").alias("row_count"),
         (
             F.sum(F.col("amount") * F.col("n")).cast("double")
             / F.nullif(F.sum(F.when(F.col("amount").isNotNull(), F.col("n"))), F.lit(0))
         ).alias("mean_amount"),
+        F.count("*").alias("rows"),
     )
-    enough = means.filter(F.col("row_count") >= LEAST_CHARGES)
+    if hot is None:
+        means = materialised(means, "merchant-means")
+    sizes = None if hot else means.select("merchant_name", "rows")
+    enough = means.filter(F.col("row_count") >= LEAST_CHARGES).drop("rows")
     value = F.col("amount").cast("double")
     similar = (value != 0) & (F.col("mean_amount") != 0) & (
         F.abs(value - F.col("mean_amount")) / F.abs("mean_amount") <= AMOUNT_TOLERANCE
     )
     return (
-        lookup_join(counts, enough, ["merchant_name"], hot=hot)
+        lookup_join(counts, enough, ["merchant_name"], sizes=sizes, hot=hot)
         .groupBy("merchant_name")
         .agg(
             F.max("row_count").alias("row_count"),
