@@ -20,7 +20,10 @@ AFTER_LABEL = r"[:\s]+"
 # widens every class a search is far quicker.
 ANY_NUMBER, ANY_DATE = (shape.replace(r"\d", r"\p{Nd}") for shape in (NUMBER, DATE))
 ANY_SPACE = r"\s\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_LABELLED_NUMBER = ANY_NUMBER[1:-1]
 _SPACES = r"[\s\x1c-\x1f]+"
+# The same class without the flag.
+_ANY_SPACES = ANY_SPACE + r"\x1c-\x1f"
 # The characters of that class, as SQL text: white space of any script, and four separators.
 _WHITE = "".join(f"\\u{code:04x}" for code in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 # Letters that count as a plain one when case is ignored: long s, dotless and dotted i, kelvin sign.
@@ -118,34 +121,41 @@ class LabelReader:
     """Numbers behind labels, all found in one walk over a text.
 
     A number counts as labelled where only spaces and colons, and perhaps a dollar sign, stand between it and a label. So the
-    text is searched once for such numbers, each with the few characters before it; which label those end with is then a
-    comparison of plain strings. The text has small letters and single plain spaces; a label holds no number behind a space or
+    text is searched once for such numbers, each with the few characters before it; the longest label those end with says
+    which others they end with. The text has small letters and single plain spaces; a label holds no number behind a space or
     colon. `before` and `values` are the SQL of the two arrays the fields are read from."""
 
     def __init__(self, labels_of: Iterable[str]):
-        self.width = max(len(s) for names in labels_of for label in labels(names) for s in spelled(label))
-
-    def _all(self, text: str, group: int) -> str:
-        number = NUMBER[1:-1].replace(r"\d", r"\p{Nd}")
-        pattern = rf"(?s)(?=[: ]+\$?[\p{{Nd}},])(?<=(.{{{self.width}}}))[: ]+(\$?{number})"
-        return f"regexp_extract_all(concat(repeat('\\n', {self.width}), {text}), {quote(pattern)}, {group})"
+        spellings = {s for names in labels_of for label in labels(names) for s in spelled(label)}
+        self.known = sorted(spellings, key=lambda s: (-len(s), s))
+        self.width = len(self.known[0])
 
     def before(self, text: str) -> str:
-        return self._all(text, 1)
+        """The longest label before each number, NULL where there is none."""
+        pattern = rf"(?s)(?=[: ]+\$?[\p{{Nd}},])(?<=(.{{{self.width}}}))[: ]+\$?{_LABELLED_NUMBER}"
+        held = f"regexp_extract_all(concat(repeat('\\n', {self.width}), {text}), {quote(pattern)}, 1)"
+        # By the last character first, so that few labels are compared.
+        last: dict[str, list[str]] = {}
+        for label in self.known:
+            last.setdefault(label[-1], []).append(f"WHEN endswith(b, {quote(label)}) THEN {quote(label)}")
+        chosen = " ".join(f"WHEN endswith(b, {quote(c)}) THEN CASE {' '.join(branches)} END" for c, branches in last.items())
+        return f"transform({held}, b -> CASE {chosen} END)"
 
     def values(self, text: str) -> str:
-        return self._all(text, 2)
+        return f"regexp_extract_all({text}, {quote(rf'[: ]+(\$?{_LABELLED_NUMBER})')}, 1)"
 
-    @staticmethod
-    def number(before: str, values: str, names: str, kind: str = "decimal(18,2)", dollar: bool = True) -> str:
+    def number(self, before: str, values: str, names: str, kind: str = "decimal(18,2)", dollar: bool = True) -> str:
         """The first label whose first value also reads as a number; without `dollar` only values without that sign."""
 
         def value(label: str) -> str:
-            ends = " OR ".join(f"endswith(b, {quote(s)})" for s in spelled(label))
-            if not dollar:
-                ends = f"({ends}) AND NOT startswith({values}[i], '$')"
-            found = f"array_position(transform({before}, (b, i) -> {ends}), true)"
-            return money(f"get({values}, cast({found} AS int) - 1)", kind)
+            held = [quote(known) for known in self.known if known.endswith(tuple(spelled(label)))]
+            if dollar and len(held) == 1:
+                found = f"array_position({before}, {held[0]})"
+            else:
+                plain = "" if dollar else f" AND NOT startswith({values}[i], '$')"
+                found = f"array_position(transform({before}, (b, i) -> b IN ({', '.join(held)}){plain}), true)"
+            # No label gives NULL, not an empty text, so that it need not be asked for, which would look for the label twice.
+            return f"try_cast(translate(get({values}, cast({found} AS int) - 1), '$,', '') AS {kind})"
 
         return coalesce(*[value(label) for label in labels(names)])
 
@@ -217,7 +227,8 @@ def keyword_count(lowered: str, keywords: tuple[str, ...]) -> str:
 
 
 def collapse_spaces(text: str) -> str:
-    return replace(text, UNICODE + _SPACES, " ")
+    """White space of any kind and length as one plain space; a plain space that stands alone is passed over."""
+    return replace(text, rf"[{_ANY_SPACES}&&[^ ]][{_ANY_SPACES}]*| [{_ANY_SPACES}]+", " ")
 
 
 def strip_spaces(text: str) -> str:

@@ -78,15 +78,14 @@ def sections(text: str) -> str:
     return f"CASE {' '.join(branches)} ELSE array({text}) END"
 
 
-def split_paystubs(documents: DataFrame) -> DataFrame:
-    """One row per section; a document with several names them `file#1`, `file#2`, ..."""
-    cut = documents.withColumn("_sections", F.expr(bind("text", "t", sections("t"))))
-    several = F.size("_sections") > 1
-    return cut.select("source_file", several.alias("_several"), F.posexplode("_sections").alias("_i", "text")).select(
-        F.when(F.col("_several"), F.concat("source_file", F.lit("#"), (F.col("_i") + 1).cast("string")))
-        .otherwise(F.col("source_file")).alias("source_file"),
-        "text",
-    )
+def split_paystubs(documents: DataFrame, where: str | None = None) -> DataFrame:
+    """One row per section of the documents, of those only for which `where`, SQL over the text `t`, holds; a document with
+    several sections names them `file#1`, `file#2`, ..."""
+    cut = sections("t") if where is None else f"CASE WHEN {where} THEN {sections('t')} END"
+    rows = "transform(s, (p, n) -> named_struct('_number', CASE WHEN size(s) > 1 THEN concat('#', n + 1) ELSE '' END, 'text', p))"
+    # Cut in the generator itself: no filter works out the text and its sections a second time.
+    cut_up = documents.select("source_file", F.expr(f"inline({bind('text', 't', bind(cut, 's', rows))})"))
+    return cut_up.select(F.concat("source_file", "_number").alias("source_file"), "text")
 
 
 def _pay_date(text: str, low: str) -> str:
@@ -114,6 +113,11 @@ def _written_date(text: Column) -> Column:
     return F.coalesce(parse_date(text), by_name)
 
 
+def _with_numbers(low: str, body: str) -> str:
+    """`body` with `r` standing for the labelled numbers of the text: `r.b`, the labels before them, and `r.v`."""
+    return bind(f"named_struct('b', {READER.before(low)}, 'v', {READER.values(low)})", "r", body)
+
+
 def paystub_fields(paystubs: DataFrame) -> DataFrame:
     """Reads every field of each (source_file, text); texts with no pay date, gross or net pay give no row."""
     letters = r"([A-Z][A-Za-z\s&,\.]+)"
@@ -128,17 +132,17 @@ def paystub_fields(paystubs: DataFrame) -> DataFrame:
         *numbers(DEDUCTIONS),
         *numbers({"_total": TOTAL_DEDUCTIONS}),
     ]
-    found = f"named_struct('b', {READER.before('_low')}, 'v', {READER.values('_low')})"
-    plain = paystubs.withColumn("_text", F.expr(collapse_spaces("text"))).withColumn("_low", F.expr(fold_case("_text")))
-    # All numbers of a section are read in one expression; as a generated row, no filter brings them along a second time.
-    read = plain.select("source_file", "_text", "_low", F.expr(f"inline(transform(array({found}), r -> named_struct({', '.join(fields)})))"))
-    read = read.select(
-        F.expr(_pay_date("_text", "_low")).alias("pay_date_text"),
-        F.expr(_period("_low", 1)).alias("_start"),
-        F.expr(_period("_low", 2)).alias("_end"),
-        F.expr(strip_spaces(first_name("_text", EMPLOYER, letters))).alias("employer_name"),
-        *[name for name in read.columns if name not in ("_text", "_low")],
-    )
+    words = {
+        "pay_date_text": _pay_date("p", "c"),
+        "_start": _period("c", 1),
+        "_end": _period("c", 2),
+        "employer_name": strip_spaces(first_name("p", EMPLOYER, letters)),
+    }
+    fields = [f"'{field}', {value}" for field, value in words.items()] + fields
+    # All that is read of a section is one expression; as a generated row, no filter brings it along a second time.
+    row = _with_numbers("c", f"named_struct({', '.join(fields)})")
+    row = bind(collapse_spaces("text"), "p", bind(fold_case("p"), "c", row))
+    read = paystubs.select("source_file", F.expr(f"inline(array({row}))"))
     pairs = [item for field in DEDUCTIONS for item in (F.lit(field), F.col(field))]
     known = read.withColumn("deductions", F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull()))
     summed = F.aggregate(
@@ -161,15 +165,14 @@ def paystub_fields(paystubs: DataFrame) -> DataFrame:
 
 def paystubs_from_text(documents: DataFrame) -> DataFrame:
     """Paystubs of all documents that look like one."""
-    # Bound, so that the filter works out the small letters once and not for each of its words.
-    likely = documents.filter(F.expr(bind("lower(text)", "l", detect.is_paystub("l"))))
-    return paystub_fields(split_paystubs(likely))
+    # Bound, so that the small letters are worked out once and not for each of the words.
+    return paystub_fields(split_paystubs(documents, bind("lower(t)", "l", detect.is_paystub("l"))))
 
 
 def has_paystub(text: str) -> str:
     """Whether any section of the text would give a paystub."""
     gross, net = (READER.number("r.b", "r.v", MONEY_FIELDS[field]) for field in ("gross_pay", "net_pay"))
-    paid = bind(f"named_struct('b', {READER.before('c')}, 'v', {READER.values('c')})", "r", f"{gross} <> 0 OR {net} <> 0")
+    paid = _with_numbers("c", f"{gross} <> 0 OR {net} <> 0")
     useful = f"coalesce(CASE WHEN {_pay_date('p', 'c')} IS NOT NULL THEN true ELSE {paid} END, false)"
     return f"exists({sections(text)}, s -> {bind(collapse_spaces('s'), 'p', bind(fold_case('p'), 'c', useful))})"
 

@@ -274,3 +274,32 @@ def test_texts_are_read_once(spark):
     docs = spark.createDataFrame([("a.txt", "Securities Account\nPortfolio Value: $5")], "source_file string, text string")
     plan = investments.accounts_from_text(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert sum(r"portfolio\s+value" in node for node in plan.split("\n")) == 1
+
+
+def test_a_paystub_text_is_worked_out_once(spark):
+    """A text that is an expression of its own stands in the plan once, also where sections and fields are read from it."""
+    made = documents(spark, ("p", "PAY STUB\nGross Pay: $5.00\nNet Pay: $4.00\nMedicare: $1.00")).withColumn("text", F.concat("text", F.lit("\nlast seen here")))
+    read = paystubs.paystubs_from_text(made)
+    assert [(r.source_file, str(r.gross_pay), str(r.net_pay)) for r in read.collect()] == [("p", "5.00", "4.00")]
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("last seen here") == 1
+
+
+def test_collapsed_spaces(spark):
+    kinds = "\t\n\x0b\f\r\x1c\x1f \x85\xa0       　"
+    values = [f"a{c}b" for c in kinds] + [f"a {c}b" for c in kinds] + [f"a{c} {c}b" for c in kinds] + ["a​b", " a  b ", "", None]
+    expected = ["a b"] * 3 * len(kinds) + ["a​b", " a b ", "", None]
+    assert run(spark, values, F.expr(text.collapse_spaces("text"))) == expected
+
+
+def test_a_number_counts_for_every_label_before_it(spark):
+    reader = text.LabelReader(["ytd gross", "gross | total", "gross pay"])
+    values = ["ytd gross: 1", "gross pay: 2 gross: 3", "total: 4 ytd gross: x gross: ,", "gross $5 total 6", "x", None]
+    bound = f"named_struct('b', {reader.before('text')}, 'v', {reader.values('text')})"
+
+    def read(names, dollar=True):
+        return [None if n is None else int(n) for n in run(spark, values, F.expr(text.bind(bound, "r", reader.number("r.b", "r.v", names, dollar=dollar))))]
+
+    assert read("gross | total") == [1, 3, 4, 5, None, None]
+    assert read("gross | total", dollar=False) == [1, 3, 4, 6, None, None]
+    assert read("ytd gross") == [1, None, None, None, None, None]
+    assert run(spark, ["ytd gross: 1 rate: 2"], F.expr(reader.before("text"))) == [["ytd gross", None]]
